@@ -33,7 +33,7 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def buckets_of(spark: SparkSession, factor: int = 8) -> int:
+def buckets_of(spark: SparkSession, factor: int = 4) -> int:
     """Buckets for packed exchanges, a multiple of the partitions that the cluster gives a shuffle."""
     return factor * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -146,21 +146,50 @@ def removed_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
         if held:
             yield flush()
 
-    def later(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py():
-            return pa.table({"bucket": table.column("bucket"), "blob": table.column("blob")})
-        h, g, doc, pos = join_blobs(table.column("blob").to_pylist(), np.uint64, np.uint32, np.int64, np.int32)
-        order = np.lexsort((pos, doc, g, h))
-        h, g, doc, pos = h[order], g[order], doc[order], pos[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        late = (doc != doc[at]) | (pos != pos[at])
-        doc, pos = doc[late], pos[late]
-        order = np.lexsort((pos, doc))
-        out = split_blobs(mix(doc[order].astype(U)), buckets, doc[order], pos[order])
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
-
-    marks = rows.mapInArrow(candidates, "kind int, bucket int, blob binary").groupBy("kind", "bucket").applyInArrow(later, "bucket int, blob binary")
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bucket after bucket of a sorted partition; marks leave together, so that their number of rows stays that of
+        the partitions and not of the buckets."""
+        blobs: list[bytes] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
+
+        def close():
+            if blobs:
+                h, g, doc, pos = join_blobs(blobs, np.uint64, np.uint32, np.int64, np.int32)
+                blobs.clear()
+                order = np.lexsort((pos, doc, g, h))
+                h, g, doc, pos = h[order], g[order], doc[order], pos[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+                at = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+                late = (doc != doc[at]) | (pos != pos[at])
+                found.append((doc[late], pos[late]))
+
+        def flush():
+            doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            order = np.lexsort((pos, doc))
+            out = split_blobs(mix(doc[order].astype(U)), buckets, doc[order], pos[order])
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
+
+        for batch in batches:
+            kinds, where = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (k, b) in enumerate(zip(kinds, where, strict=True)):
+                if k == 0:
+                    if b != now:
+                        close()
+                        now = b
+                        if sum(len(x[0]) for x in found) > 4 * CHUNK:
+                            yield flush()
+                    blobs.append(batch.column(2)[i].as_py())
+            passed = batch.filter(pa.array([k == 1 for k in kinds]))
+            if passed.num_rows:
+                yield passed.select(["bucket", "blob"])
+        close()
+        if found:
+            yield flush()
+
+    sorted_ = rows.mapInArrow(candidates, "kind int, bucket int, blob binary").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    marks = sorted_.mapInArrow(later, "bucket int, blob binary")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
