@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import texts
 
 #: Remembered pieces and pairs of a worker; older ones are computed anew.
-CACHE = 200_000
+CACHE = 250_000
 #: Pieces of up to so many bytes merge directly.
 SMALL = 24
 
@@ -42,28 +42,31 @@ class Bpe:
         self.names = {i: t for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.pieces: dict[str, tuple[str, int]] = {}
+        self.pieces: dict[str, str] = {}
 
     def merged(self, raw: bytes) -> list[bytes]:
         """Tokens of a few bytes: the lowest rank merges first, from the left."""
         parts = [raw[i : i + 1] for i in range(len(raw))]
-        rank = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        rank, none = self.ranks.get, 1 << 60
+        pairs = [rank(raw[i : i + 2], none) for i in range(len(raw) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], none)
         return parts
 
     def stable(self, a: bytes, b: bytes) -> bool:
         """Is (a, b) the encoding of its own bytes?"""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= CACHE:
+            if len(self.pairs) >= CACHE // 10:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
@@ -94,29 +97,22 @@ class Bpe:
         half = len(raw) // 2
         return self.join(self.tree(raw[:half], False), self.tree(raw[half:], False))
 
-    def piece(self, piece: str) -> tuple[str, int]:
-        """Ids of a piece as decimal text, and their number."""
-        known = self.pieces.get(piece)
-        if known is None:
-            tokens = self.tree(piece.encode())
-            known = ",".join([str(self.ranks[t]) for t in tokens]), len(tokens)
-            if len(piece) < 64:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[piece] = known
-        return known
+    def piece(self, piece: str) -> str:
+        """Ids of a piece as decimal text."""
+        ids = ",".join([str(self.ranks[t]) for t in self.tree(piece.encode())])
+        if len(piece) < 64:
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for x in self.joined(text)[0].split(",")] if text else []
+        return [int(x) for x in self.joined(text).split(",")] if text else []
 
-    def joined(self, text: str) -> tuple[str, int]:
-        """The ids of a text, joined by commas, and their number."""
-        known = self.pieces
-        out = []
-        for p in self.find(text):
-            x = known.get(p)
-            out.append(self.piece(p) if x is None else x)
-        return ",".join([x[0] for x in out]), sum([x[1] for x in out])
+    def joined(self, text: str) -> str:
+        """The ids of a text, joined by commas."""
+        known, make = self.pieces.get, self.piece
+        return ",".join([known(p) or make(p) for p in self.find(text)])
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the tokens, concatenated in halves."""
@@ -144,10 +140,10 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
             out: list[tuple] = []
             for x in batch.column(1):
                 text = x.as_py() or ""
-                joined, n = bpe.joined(text)
-                parts = joined.split(",") if n else []
-                raw = b"".join([names[i] for i in parts])
-                out.append((n, [int(i) for i in parts] if with_ids else None, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.encode()))
+                joined = bpe.joined(text)
+                parts = joined.split(",") if joined else []
+                raw = b"".join(map(names.__getitem__, parts))
+                out.append((len(parts), list(map(int, parts)) if with_ids else None, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.encode()))
             kinds = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate(kinds))], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip"])
 
