@@ -27,7 +27,7 @@ from .common import crc_mod, texts
 from .wordhash import LOWER, Words, slices, text_buffers
 
 #: Labelled rows that training may read.
-FIT_ROWS = 6000
+FIT_ROWS = 4000
 LANDMARKS = 300
 GAPS = (((1, 2), 1.0), ((1, 3), 0.5), ((2, 3), 0.5), ((1, 4), 0.25), ((2, 4), 0.25), ((3, 4), 0.25))
 POOL = 6
@@ -102,19 +102,25 @@ def _features(words: list[bytes], columns: dict[int, int]) -> np.ndarray:
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1e6, steps: int = 15) -> tuple[np.ndarray, float]:
     """Squared hinge, by Newton steps on the primal over the words inside the margin."""
-    x = np.c_[z, np.ones(len(z))].astype(np.float64)
     weight = weight / weight.sum()
-    u = np.zeros(x.shape[1])
+    u = np.zeros(z.shape[1] + 1)
     ridge = np.full(len(u), 1 / c)
     ridge[-1] = 1e-9
-    inside = None
+    before = None
     for _ in range(steps):
-        now = y * (x @ u) < 1
-        if inside is not None and (now == inside).all():
+        h, g, inside = np.diag(ridge), np.zeros(len(u)), []
+        for lo in range(0, len(z), 1000):
+            x = np.c_[z[lo : lo + 1000], np.ones(len(z[lo : lo + 1000]))].astype(np.float64)
+            now = y[lo : lo + 1000] * (x @ u) < 1
+            x, w = x[now], weight[lo : lo + 1000][now]
+            h += x.T @ (x * w[:, None])
+            g += x.T @ (w * y[lo : lo + 1000][now])
+            inside.append(now)
+        inside = np.concatenate(inside)
+        if before is not None and (inside == before).all():
             break
-        inside = now
-        xi = x[inside] * weight[inside][:, None]
-        u = np.linalg.solve(xi.T @ x[inside] + np.diag(ridge), xi.T @ y[inside])
+        before = inside
+        u = np.linalg.solve(h, g)
     return u[:-1], float(u[-1])
 
 
@@ -161,16 +167,21 @@ def fit(texts_: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS) -> M
         curve = np.zeros(POOL + 1)
         curve[-1] = np.log(share / (1 - share))
         return Model(table, -1.0, curve)
-    bags = [set(t.lower().split()) for t in texts_]
-    pos, neg = Counter(), Counter()
-    for bag, y in zip(bags, toxic, strict=True):
-        (pos if y else neg).update(bag)
+    # words as numbers: a text is an array of its distinct ones
+    number: dict[bytes, int] = {}
+    bags = [np.array([number.setdefault(w, len(number)) for w in set(t.lower().split())], np.int32) for t in texts_]
+    words_ = list(number)
+    in_pos, in_neg = (np.bincount(np.concatenate([b for b, y in zip(bags, toxic, strict=True) if y == side]), minlength=len(words_)) for side in (True, False))
     n_pos, n_neg = toxic.sum(), (~toxic).sum()
-    odds = {w: np.log((c + 0.3) / (n_pos + 0.6)) - np.log((neg[w] + 0.3) / (n_neg + 0.6)) for w, c in pos.items() if len(w) > 3}
-    strong = sorted((w for w in odds if pos[w] >= 3 and odds[w] > 2), key=lambda w: (-odds[w] * np.log1p(pos[w]), w))
-    plain = [w for w, _ in neg.most_common(4000) if len(w) > 2]
+    long_ = np.array([len(w) for w in words_]) > 3
+    ratio = np.where(long_ & (in_pos > 0), np.log((in_pos + 0.3) / (n_pos + 0.6)) - np.log((in_neg + 0.3) / (n_neg + 0.6)), -9.0)
+    strength = np.where((in_pos >= 3) & (ratio > 2), ratio * np.log1p(in_pos), 0)
+    strong = [words_[i] for i in np.argsort(-strength, kind="stable")[: int((strength > 0).sum())]]
+    usual = np.array([len(w) for w in words_]) > 2
+    frequent = np.argsort(-np.where(usual, in_neg, 0), kind="stable")[:4000]
+    plain = [words_[i] for i in frequent if in_neg[i]]
     marks = strong[: landmarks * 2 // 3]
-    marks += [w for w in plain if w not in odds or odds[w] < 0.5][: landmarks - len(marks)]
+    marks += [w for w in plain if ratio[number[w]] < 0.5][: landmarks - len(marks)]
     triples = {t for w in marks for t in _triples(w)}
     columns = {t: j for j, t in enumerate(sorted(triples))}
     phi = _features(marks, columns)
@@ -178,40 +189,42 @@ def fit(texts_: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS) -> M
     value, vector = np.linalg.eigh(k)
     good = value > 1e-6 * value.max()
     root = (vector[:, good] / np.sqrt(value[good])) @ vector[:, good].T
-    rare = sorted((w for w in neg if len(w) > 2 and neg[w] < 50), key=lambda w: (zlib.crc32(w), w))[:6000]
+    drawn = np.array([zlib.crc32(w) for w in words_], np.int64)
+    drawn[(in_neg == 0) | (in_neg >= 50) | ~usual] = 1 << 40
+    rare = [words_[i] for i in np.argsort(drawn, kind="stable")[:5000] if drawn[i] < 1 << 40]
     taken = set(strong)
     minus = [w for w in dict.fromkeys(plain + rare) if w not in taken]
     marks_root = (phi.T @ root).astype(np.float32)
     known: dict[bytes, np.ndarray] = {}
     alpha, bias = np.zeros(len(marks)), -1.0
     extra: list[bytes] = []
+    spread = np.r_[0, np.cumsum([len(w) + 1 for w in words_])]
+    joined = np.frombuffer(b" ".join([*words_, b""]), np.uint8)
     for _ in range(3):
         plus = strong + extra
         words = plus + minus
         y = np.r_[np.ones(len(plus)), -np.ones(len(minus))]
-        weight = np.r_[[np.log1p(pos[w]) for w in plus], [np.log1p(neg[w]) for w in minus]]
+        weight = np.log1p(np.r_[in_pos[[number[w] for w in plus]], in_neg[[number[w] for w in minus]]])
         weight[: len(plus)] *= 0.7 * weight[len(plus) :].sum() / max(weight[: len(plus)].sum(), 1e-9)
-        known.update(zip(new := [w for w in words if w not in known], _features(new, columns) @ marks_root, strict=True))
+        new = [w for w in words if w not in known]
+        for lo in range(0, len(new), 500):  # few at a time: there are thousands of triples
+            known.update(zip(part := new[lo : lo + 500], _features(part, columns) @ marks_root, strict=True))
         z = np.array([known[w] for w in words])
         u, bias = _svm(z, y, weight)
         alpha = root @ u
         table[:] = 0
         table[list(columns)] = (alpha @ phi).astype(np.float32)
         # toxic texts without a word above the margin name their best word; clean texts name words wrongly above it
-        joined = b" ".join(bag_words := sorted(set().union(*bags)))
-        f = dict(zip(bag_words, decisions(Words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), lower=True), table, bias), strict=True))
-        extra = []
-        for bag, bad in zip(bags, toxic, strict=True):
-            best = max(((f[w], w) for w in bag if len(w) > 3), default=None)
-            if best and bad and -0.5 < best[0] < 0.3 and odds.get(best[1], 0) > 1:
-                extra.append(best[1])
-        wrong = sorted((w for w in neg if f[w] > -0.3 and odds.get(w, -1) < 1 and w not in taken), key=lambda w: -f[w])[:3000]
-        minus = list(dict.fromkeys(minus + wrong))
-        extra = sorted(set(extra) - set(strong))
+        f = np.concatenate([decisions(Words(joined, spread[[lo, hi]]), table, bias) for lo, hi in slices(spread, 1 << 18)])
+        best = np.array([b[np.argmax(np.where(long_[b], f[b], -9))] if len(b) else -1 for b in bags])
+        near = (best >= 0) & toxic & (f[best] > -0.5) & (f[best] < 0.3) & (ratio[best] > 1)
+        extra = sorted({words_[i] for i in best[near]} - taken)
+        wrong = np.flatnonzero((in_neg > 0) & (f > -0.3) & (ratio < 1))
+        minus = list(dict.fromkeys(minus + [w for i in wrong[np.argsort(-f[wrong])][:3000] if (w := words_[i]) not in taken]))
     pools = []
     for t in texts_:
-        words_ = Words(np.frombuffer(t, np.uint8), np.array([0, len(t)]), lower=True)
-        pools.append(_pool(words_, decisions(words_, table, bias))[0])
+        own = Words(np.frombuffer(t, np.uint8), np.array([0, len(t)]), lower=True)
+        pools.append(_pool(own, decisions(own, table, bias))[0])
     return Model(table, bias, _logistic(np.array(pools), toxic.astype(float)))
 
 
