@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from .wordhash import U, mix
 
@@ -38,8 +38,17 @@ def buckets_of(spark: SparkSession, factor: int = 4) -> int:
     return factor * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of 1,000 rows to Python where the session keeps Spark's 10,000: whole texts make large batches, and a
+    worker holds several copies of one."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just id and text under fixed names, so that other columns can clash with nothing."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -52,9 +61,10 @@ def power_of_two(n: int, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, n - 1).bit_length()))
 
 
-def sketch(keys: DataFrame, slots: int) -> np.ndarray:
-    """Counts of a long column by slot(key), each up to 255. slots bounds what reaches the driver."""
+def sketch(keys: DataFrame, slots: int, most: int = 255) -> np.ndarray:
+    """Counts of a long column by slot(key), each up to most. slots bounds what reaches the driver."""
     width = slots // SEGMENTS
+    kind = np.uint8 if most < 256 else np.uint16
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -62,7 +72,7 @@ def sketch(keys: DataFrame, slots: int) -> np.ndarray:
         def flush():
             at, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            n = np.minimum(n, 255).astype(np.uint8)
+            n = np.minimum(n, most).astype(kind)
             cuts = np.searchsorted(at // width, np.arange(SEGMENTS + 1))
             out = [(s, (at[a:b] - s * width).astype(np.uint32).tobytes(), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["segment", "places", "counts"])
@@ -78,15 +88,15 @@ def sketch(keys: DataFrame, slots: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, at, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                t = total.setdefault(s, np.zeros(width, np.uint16))
+                t = total.setdefault(s, np.zeros(width, np.int64))
                 at = np.frombuffer(at, np.uint32)
-                t[at] = np.minimum(t[at] + np.frombuffer(n, np.uint8).astype(np.uint16), 255)
+                t[at] = np.minimum(t[at] + np.frombuffer(n, kind), most)
         for s, t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([t.astype(np.uint8).tobytes()], pa.binary())], ["segment", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([t.astype(kind).tobytes()], pa.binary())], ["segment", "counts"])
 
-    out = np.zeros((SEGMENTS, width), np.uint8)
+    out = np.zeros((SEGMENTS, width), kind)
     for r in keys.mapInArrow(partial, "segment int, places binary, counts binary").repartition(SEGMENTS, "segment").mapInArrow(merged, "segment int, counts binary").toLocalIterator():
-        out[r["segment"]] = np.frombuffer(r["counts"], np.uint8)
+        out[r["segment"]] = np.frombuffer(r["counts"], kind)
     return out.ravel()
 
 
@@ -103,8 +113,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("c"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("further"))
-        found = settle(step.join(jump, "c").select("node", "old", F.least("c", "further").alias("component")))
-        changed = found.where(F.col("old") != F.col("component")).limit(1).count()
-        labels = found.select("node", "component")
-        if not changed:
+        seen = Observation()
+        found = step.join(jump, "c").select("node", "old", F.least("c", "further").alias("component"))
+        labels = settle(found.observe(seen, F.count_if(F.col("old") != F.col("component")).alias("changed")).select("node", "component"))
+        if not seen.get["changed"]:
             return labels

@@ -170,9 +170,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col
     sets = settle(sets.dropDuplicates(["node"]))
     links = settle(_confirmed(pairs, sets, percent))
 
-    # Long lists: what the centres left apart.
-    first_labels = components(links)
-    labelled = hot.join(first_labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+    # Long lists: what the centres left apart. A label is the smallest centre that a node is linked with or is.
+    starred = links.join(stars.distinct(), ["a", "b"], "left_semi")
+    near_centre = starred.select(F.col("b").alias("node"), F.col("a").alias("centre")).union(starred.select("a", "a")).groupBy("node").agg(F.min("centre").alias("label"))
+    labelled = hot.join(near_centre, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     hot_sets = sets.join(hot, "node", "left_semi")
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], ["key"])
 
     item_slots = power_of_two(64 * n_nodes, LEAST_SLOTS, MOST_SLOTS)
-    frequent = spark.sparkContext.broadcast(sketch(hot_sets.select("items").mapInArrow(items, "key long"), item_slots))
+    frequent = spark.sparkContext.broadcast(sketch(hot_sets.select("items").mapInArrow(items, "key long"), item_slots, most=65535))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,19 +190,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col
                 h = np.frombuffer(raw, np.int64)
                 n = frequent.value[slot(h, item_slots)]
                 some = np.argsort(n.astype(np.int64) << 32 | (mix(h.view(U)) >> U(32)).astype(np.int64), kind="stable")[: len(h) - -(-percent * len(h) // 100) + 1]
-                some = some[n[some] > 1]
-                out.append((h[some], np.full(len(some), node, np.int64), np.full(len(some), len(h), np.int64)))
+                place = np.flatnonzero(n[some] > 1)  # a shingle that was counted once is in no other set
+                out.append((h[some[place]], np.full(len(place), node, np.int64), np.full(len(place), len(h), np.int64), len(h) - place))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "node", "n", "left"])
 
-    rare = hot_sets.select("node", "items").mapInArrow(rarest, "key long, node long, n long").join(labelled, "node")
-    rare = settle(rare.select("key", "node", "n", "label"))
+    rare = hot_sets.select("node", "items").mapInArrow(rarest, "key long, node long, n long, left long").join(labelled, "node")
+    rare = settle(rare.select("key", "node", "n", "left", "label"))
     by_label = rare.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = settle(by_label.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1"))
     apart = rare.join(mixed, "key")
-    left = apart.where(F.col("label") != F.col("largest")).select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    right = apart.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), (F.col("label") == F.col("largest")).alias("main"))
-    close = (F.col("lx") != F.col("ly")) & (F.col("main") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    left = apart.where(F.col("label") != F.col("largest")).select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("left").alias("rx"))
+    right = apart.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("left").alias("ry"), (F.col("label") == F.col("largest")).alias("main"))
+    # Rarest first, a set shares with another at most what is left of it from their first common shingle on.
+    enough = F.least("rx", "ry") * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
+    close = (F.col("lx") != F.col("ly")) & (F.col("main") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & enough
     more = left.join(right, "key").where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = settle(_matching(more, nodes))
     links = links.union(_confirmed(more, sets, percent))
