@@ -33,8 +33,8 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near-duplicates stays."""
-    return _without(docs, near_dedup.near_duplicates(docs), ~F.col("kept"))
+    """One row of each component of near-duplicates (word shingles, similarity of 0.8 or more) stays."""
+    return _without(docs, near_dedup.near_duplicates(docs, percent=80), ~F.col("kept"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

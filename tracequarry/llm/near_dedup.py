@@ -2,24 +2,25 @@
 
 1. Each row gets the set of its distinct word shingles and `COORDINATES` MinHash values. Rows with equal sets are one
    node (the smallest id).
-2. Nodes are posted under (coordinate, value). Two signatures that agree in `MATCHES` coordinates must share one of
-   the COORDINATES - MATCHES + 1 rarest of each, so only those are posted, rarest first by a sketch of fixed size.
+2. Nodes are posted under (coordinate, value). Two signatures that agree in `matches` coordinates must share one of
+   the COORDINATES - matches + 1 rarest of each, so only those are posted, rarest first by a sketch of fixed size.
 3. Lists of up to `SHORT` nodes give their pairs. Longer lists are not merged: all their nodes meet one centre, the
-   node whose coordinates are most common. Pairs with fewer than MATCHES agreeing coordinates are skipped; the rest
+   node whose coordinates are most common. Pairs with fewer than `matches` agreeing coordinates are skipped; the rest
    is confirmed on whole sets.
 4. Nodes of long lists that the centres left in different components meet again under the rarest shingles of their
    sets: two sets of the wanted similarity share one of the (1 - similarity) * n + 1 rarest of each. Only nodes
    outside a list's largest component are paired, so a large group of near copies costs a row per copy.
 5. Components of the confirmed links.
 
-Two rows of the wanted similarity (0.85) agree in fewer than 16 of 32 coordinates with a probability below one in a
-million; nothing else can lose a link. A text with fewer words than a shingle is one shingle; one without words is
+`matches` follows the wanted similarity: two rows that have it agree in fewer coordinates with a probability below
+`LOSS`, one in a million (16 of 32 at 0.85, 13 at 0.80); nothing else can lose a link. A text with fewer words than a shingle is one shingle; one without words is
 linked with nothing. Null ids sort first. Rows with one id are one node if their texts agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import components, power_of_two, settle, sketch, slot, texts
 from .wordhash import NULL_ID, U, Words, ids, mix, slices, text_buffers
 
-COORDINATES, MATCHES = 32, 16
+COORDINATES, LOSS = 32, 1e-6
 SHORT = 16
 #: Bounds of the sketches: bytes that are broadcast.
 LEAST_SLOTS, MOST_SLOTS = 1 << 18, 1 << 25
@@ -39,6 +40,18 @@ _MULTIPLY = _rng.integers(0, 2**62, COORDINATES, dtype=np.int64).astype(U) * U(2
 _ADD = _rng.integers(0, 2**62, COORDINATES, dtype=np.int64).astype(U)
 
 
+def matches_of(percent: int) -> int:
+    """The most coordinates that all but a share LOSS of the pairs of this similarity agree in."""
+    p, lost = percent / 100, 0.0
+    for m in range(COORDINATES + 1):
+        lost += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)  # m coordinates or fewer agree
+        if lost >= LOSS:
+            break
+    if not m or percent > 100:
+        raise ValueError(f"{COORDINATES} coordinates can't find pairs of {percent} percent")
+    return m
+
+
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all rows, one row after another and sorted in each, and where each row begins."""
     words = Words(data, off, lower=True)
@@ -84,6 +97,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id).
     Linked are rows with 100 * intersection >= percent * union of their shingle sets."""
+    matches = matches_of(percent)
     rows = texts(docs, id_col, text_col)
     spark = rows.sparkSession
 
@@ -117,7 +131,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col
                 continue
             key = _coordinate_keys(_signatures(batch.column(1)))
             n = common.value[slot(key, slots)]
-            rank = np.argsort(n.astype(np.int64) << 32 | (mix(key.view(U)) >> U(32)).astype(np.int64), axis=1)[:, : COORDINATES - MATCHES + 1]
+            rank = np.argsort(n.astype(np.int64) << 32 | (mix(key.view(U)) >> U(32)).astype(np.int64), axis=1)[:, : COORDINATES - matches + 1]
             key, seen = np.take_along_axis(key, rank, 1), np.take_along_axis(n, rank, 1)
             at, which = np.nonzero(seen > 1)  # a key that was counted once is in no other node
             common_ = n.sum(1, dtype=np.int64)
@@ -143,7 +157,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     stars = members.where((F.col("size") > SHORT) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    pairs = _matching(short.select("m").mapInArrow(all_pairs, "a long, b long").union(stars).distinct(), nodes)
+    pairs = _matching(short.select("m").mapInArrow(all_pairs, "a long, b long").union(stars).distinct(), nodes, matches)
     pairs = settle(pairs)
     hot = settle(members.where(F.col("size") > SHORT).select("node").distinct())
 
@@ -206,7 +220,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col
     enough = F.least("rx", "ry") * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
     close = (F.col("lx") != F.col("ly")) & (F.col("main") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & enough
     more = left.join(right, "key").where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = settle(_matching(more, nodes))
+    more = settle(_matching(more, nodes, matches))
     links = links.union(_confirmed(more, sets, percent))
 
     found = components(links)
@@ -217,13 +231,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col
     return joined.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def _matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in MATCHES coordinates at least."""
+def _matching(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
+    """Pairs whose signatures agree in `matches` coordinates at least."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ok = (_signatures(batch.column(2)) == _signatures(batch.column(3))).sum(1) >= MATCHES
+                ok = (_signatures(batch.column(2)) == _signatures(batch.column(3))).sum(1) >= matches
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     sig = lambda name: nodes.select(F.col("node").alias(name), F.col("sig").alias(f"s{name}"))
