@@ -1,15 +1,20 @@
 """Byte-level BPE by a monoid tree reduction.
 
-Each match of the pattern is encoded by itself: a piece that is a token is that token; others are halved down to
-single tokens and put together again. The encodings of two neighbours are joined by encoding the bytes of the last
-i tokens on the left and the first j on the right anew, and i and j grow until the pairs at the window's edges are
-stable: a sequence of tokens is the encoding of its bytes if and only if each neighbouring pair is the encoding of
-its own bytes, so stable edges prove that nothing outside changes. Joining is associative, so halves of any shape
-give the same tokens, and a piece of n bytes takes O(n log n) however long it is. Decoding concatenates bytes up the
-same tree.
-
-A null text is empty. Ranks come from a file whose place is a parameter; its content is read on the driver and
-shared, and nothing of it is kept in the package.
+Each match of the pattern is encoded by itself: a piece that is a token is that token; any other is halved down to
+single bytes and put together again. The encodings of two neighbours are joined at their boundary: a sequence of
+tokens is the encoding of its bytes if and only if each neighbouring pair is the encoding of its own bytes, so only a
+window around the boundary is encoded anew. It grows to the left by doubling until the pair at its edge is stable, and
+to the right token by token until the next pair is; all tokens outside are then final. Joining is associative, so
+halves of any shape give the same tokens.
+
+Where the boundary moves no token but the nearest ones, a join takes a few steps; where it shifts all tokens to its
+right, as in runs of one character, it takes a step for each of them, each over a window of a few tokens. So a piece
+of n bytes takes O(n log n) steps; windows and halves that were seen before are remembered. A long window is merged
+through a heap. Decoding concatenates the tokens' bytes up a tree in the same way, level by level.
+
+A null text is empty and has no ids. Rows are encoded one by one: null and repeated ids, repeated rows and columns of
+any name change nothing, and an empty table gives an empty table. Ranks come from a file whose place is a parameter;
+its content is read on the driver and shared, and nothing of it is kept in the package.
 """
 
 from __future__ import annotations
@@ -17,16 +22,23 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import texts
 
-#: Remembered pieces and pairs of a worker; older ones are computed anew.
+#: Remembered pieces of a worker; when it is full it begins anew.
 CACHE = 250_000
-#: Pieces of up to so many bytes merge directly.
-SMALL = 24
+#: Remembered halves, windows and pairs of a worker.
+PARTS = 100_000
+#: Parts of more bytes are remembered for their own piece only.
+SHORT_PART = 32
+#: Windows of more bytes are merged through a heap.
+LONG_WINDOW = 96
+_NONE = 1 << 60
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,31 +54,67 @@ class Bpe:
         self.names = {i: t for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.halves: dict[bytes, tuple[bytes, ...]] = {}
+        self.windows: dict[bytes, list[bytes]] = {}
         self.pieces: dict[str, str] = {}
 
     def merged(self, raw: bytes) -> list[bytes]:
-        """Tokens of a few bytes: the lowest rank merges first, from the left."""
+        """Tokens of a window: the lowest rank merges first, from the left."""
+        known = self.windows.get(raw)
+        if known is None:
+            if len(raw) > LONG_WINDOW:
+                return self._merged_long(raw)
+            if len(self.windows) >= PARTS:
+                self.windows.clear()
+            known = self.windows[raw] = self._merged_short(raw)
+        return known
+
+    def _merged_short(self, raw: bytes) -> list[bytes]:
         parts = [raw[i : i + 1] for i in range(len(raw))]
-        rank, none = self.ranks.get, 1 << 60
-        pairs = [rank(raw[i : i + 2], none) for i in range(len(raw) - 1)]
+        rank = self.ranks.get
+        pairs = [rank(raw[i : i + 2], _NONE) for i in range(len(raw) - 1)]
         while pairs:
             best = min(pairs)
-            if best == none:
+            if best == _NONE:
                 break
             i = pairs.index(best)
             parts[i] += parts.pop(i + 1)
             del pairs[i]
             if i:
-                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], _NONE)
             if i < len(pairs):
-                pairs[i] = rank(parts[i] + parts[i + 1], none)
+                pairs[i] = rank(parts[i] + parts[i + 1], _NONE)
         return parts
 
+    def _merged_long(self, raw: bytes) -> list[bytes]:
+        n, rank = len(raw), self.ranks.get
+        ends = list(range(1, n + 1))  # where the token that begins here ends; 0: none begins here
+        before = list(range(-1, n - 1))
+        queue = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
+        heapify(queue)
+        while queue:
+            _, i, j, end = heappop(queue)
+            if ends[i] != j or j >= n or ends[j] != end:
+                continue  # one of the two has merged meanwhile
+            ends[i], ends[j] = end, 0
+            if end < n:
+                before[end] = i
+                if (r := rank(raw[i : ends[end]])) is not None:
+                    heappush(queue, (r, i, end, ends[end]))
+            h = before[i]
+            if h >= 0 and (r := rank(raw[h:end])) is not None:
+                heappush(queue, (r, h, i, end))
+        out, i = [], 0
+        while i < n:
+            out.append(raw[i : ends[i]])
+            i = ends[i]
+        return out
+
     def stable(self, a: bytes, b: bytes) -> bool:
         """Is (a, b) the encoding of its own bytes?"""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= CACHE // 10:
+            if len(self.pairs) >= PARTS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
@@ -74,28 +122,40 @@ class Bpe:
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
         """The encoding of left's bytes and right's, from their encodings."""
         if not left or not right:
-            return left + right
-        i = j = 0
-        if self.stable(left[-1], right[0]):
-            return left + right
-        i = j = 1
-        while True:
-            window = b"".join(left[-i:]) + b"".join(right[:j])
-            middle = self.merged(window) if len(window) <= 4 * SMALL else self.tree(window, whole=False)
-            more_left = i < len(left) and not self.stable(left[-i - 1], middle[0])
-            more_right = j < len(right) and not self.stable(middle[-1], right[j])
-            if not more_left and not more_right:
-                return left[:-i] + middle + right[j:]
-            i, j = i + more_left, j + more_right
-            i, j = min(len(left), i), min(len(right), j)
+            return [*left, *right]
+        out, known, stable = list(left), self.pairs.get, self.stable
+        for j, token in enumerate(right):
+            if known((out[-1], token)) or stable(out[-1], token):  # nothing changes from here on
+                out += right[j:]
+                return out
+            i = 1
+            while True:  # out and this token, encoded anew from the i-th last token of out on
+                middle = self.merged(b"".join(out[-i:]) + token)
+                if i >= len(out) or stable(out[-i - 1], middle[0]):
+                    break
+                i = min(2 * i, len(out))
+            out[-i:] = middle
+        return out
 
     def tree(self, raw: bytes, whole: bool = True) -> list[bytes]:
+        """The tokens of a piece (with whole: a token as such is itself, however it would merge)."""
         if whole and raw in self.ranks:
             return [raw]
-        if len(raw) <= SMALL:
-            return self.merged(raw)
-        half = len(raw) // 2
-        return self.join(self.tree(raw[:half], False), self.tree(raw[half:], False))
+        return list(self._reduced(raw, {}))
+
+    def _reduced(self, raw: bytes, own: dict[bytes, tuple[bytes, ...]]) -> tuple[bytes, ...]:
+        """Halved down to single bytes and joined. own: long parts of this piece, so that a periodic one is cheap."""
+        if len(raw) < 2:
+            return (raw,) if raw else ()
+        known = self.halves if len(raw) <= SHORT_PART else own
+        found = known.get(raw)
+        if found is None:
+            half = len(raw) // 2
+            found = tuple(self.join(self._reduced(raw[:half], own), self._reduced(raw[half:], own)))
+            if len(self.halves) >= PARTS:
+                self.halves.clear()
+            known[raw] = found
+        return found
 
     def piece(self, piece: str) -> str:
         """Ids of a piece as decimal text."""
@@ -115,17 +175,21 @@ class Bpe:
         return ",".join([known(p) or make(p) for p in self.find(text)])
 
     def decode(self, ids: list[int]) -> bytes:
-        """Bytes of the tokens, concatenated in halves."""
-        if len(ids) <= 4096:
-            return b"".join([self.names[i] for i in ids])
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        return concatenated([self.names[i] for i in ids])
+
+
+def concatenated(parts: list[bytes]) -> bytes:
+    """Neighbours put together up a tree, level by level."""
+    while len(parts) > 1:
+        odd = parts[-1:] if len(parts) % 2 else []
+        parts = list(map(add, parts[::2], parts[1::2])) + odd
+    return parts[0] if parts else b""
 
 
 def unreachable(ranks: dict[bytes, int]) -> list[bytes]:
     """Tokens that merging their own bytes doesn't give; a piece that equals one is still that token."""
     b = Bpe(ranks, ".")
-    return [t for t in ranks if b.merged(t) != [t]]
+    return [t for t in ranks if b.tree(t, whole=False) != [t]]
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -142,7 +206,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
                 text = x.as_py() or ""
                 joined = bpe.joined(text)
                 parts = joined.split(",") if joined else []
-                raw = b"".join(map(names.__getitem__, parts))
+                raw = concatenated(list(map(names.__getitem__, parts)))
                 out.append((len(parts), list(map(int, parts)) if with_ids else None, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.encode()))
             kinds = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate(kinds))], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip"])
