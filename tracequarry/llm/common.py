@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
-from .wordhash import U, mix
+from .wordhash import NULL_ID, U, mix
 
 SEGMENTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; only where that is unset (as in
-    tests on one machine) one of our own."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only in local mode, where all of Spark is
+    one process, one of our own if that is unset; on a cluster a missing setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,9 +30,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: its lineage ends there, and lost executors cost nothing."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Settled steps of one run, all removed at the end of a with block: what is returned from it must be settled
+    outside."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        self.paths.append(path)
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for x in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def buckets_of(spark: SparkSession, factor: int = 4) -> int:
@@ -52,6 +79,28 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (null: NULL_ID), tag (a hash of the text), text. Rows of one id are told apart by the tag; rows that
+    agree in both are one row read twice, and whatever is found for one holds for the other."""
+    rows = texts(docs, id_col, text_col)
+    return rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
+
+
+def real_id(column: Column) -> Column:
+    """NULL_ID as null again."""
+    return F.when(column != NULL_ID, column)
+
+
+#: A row and all its columns, so that what a stage adds can clash with none of them.
+KEYED = ("key", "row")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, row), settled: a key of its own for each row, and the whole row as a struct."""
+    bounded_batches(docs.sparkSession)
+    return settle(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")))
+
+
 def crc_mod(column: Column, n: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % n
 
@@ -104,7 +153,7 @@ def slot(keys: np.ndarray, slots: int) -> np.ndarray:
     return (mix(keys.astype(np.int64).view(U) + U(0x5107)) % U(slots)).astype(np.int64)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", settle: Callable[[DataFrame], DataFrame] = settle) -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches. Labels spread along edges and jump
     to their own label's label, so the rounds grow with the logarithm of the longest path."""
     both = settle(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(b, a)).distinct())

@@ -5,14 +5,19 @@ a repeat, and all words that a repeat covers go. The cover {0, 1, 3, 9} modulo 1
 common shift below 13 that brings both onto it, so two equal windows always share an aligned anchor of
 window - 12 words:
 
-1. anchors are hashed at cover positions only (4 of 13), dealt by hash, and those seen twice go into a filter of
-   fixed size;
+1. anchors are hashed at cover positions only (4 of 13), dealt by hash, and those seen twice go into a filter;
 2. around anchors in the filter, matches are extended to whole windows; each chunk of rows marks its own repeats
    and passes on only the first place of each window, so a passage in a third of all rows costs a chunk one entry;
-3. the first place over all chunks is found by bucket, and marks travel back to the rows' own buckets.
+3. the first place over all chunks is found by bucket, and marks (runs of positions) go back to their rows. Only
+   rows that a filter of marked rows holds meet the join; all others are finished where they are read.
 
-If the filter is full, more windows are compared; the result stays the same. Null ids sort first. A null text has
-no words. Rows with one id count as one row that was read twice: neither is earlier than the other.
+Both filters follow the input up to a bound; a fuller one means that more windows or rows are compared, and the result
+stays the same.
+
+Defined results: a null or empty text has no words and loses none. Null ids sort first. Rows of one id with different
+texts are different documents, in the order of a hash of their texts: of a passage that they share, the first keeps
+it. Rows that agree in id and text are one document read twice: neither is earlier than the other, and each gets
+that document's result. An empty table gives an empty table; other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +27,17 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import buckets_of, texts
-from .wordhash import NULL_ID, U, Words, ids, join_blobs, mix, slices, split_blobs, text_buffers
+from .common import buckets_of, power_of_two, real_id, settle, sketch, slot, tagged
+from .wordhash import U, Words, ids, join_blobs, mix, slices, split_blobs, text_buffers
 
 PERIOD = 13
 COVER = (0, 1, 3, 9)
-#: Bits of the filter for anchors seen twice: what is broadcast is this size at most.
-FILTER_BITS = 1 << 27
+#: Bounds of the filter for anchors seen twice, in bits, and of the one for marked rows.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 30
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 25
 CHUNK = 1 << 20
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 
@@ -50,19 +57,45 @@ def _some(h: np.ndarray) -> np.ndarray:
     return h[np.r_[np.ones(min(2, len(h)), bool), h[2:] != h[:-2]]]
 
 
+def _row(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    return mix(doc.view(U) + mix(tag.view(U)))
+
+
+def _runs(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places as runs of neighbours in a row: doc, tag, first, last."""
+    order = np.lexsort((pos, tag, doc))
+    doc, tag, pos = doc[order], tag[order], pos[order].astype(np.int64)
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (np.diff(pos) > 1)] if len(doc) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(doc)][: len(first)] - 1
+    return doc[first], tag[first], pos[first].astype(np.int32), pos[last].astype(np.int32)
+
+
+def _late(h: np.ndarray, g: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the places by window, the first of each window, and which are later than the first of theirs."""
+    order = np.lexsort((pos, tag, doc, g, h))
+    h, g, doc, tag, pos = h[order], g[order], doc[order], tag[order], pos[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])] if len(h) else np.zeros(0, bool)
+    at = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
+    return order, new, (doc != doc[at]) | (tag != tag[at]) | (pos != pos[at])
+
+
 def _bits(h: np.ndarray, segments: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segment and two bits in it."""
     a = mix(h + U(0x51))
     return (h % U(segments)).astype(np.int64), (a % U(bits)).astype(np.int64), ((a >> U(32)) % U(bits)).astype(np.int64)
 
 
-def removed_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
+def removed_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_text (kept words joined by one space). filter_bits: by
+    default a bit for four bytes of text, within LEAST_BITS and MOST_BITS."""
     if window < PERIOD:
         raise ValueError(f"window must be {PERIOD} words at least")
-    rows = texts(docs, id_col, text_col)
+    rows = tagged(docs, id_col, text_col)
     spark = rows.sparkSession
     buckets = buckets_of(spark)
+    if filter_bits is None:
+        filter_bits = power_of_two((rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // 4, LEAST_BITS, MOST_BITS)
     segment_bits = max(64, filter_bits // buckets)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,24 +141,18 @@ def removed_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
             return ((seen[s + (a >> 3)] >> (7 - (a & 7))) & (seen[s + (b >> 3)] >> (7 - (b & 7))) & 1).astype(bool)
 
         def flush():
-            h, g, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            places = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            order = np.lexsort((pos, doc, g, h))
-            h, g, doc, pos = h[order], g[order], doc[order], pos[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])] if len(h) else np.zeros(0, bool)
-            # not the first of its chunk, and not the same place read twice
-            at = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-            late = (doc != doc[at]) | (pos != pos[at])
-            out = [(0, *x) for x in split_blobs(h[new], buckets, h[new], g[new], doc[new], pos[new])]
-            doc, pos = doc[late], pos[late]
-            order = np.lexsort((pos, doc))
-            doc, pos = doc[order], pos[order]
-            out += [(1, *x) for x in split_blobs(mix(doc.astype(U)), buckets, doc, pos)]
+            order, new, late = _late(*places)
+            h, g, doc, tag, pos = (x[order] for x in places)
+            out = [(0, *x) for x in split_blobs(h[new], buckets, h[new], g[new], doc[new], tag[new], pos[new])]
+            runs = _runs(doc[late], tag[late], pos[late])
+            out += [(1, *x) for x in split_blobs(_row(*runs[:2]), buckets, *runs)]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["kind", "bucket", "blob"])
 
         for batch in batches:
-            doc_ids = ids(batch.column(0))
-            data, off = text_buffers(batch.column(1))
+            doc_ids, tags = ids(batch.column(0)), ids(batch.column(1))
+            data, off = text_buffers(batch.column(2))
             for lo, hi in slices(off):
                 words = Words(data, off[lo : hi + 1])
                 at, h = _anchors(words, window)
@@ -140,84 +167,94 @@ def removed_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
                 np.add.at(cover, begin[ok], 1)
                 np.add.at(cover, end[ok] + 1, -1)
                 at = np.flatnonzero(np.cumsum(cover[:n]) > 0)
-                held.append((words.windows(window)[at], (words.windows(window, 2)[at] >> U(32)).astype(np.uint32), doc_ids[lo + words.row[at]], words.position[at].astype(np.int32)))
+                own = lo + words.row[at]
+                held.append((words.windows(window)[at], (words.windows(window, 2)[at] >> U(32)).astype(np.uint32), doc_ids[own], tags[own], words.position[at].astype(np.int32)))
                 if sum(len(x[0]) for x in held) > CHUNK:
                     yield flush()
         if held:
             yield flush()
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bucket after bucket of a sorted partition; marks leave together, so that their number of rows stays that of
-        the partitions and not of the buckets."""
+        """Bucket after bucket of a sorted partition: a row for each document that has marks, again and again as
+        buffers fill."""
         blobs: list[bytes] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         now = None
 
         def close():
             if blobs:
-                h, g, doc, pos = join_blobs(blobs, np.uint64, np.uint32, np.int64, np.int32)
+                places = join_blobs(blobs, np.uint64, np.uint32, np.int64, np.int64, np.int32)
                 blobs.clear()
-                order = np.lexsort((pos, doc, g, h))
-                h, g, doc, pos = h[order], g[order], doc[order], pos[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
-                at = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-                late = (doc != doc[at]) | (pos != pos[at])
-                found.append((doc[late], pos[late]))
+                order, _, late = _late(*places)
+                found.append(_runs(*(x[order][late] for x in places[2:])))
 
         def flush():
-            doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+            doc, tag, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
             found.clear()
-            order = np.lexsort((pos, doc))
-            out = split_blobs(mix(doc[order].astype(U)), buckets, doc[order], pos[order])
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
+            order = np.lexsort((first, tag, doc))
+            doc, tag, runs = doc[order], tag[order], np.stack([first[order], last[order]], 1)
+            begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]) if len(doc) else np.zeros(0, np.int64)
+            packed = [runs[a:b].tobytes() for a, b in zip(begin, np.r_[begin[1:], len(doc)], strict=True)] if len(doc) else []
+            return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(tag[begin]), pa.array(packed, pa.binary())], ["doc_id", "tag", "runs"])
 
         for batch in batches:
-            kinds, where = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (k, b) in enumerate(zip(kinds, where, strict=True)):
-                if k == 0:
-                    if b != now:
+            for kind, bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if kind:
+                    found.append(tuple(join_blobs([blob.as_py()], np.int64, np.int64, np.int32, np.int32)))
+                else:
+                    if bucket != now:
                         close()
-                        now = b
-                        if sum(len(x[0]) for x in found) > 4 * CHUNK:
-                            yield flush()
-                    blobs.append(batch.column(2)[i].as_py())
-            passed = batch.filter(pa.array([k == 1 for k in kinds]))
-            if passed.num_rows:
-                yield passed.select(["bucket", "blob"])
+                        now = bucket
+                    blobs.append(blob.as_py())
+                if sum(len(x[0]) for x in found) > CHUNK:
+                    yield flush()
         close()
         if found:
             yield flush()
 
     sorted_ = rows.mapInArrow(candidates, "kind int, bucket int, blob binary").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-    marks = sorted_.mapInArrow(later, "bucket int, blob binary")
+    marks = settle(sorted_.mapInArrow(later, "doc_id long, tag long, runs binary"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket = (mix(ids(batch.column(0)).astype(U)) % U(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", "doc_id", "text"])
-
-    def kept(key: tuple, table: pa.Table, marked: pa.Table) -> pa.Table:
-        doc, pos = join_blobs(marked.column("blob").to_pylist(), np.int64, np.int32)
-        order = np.argsort(doc, kind="stable")
-        doc, pos = doc[order], pos[order]
-        out: list[tuple] = []
-        for batch in table.combine_chunks().to_batches():
-            doc_ids = ids(batch.column(1))
-            data, off = text_buffers(batch.column(2))
-            lo_, hi_ = np.searchsorted(doc, doc_ids, "left"), np.searchsorted(doc, doc_ids, "right")
-            for i, (a, b) in enumerate(zip(lo_, hi_, strict=True)):
+            yield pa.RecordBatch.from_arrays([pa.array(_row(ids(batch.column(0)), ids(batch.column(1))).view(np.int64))], ["key"])
+
+    slots = power_of_two(16 * marks.count(), LEAST_SLOTS, MOST_SLOTS)
+    marked = spark.sparkContext.broadcast(np.packbits(sketch(marks.select("doc_id", "tag").mapInArrow(row_keys, "key long"), slots) > 0).tobytes())
+
+    def split(wanted: bool):
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(marked.value, np.uint8)
+            for batch in batches:
+                at = slot(_row(ids(batch.column(0)), ids(batch.column(1))), slots)
+                hit = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+                yield batch.filter(pa.array(hit == wanted))
+
+        return rows.mapInArrow(part, "doc_id long, tag long, text string")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = text_buffers(batch.column(1))
+            n_words, n_removed, texts_ = [], [], []
+            for i, runs in enumerate(batch.column(2).to_pylist()):
                 words = data[off[i] : off[i + 1]].tobytes().split()
                 n = len(words)
-                removed = 0
-                if a < b:
+                gone = 0
+                if runs:
                     edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, pos[a:b], 1)
-                    np.add.at(edge, pos[a:b] + window, -1)
+                    run = np.frombuffer(b"".join(runs), np.int32).reshape(-1, 2)
+                    np.add.at(edge, run[:, 0], 1)
+                    np.add.at(edge, run[:, 1] + window, -1)
                     keep = np.cumsum(edge[:n]) == 0
-                    removed = n - int(keep.sum())
+                    gone = n - int(keep.sum())
                     words = list(compress(words, keep.tolist()))
-                out.append((None if doc_ids[i] == NULL_ID else int(doc_ids[i]), n, removed, b" ".join(words)))
-        return pa.table({"doc_id": pa.array([x[0] for x in out], pa.int64()), "n_words": pa.array([x[1] for x in out], pa.int64()), "n_removed": pa.array([x[2] for x in out], pa.int64()), "kept_text": pa.array([x[3] for x in out], pa.binary()).cast(pa.string())})
-
-    dealt = rows.mapInArrow(deal, "bucket int, doc_id long, text string")
-    return dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(kept, "doc_id long, n_words long, n_removed long, kept_text string")
+                n_words.append(n)
+                n_removed.append(gone)
+                texts_.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts_, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+    per_row = marks.groupBy("doc_id", "tag").agg(F.collect_list("runs").alias("runs"))  # a row's own marks
+    touched = split(True).join(per_row, ["doc_id", "tag"], "left").select("doc_id", "text", "runs")
+    others = split(False).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("runs"))
+    out = others.union(touched).mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_text string")
+    return out.select(real_id(F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_text")
