@@ -1,20 +1,26 @@
 """Near-duplicate components by an inverted join over MinHash coordinates.
 
 1. Each row gets the set of its distinct word shingles and `COORDINATES` MinHash values. Rows with equal sets are one
-   node (the smallest id).
+   node; its number is its own, and its first row (smallest id, then tag) stands for it.
 2. Nodes are posted under (coordinate, value). Two signatures that agree in `matches` coordinates must share one of
-   the COORDINATES - matches + 1 rarest of each, so only those are posted, rarest first by a sketch of fixed size.
-3. Lists of up to `SHORT` nodes give their pairs. Longer lists are not merged: all their nodes meet one centre, the
-   node whose coordinates are most common. Pairs with fewer than `matches` agreeing coordinates are skipped; the rest
-   is confirmed on whole sets.
-4. Nodes of long lists that the centres left in different components meet again under the rarest shingles of their
+   the COORDINATES - matches + 1 rarest of each (the prefix), so only those are posted, rarest first by a sketch of
+   fixed size.
+3. Posting lists of up to `SHORT` nodes are merged: they give their pairs. Longer lists are skipped in merging: all
+   their nodes meet one centre, the node whose coordinates are most common. For each pair the collisions over all
+   coordinates are counted, pairs with fewer than `matches` go, and the rest is confirmed on whole sets.
+4. Nodes of skipped lists that the centres left in different components meet again under the rarest shingles of their
    sets: two sets of the wanted similarity share one of the (1 - similarity) * n + 1 rarest of each. Only nodes
-   outside a list's largest component are paired, so a large group of near copies costs a row per copy.
-5. Components of the confirmed links.
+   outside a list's largest component are paired, so a large group of near copies costs a row per copy; hot shingles
+   are split into parts of `PART` nodes. These pairs pass the same count and the same confirmation.
+5. Components of the confirmed links, named by their first row.
 
 `matches` follows the wanted similarity: two rows that have it agree in fewer coordinates with a probability below
-`LOSS`, one in a million (16 of 32 at 0.85, 13 at 0.80); nothing else can lose a link. A text with fewer words than a shingle is one shingle; one without words is
-linked with nothing. Null ids sort first. Rows with one id are one node if their texts agree.
+`LOSS`, one in a million (16 of 32 at 0.85, 13 at 0.80); nothing else can lose a link.
+
+Defined results: a text with fewer words than a shingle is one shingle; a null or empty text, or one without words, is
+linked with nothing. Ids are labels only: rows of one id with different texts are different rows and keep all their
+links. Null ids sort before all others, and a component with one is named null (kept is then true for its rows with a
+null id, as for any id). Repeated rows are equal sets. An empty table gives an empty table; other columns take no part.
 """
 
 from __future__ import annotations
@@ -27,11 +33,12 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import components, power_of_two, settle, sketch, slot, texts
-from .wordhash import NULL_ID, U, Words, ids, mix, slices, text_buffers
+from .common import Scratch, components, power_of_two, real_id, settle, sketch, slot, tagged
+from .wordhash import U, Words, ids, mix, slices, text_buffers
 
 COORDINATES, LOSS = 32, 1e-6
 SHORT = 16
+PART = 2000
 #: Bounds of the sketches: bytes that are broadcast.
 LEAST_SLOTS, MOST_SLOTS = 1 << 18, 1 << 25
 
@@ -97,24 +104,36 @@ def _signatures(column: pa.Array) -> np.ndarray:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id).
     Linked are rows with 100 * intersection >= percent * union of their shingle sets."""
-    matches = matches_of(percent)
-    rows = texts(docs, id_col, text_col)
+    found = row_components(tagged(docs, id_col, text_col), shingle, percent)
+    return found.select(real_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real_id(F.col("first_id")).alias("component_id"), (F.col("doc_id") == F.col("first_id")).alias("kept"))
+
+
+def row_components(rows: DataFrame, shingle: int = 5, percent: int = 85) -> DataFrame:
+    """rows: doc_id (no nulls), tag, text, where (doc_id, tag) tells rows apart. One settled row per input row: doc_id,
+    tag, n (shingles), first_id and first_tag (of the first row of the component: the row itself if it has no words)."""
     spark = rows.sparkSession
+    with Scratch(spark) as scratch:
+        return settle(_components(rows, shingle, percent, scratch))
+
+
+def _components(rows: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    matches = matches_of(percent)
+    spark, settle = rows.sparkSession, scratch.settle
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = ids(batch.column(0))
-            data, off = text_buffers(batch.column(1))
+            data, off = text_buffers(batch.column(2))
             for lo, hi in slices(off):
                 h, first = shingle_sets(data, off[lo : hi + 1], shingle)
                 n = np.diff(first)
                 sums = [np.r_[U(0), np.cumsum(mix(h + U(k)))] for k in (1, 2)]
                 f1, f2 = (mix(s[first[1:]] - s[first[:-1]] + n.astype(U)).view(np.int64) for s in sums)
                 sig = _minhash(h, first)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi]), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "n", "f1", "f2", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(2)), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "tag", "n", "f1", "f2", "sig"])
 
-    signed = settle(rows.mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, sig binary"))
-    nodes = settle(signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
+    signed = settle(rows.select("doc_id", "tag", "text").mapInArrow(sign, "doc_id long, tag long, n long, f1 long, f2 long, sig binary"))
+    equal = signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "tag")).alias("row"), F.first("sig").alias("sig"))
+    nodes = settle(equal.select("f1", "f2", "n", "row.doc_id", "row.tag", "sig", F.monotonically_increasing_id().alias("node")))
     n_nodes = nodes.count()
     slots = power_of_two(32 * n_nodes, LEAST_SLOTS, MOST_SLOTS)
 
@@ -140,7 +159,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col
 
     posted = settle(nodes.select("node", "sig").mapInArrow(post, "key long, node long, common long"))
     lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.max_by("node", F.struct("common", -F.col("node"))).alias("centre")).where("size > 1")
-    lists = settle(lists)
     members = settle(posted.join(lists, "key").select("key", "node", "size", "centre"))
     short = members.where(F.col("size") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
 
@@ -157,31 +175,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     stars = members.where((F.col("size") > SHORT) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    pairs = _matching(short.select("m").mapInArrow(all_pairs, "a long, b long").union(stars).distinct(), nodes, matches)
-    pairs = settle(pairs)
+    pairs = settle(_matching(short.select("m").mapInArrow(all_pairs, "a long, b long").union(stars).distinct(), nodes, matches))
     hot = settle(members.where(F.col("size") > SHORT).select("node").distinct())
 
     # Whole sets of the nodes in question alone; a filter of fixed size keeps other texts from being shuffled.
-    wanted_ids = pairs.select("a").union(pairs.select("b")).union(hot)
+    row_key = F.xxhash64("doc_id", "tag").alias("k")
+    wanted_nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot).distinct()
     filter_slots = power_of_two(16 * n_nodes, LEAST_SLOTS, MOST_SLOTS)
-    wanted = spark.sparkContext.broadcast(np.packbits(sketch(wanted_ids.toDF("k"), filter_slots) > 0))
+    wanted = spark.sparkContext.broadcast(np.packbits(sketch(nodes.join(wanted_nodes, "node", "left_semi").select(row_key), filter_slots) > 0))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in batches:
-            doc = ids(batch.column(0))
-            at = slot(doc, filter_slots)
+            k = batch.column(0).to_numpy()
+            at = slot(k, filter_slots)
             take = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            take = take[np.unique(k[take], return_index=True)[1]]  # of rows that were read twice, one
             if not len(take):
                 continue
-            doc = doc[take]
-            data, off = text_buffers(batch.column(1).take(pa.array(take)))
+            doc, tag, text = (batch.column(i).take(pa.array(take)) for i in (1, 2, 3))
+            data, off = text_buffers(text)
             for lo, hi in slices(off):
                 h, first = shingle_sets(data, off[lo : hi + 1], shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi]), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["node", "items"])
+                yield pa.RecordBatch.from_arrays([doc.slice(lo, hi - lo), tag.slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "tag", "items"])
 
-    sets = rows.mapInArrow(sets_of, "node long, items binary").join(nodes.select("node"), "node", "left_semi")
-    sets = settle(sets.dropDuplicates(["node"]))
+    found_sets = rows.select(row_key, "doc_id", "tag", "text").mapInArrow(sets_of, "doc_id long, tag long, items binary")
+    sets = settle(found_sets.join(nodes.select("doc_id", "tag", "node"), ["doc_id", "tag"]).select("node", "items").dropDuplicates(["node"]))
     links = settle(_confirmed(pairs, sets, percent))
 
     # Long lists: what the centres left apart. A label is the smallest centre that a node is linked with or is.
@@ -212,23 +231,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col
     rare = hot_sets.select("node", "items").mapInArrow(rarest, "key long, node long, n long, left long").join(labelled, "node")
     rare = settle(rare.select("key", "node", "n", "left", "label"))
     by_label = rare.groupBy("key", "label").agg(F.count("*").alias("c"))
-    mixed = settle(by_label.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1"))
-    apart = rare.join(mixed, "key")
-    left = apart.where(F.col("label") != F.col("largest")).select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("left").alias("rx"))
-    right = apart.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("left").alias("ry"), (F.col("label") == F.col("largest")).alias("main"))
+    mixed = by_label.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count("*").alias("labels"), F.ceil(F.sum("c") / PART).cast("int").alias("parts")).where("labels > 1")
+    apart = rare.join(settle(mixed), "key")
+    left = apart.where(F.col("label") != F.col("largest")).select("key", F.pmod(F.hash("node"), "parts").alias("part"), F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("left").alias("rx"))
+    right = apart.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("left").alias("ry"), (F.col("label") == F.col("largest")).alias("main"))
     # Rarest first, a set shares with another at most what is left of it from their first common shingle on.
     enough = F.least("rx", "ry") * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
     close = (F.col("lx") != F.col("ly")) & (F.col("main") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & enough
-    more = left.join(right, "key").where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = left.join(right, ["key", "part"]).where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = settle(_matching(more, nodes, matches))
     links = links.union(_confirmed(more, sets, percent))
 
-    found = components(links)
-    labels = nodes.select("f1", "f2", "n", "node").join(found, "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("component"))
-    joined = signed.select("doc_id", "n", "f1", "f2").join(labels, ["f1", "f2", "n"], "left")
-    real = lambda c: F.when(c != NULL_ID, c)
-    component = F.coalesce("component", "doc_id")
-    return joined.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    # The first row of each component; nodes without links, nearly all, stand for themselves.
+    found = components(links, settle=settle)
+    first_rows = found.join(nodes.select("node", "doc_id", "tag"), "node").groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
+    named = found.join(first_rows, "component").select("node", "first")
+    labels = nodes.select("f1", "f2", "n", "node", F.struct("doc_id", "tag").alias("own")).join(named, "node", "left").select("f1", "f2", "n", F.coalesce("first", "own").alias("first"))
+    worded = signed.where("n > 0").join(labels, ["f1", "f2", "n"]).select("doc_id", "tag", "n", "first.*")
+    wordless = signed.where("n = 0").select("doc_id", "tag", "n", F.col("doc_id").alias("first_id"), F.col("tag").alias("first_tag"))
+    return worded.toDF(*wordless.columns).union(wordless)
 
 
 def _matching(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
