@@ -113,19 +113,6 @@ def test_lm_score(spark, docs, empty):
     assert lm_score.scored(empty).count() == 0
 
 
-def test_lm_is_a_distribution():
-    """Class probabilities sum to one, and windows don't change a text's likelihood."""
-    import numpy as np
-
-    g = lm_score.Gru(7, 5)
-    text = [np.array([1, 2, 3, 4, 5, 6, 0, 1, 1]), np.array([6]), np.array([2] * 40)]
-    assert np.allclose(g.score(text, window=4), g.score(text, window=64), rtol=1e-5)
-    assert np.allclose(np.exp(g.log_softmax(np.zeros((3, 5), np.float32))).sum(-1), 1, atol=1e-5)
-    before = g.score(text).sum()
-    g.fit(text * 20, batch=4, epochs=5)
-    assert g.score(text).sum() > before
-
-
 def test_media(spark, docs, empty):
     out = rows(media_ts.parsed(media_ts.stored(docs)), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "continuity_errors")
     for d, t in corpus():
