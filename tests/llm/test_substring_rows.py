@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from tracequarry.llm import substring_dedup
+from tracequarry.llm import common, substring_dedup
 
 from . import brute
 
@@ -55,8 +55,7 @@ def test_shared_and_missing_ids(spark, bits):
 
 def test_full_row_filter(spark, monkeypatch):
     """A filter of marked rows that lets all through changes nothing."""
-    monkeypatch.setattr(substring_dedup, "LEAST_SLOTS", 64)
-    monkeypatch.setattr(substring_dedup, "MOST_SLOTS", 64)
+    monkeypatch.setattr(substring_dedup, "with_marks", lambda rows, marks: common.with_marks(rows, marks, 64, 64))
     docs = corpus()
     out = substring_dedup.removed_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(2))
     assert Counter(map(tuple, out.select("doc_id", "n_words", "n_removed", "kept_text").collect())) == expected(docs)

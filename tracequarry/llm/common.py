@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
-from .wordhash import NULL_ID, U, mix
+from .wordhash import NULL_ID, U, ids, mix
 
 SEGMENTS = 64
 
@@ -79,11 +79,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (null: NULL_ID), tag (a hash of the text), text. Rows of one id are told apart by the tag; rows that
-    agree in both are one row read twice, and whatever is found for one holds for the other."""
-    rows = texts(docs, id_col, text_col)
-    return rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
+def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id (null: NULL_ID), tag (a hash of the text), and the text, or with whole the row as a struct, so that what is
+    added can clash with none of its columns. Rows of one id are told apart by the tag; rows that agree in both are one
+    row read twice, and whatever is found for one holds for the other."""
+    bounded_batches(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    payload = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if whole else text.alias("text")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), payload)
 
 
 def real_id(column: Column) -> Column:
@@ -91,14 +94,10 @@ def real_id(column: Column) -> Column:
     return F.when(column != NULL_ID, column)
 
 
-#: A row and all its columns, so that what a stage adds can clash with none of them.
-KEYED = ("key", "row")
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """(key, row), settled: a key of its own for each row, and the whole row as a struct."""
     bounded_batches(docs.sparkSession)
-    return settle(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")))
+    return settle(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
 
 
 def crc_mod(column: Column, n: int) -> Column:
@@ -153,6 +152,38 @@ def slot(keys: np.ndarray, slots: int) -> np.ndarray:
     return (mix(keys.astype(np.int64).view(U) + U(0x5107)) % U(slots)).astype(np.int64)
 
 
+def row_hash(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    return mix(doc.view(U) + mix(tag.view(U)))
+
+
+def with_marks(rows: DataFrame, marks: DataFrame, least: int = 1 << 16, most: int = 1 << 25) -> DataFrame:
+    """rows (doc_id, tag, more) with a column `marks`: the array of what marks (doc_id, tag, mark binary; settled) holds
+    for each, null for none. Only rows that a filter of marked rows holds are shuffled; it follows the number of marks
+    up to a bound, beyond which more rows are shuffled and the result stays the same."""
+    spark, names = rows.sparkSession, rows.columns
+
+    def row_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(row_hash(ids(batch.column(0)), ids(batch.column(1))).view(np.int64))], ["key"])
+
+    slots = power_of_two(16 * marks.count(), least, most)
+    marked = spark.sparkContext.broadcast(np.packbits(sketch(marks.select("doc_id", "tag").mapInArrow(row_keys, "key long"), slots) > 0).tobytes())
+
+    def split(wanted: bool) -> DataFrame:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(marked.value, np.uint8)
+            for batch in batches:
+                at = slot(row_hash(ids(batch.column(0)), ids(batch.column(1))), slots)
+                hit = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+                yield batch.filter(pa.array(hit == wanted))
+
+        return rows.mapInArrow(part, rows.schema)
+
+    per_row = marks.groupBy("doc_id", "tag").agg(F.collect_list("mark").alias("marks"))  # a row's own marks
+    touched = split(True).join(per_row, ["doc_id", "tag"], "left").select(*names, "marks")
+    return split(False).select(*names, F.lit(None).cast("array<binary>").alias("marks")).union(touched)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", settle: Callable[[DataFrame], DataFrame] = settle) -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches. Labels spread along edges and jump
     to their own label's label, so the rounds grow with the logarithm of the longest path."""

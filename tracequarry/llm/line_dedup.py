@@ -5,11 +5,12 @@ keys of at least `min_chars` code points in a once-seen filter, and what it find
 Only keys that the twice-seen filter holds are shuffled, as 128-bit hashes, for the exact count of rows and the
 largest id. Keys in `min_rows` rows or more lose all their lines but those in the row of the largest id.
 
-The filters have a size bound (`max_bits`); beyond it more keys are shuffled and the result stays the same. The keys
-to drop are broadcast while there are at most `broadcast_keys` of them; else they are joined to the rows.
+The filters have a size bound (`max_bits`); beyond it more keys are shuffled and the result stays the same. Keys to
+drop go back to their rows through a join that only rows with such keys meet.
 
-A null or empty text is one empty line. Null ids take part in the counts and never hold a key's last copy, unless
-all its ids are null. Repeated rows count one by one; all rows of a keeper's id keep the line.
+Defined results: a null or empty text is one empty line. Null ids take part in the counts and never hold a key's last
+copy, unless all its ids are null. Repeated rows count one by one; all rows of a keeper's id keep the line. An empty
+table gives an empty table; other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
-from .common import settle, texts
-from .wordhash import NULL_ID, ids, text_buffers
+from .common import real_id, settle, tagged, with_marks
+from .wordhash import ids, text_buffers
 
 MAX_BITS = 1 << 28
-BROADCAST_KEYS = 400_000
 SEGMENTS = 64
 CHUNK = 1 << 18
 FLUSH = 1 << 16
@@ -48,10 +48,10 @@ def _hash(key: bytes) -> bytes:
     return xxhash.xxh3_128_digest(key)
 
 
-def shared_lines_removed(docs: DataFrame, min_rows: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, broadcast_keys: int = BROADCAST_KEYS, carry: bool = False) -> DataFrame:
-    """One row per input row: doc_id (with carry: all its columns), n_lines (before), n_dropped, kept_text."""
-    rows = texts(docs, id_col, text_col)
-    packed = docs.select((F.struct("*") if carry else F.struct(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))).alias("row"))
+def shared_lines_removed(docs: DataFrame, min_rows: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, carry: bool = False) -> DataFrame:
+    """One row per input row: doc_id (with carry: the whole row as the struct `row`), n_lines (before), n_dropped,
+    kept_text."""
+    rows = tagged(docs, id_col, text_col)
     spark = rows.sparkSession
     bits = min(max_bits, max(1 << 20, 1 << (64 * docs.count()).bit_length()))
     width = bits // SEGMENTS
@@ -112,8 +112,7 @@ def shared_lines_removed(docs: DataFrame, min_rows: int = 5, min_chars: int = 40
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(twice_seen.value, np.uint8)
         for batch in batches:
-            doc_ids = ids(batch.column(0))
-            data, off = text_buffers(batch.column(1))
+            data, off = text_buffers(batch.column(2))
             raw = data.tobytes()
             digests: list[bytes] = []
             owner: list[int] = []
@@ -122,60 +121,61 @@ def shared_lines_removed(docs: DataFrame, min_rows: int = 5, min_chars: int = 40
                 at = places(digests)
                 hit = ((seen[at >> 3] >> (7 - (at & 7))) & 1).all(1)
                 key = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)[hit]
-                doc = np.array(owner, np.int64)[hit]
+                own = pa.array(np.array(owner, np.int64)[hit])
                 digests.clear()
                 owner.clear()
-                return pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(doc, mask=doc == NULL_ID)], ["k1", "k2", "doc_id"])
+                return pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), batch.column(0).take(own), batch.column(1).take(own)], ["k1", "k2", "doc_id", "tag"])
 
             for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                 keys = set(line_keys(raw[a:b], min_chars))
                 keys.discard(None)
                 digests.extend(map(_hash, keys))
-                owner.extend([int(doc_ids[i])] * len(keys))
+                owner.extend([i] * len(keys))
                 if len(digests) > FLUSH:
                     yield flush()
             if digests:
                 yield flush()
 
-    suspected = rows.mapInArrow(suspects, "k1 long, k2 long, doc_id long")
-    drop = settle(suspected.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_rows).select("k1", "k2", "keeper"))
-    if drop.count() <= broadcast_keys:
-        wanted = spark.sparkContext.broadcast({r["key"]: r["keeper"] for r in drop.select(F.concat(_raw("k1"), _raw("k2")).alias("key"), "keeper").toLocalIterator()})
-        with_keys = packed.withColumn("keys", F.lit(None).cast("binary"))
-    else:
-        wanted = None
-        mine = suspected.join(drop, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        per_row = mine.groupBy(F.col("doc_id").alias("mine_id")).agg(F.array_join(F.collect_set(F.hex(F.concat(_raw("k1"), _raw("k2")))), "").alias("keys"))
-        with_keys = packed.join(per_row, F.col(f"row.{id_col}").cast("long").eqNullSafe(per_row["mine_id"]), "left").select("row", F.unhex("keys").alias("keys"))
+    suspected = settle(rows.mapInArrow(suspects, "k1 long, k2 long, doc_id long, tag long"))
+    drop = suspected.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_rows).select("k1", "k2", "keeper")
+    mine = suspected.join(drop, ["k1", "k2"]).where(F.col("doc_id") != F.col("keeper")).select("doc_id", "tag", "k1", "k2")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The keys of a row side by side, as far as they come together."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, tag, k1, k2 = (c.to_numpy() for c in batch.columns)
+            order = np.lexsort((tag, doc))
+            doc, tag, key = doc[order], tag[order], np.stack([k1, k2], 1)[order]
+            begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+            blobs = [key[a:b].tobytes() for a, b in zip(begin, np.r_[begin[1:], len(doc)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(tag[begin]), pa.array(blobs, pa.binary())], ["doc_id", "tag", "mark"])
+
+    marks = settle(mine.distinct().mapInArrow(packed, "doc_id long, tag long, mark binary"))
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, own = batch.column(0), batch.column(1)
-            doc_ids = ids(row.field(id_col))
-            data, off = text_buffers(row.field(text_col))
+            given = batch.column(1)
+            data, off = text_buffers(given.field(text_col) if carry else given)
             raw = data.tobytes()
             n_lines, n_dropped, kept = [], [], []
-            for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+            for a, b, own in zip(off[:-1].tolist(), off[1:].tolist(), batch.column(2).to_pylist(), strict=True):
                 text = raw[a:b]
                 lines = text.split(b"\n")
                 n_lines.append(len(lines))
-                if wanted is not None:
-                    keeper = wanted.value
-                    me = None if doc_ids[i] == NULL_ID else int(doc_ids[i])
-                    gone = [k is not None and (h := _hash(k)) in keeper and keeper[h] != me for k in line_keys(text, min_chars)]
-                else:
-                    x = own[i].as_py() or b""
-                    mine_ = {x[j : j + 16] for j in range(0, len(x), 16)}
-                    gone = [k is not None and _hash(k) in mine_ for k in line_keys(text, min_chars)] if mine_ else []
+                gone: list[bool] = []
+                if own:
+                    x = b"".join(own)
+                    dropped = {x[j : j + 16] for j in range(0, len(x), 16)}
+                    gone = [k is not None and _hash(k) in dropped for k in line_keys(text, min_chars)]
                 n_dropped.append(sum(gone))
                 kept.append(b"\n".join([x for x, g in zip(lines, gone, strict=True) if not g]) if n_dropped[-1] else text)
-            yield pa.RecordBatch.from_arrays([row, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "n_lines", "n_dropped", "kept_text"])
-
-    kind = packed.schema["row"].dataType.simpleString()
-    out = with_keys.mapInArrow(cleaned, f"row {kind}, n_lines long, n_dropped long, kept_text string")
-    return out.select("row.*" if carry else F.col(f"row.{id_col}").alias("doc_id"), "n_lines", "n_dropped", "kept_text")
-
-
-def _raw(name: str) -> Column:
-    """The eight bytes of a long as the digest has them (least significant first)."""
-    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(F.col(name), 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(8))))
+            first = given if carry else batch.column(0)
+            yield pa.RecordBatch.from_arrays([first, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row" if carry else "doc_id", "n_lines", "n_dropped", "kept_text"])
+
+    whole = tagged(docs, id_col, text_col, whole=True) if carry else rows
+    payload = "row" if carry else "text"
+    kind = f"row {whole.schema['row'].dataType.simpleString()}" if carry else "doc_id long"
+    out = with_marks(whole, marks).select("doc_id", payload, "marks").mapInArrow(cleaned, f"{kind}, n_lines long, n_dropped long, kept_text string")
+    return out if carry else out.withColumn("doc_id", real_id(F.col("doc_id")))

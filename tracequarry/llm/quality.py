@@ -6,8 +6,14 @@ round to the logistic loss and adds them up in one lookup table per feature and
 logistic of the sum of a text's table entries. Pairs are those whose quadrants explain most of what single features
 leave.
 
-Training reads labelled rows with a permitted id, up to `fit_rows` chosen by a hash of the id; every row's whole
-text is scored. A null text is empty and scored like an empty one.
+Training reads labelled rows with a permitted id, up to `fit_rows` chosen by a hash of the id and the text; what reaches
+the driver is their features. Every row's whole text is scored.
+
+Defined results: a null text is empty and scored like an empty one. A score depends on the text alone, so repeated rows
+and rows of one id are scored each by its own text. An id with several labels has the largest; labels that are null or
+neither 0 nor 1 are none. Rows with a null id are never learned from and not held out. Without training rows, or with
+one class, every score is the smoothed share of label 1 (0.5 without rows). An empty table gives an empty table; other
+columns take no part.
 """
 
 from __future__ import annotations
@@ -199,25 +205,27 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Gam:
     return model
 
 
-def text_features(texts_: list[bytes]) -> np.ndarray:
-    joined = np.frombuffer(b"".join(texts_), np.uint8)
-    off = np.r_[0, np.cumsum([len(t) for t in texts_])].astype(np.int64)
-    return np.concatenate([np.zeros((0, len(FEATURES))), *(features(joined, off[lo : hi + 1]) for lo, hi in slices(off))])
+def text_features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros((0, len(FEATURES))), *(features(data, off[lo : hi + 1]) for lo, hi in slices(off))])
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out (crc32 of the id mod 5 is 0), score, predicted."""
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = text_features(*text_buffers(batch.column(3)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "tag", "y", "x"])
+
     sample = labelled_sample(docs, labels, label, F.coalesce(crc_mod(F.col("doc_id"), 5) != 0, F.lit(False)), fit_rows, id_col, text_col)
-    model = fit(text_features([t for t, _ in sample]), np.array([y for _, y in sample]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = sample.select("doc_id", "tag", "y", "text").mapInArrow(described, "doc_id long, tag long, y int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("tag", "ascending")])
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), float).reshape(-1, len(FEATURES))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(x, np.array(rows.column("y").to_pylist(), float)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = text_buffers(batch.column(1))
-            out = np.zeros(batch.num_rows)
-            for lo, hi in slices(off):
-                out[lo:hi] = shared.value.score(features(data, off[lo : hi + 1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
+            x = text_features(*text_buffers(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], ["doc_id", "score"])
 
     return texts(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double").select(
         "doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")

@@ -30,14 +30,13 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import buckets_of, power_of_two, real_id, settle, sketch, slot, tagged
+from .common import buckets_of, power_of_two, real_id, row_hash, settle, tagged, with_marks
 from .wordhash import U, Words, ids, join_blobs, mix, slices, split_blobs, text_buffers
 
 PERIOD = 13
 COVER = (0, 1, 3, 9)
-#: Bounds of the filter for anchors seen twice, in bits, and of the one for marked rows.
+#: Bounds of the filter for anchors seen twice, in bits.
 LEAST_BITS, MOST_BITS = 1 << 22, 1 << 30
-LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 25
 CHUNK = 1 << 20
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 
@@ -57,10 +56,6 @@ def _some(h: np.ndarray) -> np.ndarray:
     return h[np.r_[np.ones(min(2, len(h)), bool), h[2:] != h[:-2]]]
 
 
-def _row(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    return mix(doc.view(U) + mix(tag.view(U)))
-
-
 def _runs(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
     """Places as runs of neighbours in a row: doc, tag, first, last."""
     order = np.lexsort((pos, tag, doc))
@@ -147,7 +142,7 @@ def removed_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
             h, g, doc, tag, pos = (x[order] for x in places)
             out = [(0, *x) for x in split_blobs(h[new], buckets, h[new], g[new], doc[new], tag[new], pos[new])]
             runs = _runs(doc[late], tag[late], pos[late])
-            out += [(1, *x) for x in split_blobs(_row(*runs[:2]), buckets, *runs)]
+            out += [(1, *x) for x in split_blobs(row_hash(*runs[:2]), buckets, *runs)]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["kind", "bucket", "blob"])
 
         for batch in batches:
@@ -195,7 +190,7 @@ def removed_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
             doc, tag, runs = doc[order], tag[order], np.stack([first[order], last[order]], 1)
             begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]) if len(doc) else np.zeros(0, np.int64)
             packed = [runs[a:b].tobytes() for a, b in zip(begin, np.r_[begin[1:], len(doc)], strict=True)] if len(doc) else []
-            return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(tag[begin]), pa.array(packed, pa.binary())], ["doc_id", "tag", "runs"])
+            return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(tag[begin]), pa.array(packed, pa.binary())], ["doc_id", "tag", "mark"])
 
         for batch in batches:
             for kind, bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -213,24 +208,7 @@ def removed_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
             yield flush()
 
     sorted_ = rows.mapInArrow(candidates, "kind int, bucket int, blob binary").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-    marks = settle(sorted_.mapInArrow(later, "doc_id long, tag long, runs binary"))
-
-    def row_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_row(ids(batch.column(0)), ids(batch.column(1))).view(np.int64))], ["key"])
-
-    slots = power_of_two(16 * marks.count(), LEAST_SLOTS, MOST_SLOTS)
-    marked = spark.sparkContext.broadcast(np.packbits(sketch(marks.select("doc_id", "tag").mapInArrow(row_keys, "key long"), slots) > 0).tobytes())
-
-    def split(wanted: bool):
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.frombuffer(marked.value, np.uint8)
-            for batch in batches:
-                at = slot(_row(ids(batch.column(0)), ids(batch.column(1))), slots)
-                hit = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-                yield batch.filter(pa.array(hit == wanted))
-
-        return rows.mapInArrow(part, "doc_id long, tag long, text string")
+    marks = settle(sorted_.mapInArrow(later, "doc_id long, tag long, mark binary"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,8 +231,5 @@ def removed_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
                 texts_.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts_, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    per_row = marks.groupBy("doc_id", "tag").agg(F.collect_list("runs").alias("runs"))  # a row's own marks
-    touched = split(True).join(per_row, ["doc_id", "tag"], "left").select("doc_id", "text", "runs")
-    others = split(False).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("runs"))
-    out = others.union(touched).mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_text string")
+    out = with_marks(rows, marks).select("doc_id", "text", "marks").mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_text string")
     return out.select(real_id(F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_text")

@@ -8,8 +8,14 @@ number of landmarks: six lookups a byte.
 
 Words of a text are pooled as its instances (largest decision, decisions above the margin), and a logistic curve
 fitted on the training rows turns the pool into a score. Training reads labelled rows with a permitted id, up to
-`fit_rows` of them chosen by a hash of the id; every row's whole text is scored. A null text has no words and gets
-the score of an empty pool.
+`fit_rows` of them chosen by a hash of the id and the text; what reaches the driver is their words with counts. Every
+row's whole text is scored.
+
+Defined results: a null or empty text has no words and gets the score of an empty pool. A score depends on the text
+alone, so repeated rows and rows of one id are scored each by its own text. An id with several labels has the largest;
+labels that are null or neither 0 nor 1 are none. Rows with a null id are never learned from and not held out. Without
+training rows, or with one class, every score is that class's smoothed share (0.05 without rows). An empty table gives
+an empty table; other columns take no part.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from .common import crc_mod, texts
+from .common import crc_mod, real_id, tagged
 from .wordhash import LOWER, Words, slices, text_buffers
 
 #: Labelled rows that training may read.
@@ -125,7 +131,7 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1e6, steps
 
 
 def _pool(words: Words, f: np.ndarray) -> np.ndarray:
-    """(rows, POOL): largest decision, number above 0, number above 1, the same as shares, number of words."""
+    """(rows, POOL): largest decision, number above 0, number above 0.7, the same as shares, number of words."""
     n_rows = len(words.count)
     out = np.zeros((n_rows, POOL))
     out[:, 0] = -2
@@ -138,6 +144,15 @@ def _pool(words: Words, f: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pool_of(f: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The pool of one text from the decisions and counts of its distinct words."""
+    total = n.sum()
+    if not total:
+        return np.r_[-2.0, np.zeros(POOL - 1)]
+    hit0, hit1 = (float(n[f > s].sum()) for s in (0.0, 0.7))
+    return np.array([np.clip(f.max(), -2, 2), np.log1p(hit0), np.log1p(hit1), np.sqrt(hit0 / total), np.sqrt(hit1 / total), np.log1p(total) / 5])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
@@ -149,8 +164,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40
 
 
 class Model:
-    def __init__(self, table: np.ndarray, bias: float, curve: np.ndarray):
-        self.table, self.bias, self.curve = table, bias, curve
+    """table and bias give a word's decision, curve turns a pool into a score; marks and weights are the landmarks and
+    the machine's weights on the Nyström features that were folded into the table."""
+
+    def __init__(self, table: np.ndarray, bias: float, curve: np.ndarray, marks: list[bytes] = (), weights: np.ndarray | None = None):
+        self.table, self.bias, self.curve, self.marks, self.weights = table, bias, curve, marks, weights
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         words = Words(data, off, lower=True)
@@ -158,8 +176,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ self.curve, -30, 30)))
 
 
-def fit(texts_: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Model:
-    """A model from labelled texts. With one class only, all scores are that class's share."""
+def word_counts(data: np.ndarray, off: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """The distinct words of each text, joined by spaces, and their counts."""
+    out = []
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        c = Counter(data[a:b].tobytes().lower().split())
+        out.append((b" ".join(c), np.fromiter(c.values(), np.int32, len(c)).tobytes()))
+    return out
+
+
+def fit(bags_: list[tuple[bytes, bytes]], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Model:
+    """A model from labelled texts as word_counts gives them. With one class only, all scores are that class's share."""
     toxic = np.asarray(toxic, bool)
     table = np.zeros(1 << 21, np.float32)
     if not len(toxic) or toxic.all() or not toxic.any():
@@ -169,7 +196,7 @@ def fit(texts_: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS) -> M
         return Model(table, -1.0, curve)
     # words as numbers: a text is an array of its distinct ones
     number: dict[bytes, int] = {}
-    bags = [np.array([number.setdefault(w, len(number)) for w in set(t.lower().split())], np.int32) for t in texts_]
+    bags = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32) for t, _ in bags_]
     words_ = list(number)
     in_pos, in_neg = (np.bincount(np.concatenate([b for b, y in zip(bags, toxic, strict=True) if y == side]), minlength=len(words_)) for side in (True, False))
     n_pos, n_neg = toxic.sum(), (~toxic).sum()
@@ -200,6 +227,7 @@ def fit(texts_: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS) -> M
     extra: list[bytes] = []
     spread = np.r_[0, np.cumsum([len(w) + 1 for w in words_])]
     joined = np.frombuffer(b" ".join([*words_, b""]), np.uint8)
+    decide = lambda: np.concatenate([decisions(Words(joined[spread[lo] : spread[hi]], spread[[lo, hi]] - spread[lo]), table, bias) for lo, hi in slices(spread, 1 << 18)])
     for _ in range(3):
         plus = strong + extra
         words = plus + minus
@@ -215,45 +243,55 @@ def fit(texts_: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS) -> M
         table[:] = 0
         table[list(columns)] = (alpha @ phi).astype(np.float32)
         # toxic texts without a word above the margin name their best word; clean texts name words wrongly above it
-        f = np.concatenate([decisions(Words(joined, spread[[lo, hi]]), table, bias) for lo, hi in slices(spread, 1 << 18)])
+        f_all = f = decide()
         best = np.array([b[np.argmax(np.where(long_[b], f[b], -9))] if len(b) else -1 for b in bags])
         near = (best >= 0) & toxic & (f[best] > -0.5) & (f[best] < 0.3) & (ratio[best] > 1)
         extra = sorted({words_[i] for i in best[near]} - taken)
         wrong = np.flatnonzero((in_neg > 0) & (f > -0.3) & (ratio < 1))
         minus = list(dict.fromkeys(minus + [w for i in wrong[np.argsort(-f[wrong])][:3000] if (w := words_[i]) not in taken]))
-    pools = []
-    for t in texts_:
-        own = Words(np.frombuffer(t, np.uint8), np.array([0, len(t)]), lower=True)
-        pools.append(_pool(own, decisions(own, table, bias))[0])
-    return Model(table, bias, _logistic(np.array(pools), toxic.astype(float)))
+    # a pool needs each word's decision and count, not the text's order
+    pools = np.zeros((len(bags), POOL))
+    for i, (bag, (_, n)) in enumerate(zip(bags, bags_, strict=True)):
+        pools[i] = _pool_of(f_all[bag], np.frombuffer(n, np.int32))
+    return Model(table, bias, _logistic(pools, toxic.astype(float)), marks, u)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tag, y, text): up to limit rows that have a label and an allowed id, those of the smallest hashes of id
+    and text; limit bounds them however often an id repeats."""
+    rows = tagged(docs, id_col, text_col)
+    y = F.col(label).cast("int")
+    good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), y.alias("y")).where(F.col("y").isin(0, 1) & allowed).groupBy("doc_id").agg(F.max("y").alias("y"))
+    some = rows.select("doc_id", "tag").join(good, "doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)), "doc_id", "tag").limit(limit)
+    return rows.join(F.broadcast(some), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"])  # limit rows
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limit: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
-    """Text and label of up to limit rows that have a label and an allowed id, those of the smallest id hashes."""
-    good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & allowed)
-    some = good.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)), "doc_id").limit(limit)
-    rows = texts(docs, id_col, text_col).join(F.broadcast(some), "doc_id").orderBy("doc_id").toArrow()  # limit bounds both
-    return list(zip((x.encode() if x else b"" for x in rows.column("text").to_pylist()), rows.column("y").to_pylist(), strict=True))
+def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per input row: doc_id (with carry: the whole row as the struct `row`), held_out (crc32 of the id mod 3 is
+    1), score, predicted."""
 
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = word_counts(*text_buffers(batch.column(3)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.binary())], ["doc_id", "tag", "y", "words", "counts"])
 
-def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """One row per input row: doc_id (with carry: all its columns), held_out (crc32 of the id mod 3 is 1), score,
-    predicted."""
     sample = labelled_sample(docs, labels, label, F.coalesce(crc_mod(F.col("doc_id"), 3) != 1, F.lit(False)), fit_rows, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in sample], np.array([y for _, y in sample], bool)))
-    packed = docs.select((F.struct("*") if carry else F.struct(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))).alias("row"))
+    rows = sample.select("doc_id", "tag", "y", "text").mapInArrow(bags, "doc_id long, tag long, y int, words binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("tag", "ascending")])
+    model = fit(list(zip(rows.column("words").to_pylist(), rows.column("counts").to_pylist(), strict=True)), np.array(rows.column("y").to_pylist(), bool))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    given = tagged(docs, id_col, text_col, whole=carry)
+    payload = "row" if carry else "text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            data, off = text_buffers(batch.column(0).field(text_col))
+            data, off = text_buffers(batch.column(1).field(text_col) if carry else batch.column(1))
             out = np.zeros(batch.num_rows)
             for lo, hi in slices(off):
                 out[lo:hi] = model.score(data, off[lo : hi + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[1 : 1 + carry], pa.array(out)], ["doc_id", *["row"] * carry, "score"])
 
-    out = packed.mapInArrow(score, f"row {packed.schema['row'].dataType.simpleString()}, score double")
-    key = F.col(f"row.{id_col}").cast("long")
-    return out.select("row.*" if carry else key.alias("doc_id"), F.coalesce(crc_mod(key, 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    kind = f"row {given.schema['row'].dataType.simpleString()}, " if carry else ""
+    key = real_id(F.col("doc_id"))
+    out = given.select("doc_id", payload).mapInArrow(score, f"doc_id long, {kind}score double")
+    return out.select("row" if carry else key.alias("doc_id"), F.coalesce(crc_mod(key, 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
