@@ -1,6 +1,9 @@
 """A training-corpus pipeline over `documents`: five operators one after another, each stage written and read again.
 
-Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last keep the columns of `documents`.
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last keep the columns of `documents`, and any
+other column beside them. A stage decides on rows, not on ids: rows of one id, or without an id, are judged each by its
+own text, and no row goes because of another that shares its id. Repeated rows are near copies of each other, so one of
+them stays. Null and empty texts are never toxic, never near copies and never contaminated; they stay to the end.
 """
 
 from __future__ import annotations
@@ -9,38 +12,40 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from tracequarry.llm import byte_bpe, decontaminate, line_dedup, near_dedup, toxicity
-from tracequarry.llm.common import settle
+from tracequarry.llm.common import NULL_ID, keyed, settle, tagged
 from tracequarry.llm.queries import tokenizer
 
 
-def _without(docs: DataFrame, decisions: DataFrame, reject: F.Column) -> DataFrame:
-    """docs without the rows whose id the decisions reject; null ids count as one id."""
-    ids = decisions.where(reject).select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["rejected_id"]), "left_anti")
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.scored(docs, labels, carry=True).where("predicted = 0").select(*docs.columns)
+    return toxicity.scored(docs, labels, carry=True).where("predicted = 0").select("row.*")
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five rows or more share stay in one; n_chars follows the text."""
     out = line_dedup.shared_lines_removed(docs, carry=True)
-    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept_text"))
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("n_dropped") > 0, F.length(text)).otherwise(F.col("row.n_chars"))
+        row = row.withField("n_chars", n.cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near-duplicates (word shingles, similarity of 0.8 or more) stays."""
-    return _without(docs, near_dedup.near_duplicates(docs, percent=80), ~F.col("kept"))
+    """One row of each component of near-duplicates (word shingles, similarity of 0.8 or more) stays: the first."""
+    rows = keyed(docs)
+    found = near_dedup.row_components(rows.select(F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("key").alias("tag"), F.col("row.text").alias("text")), percent=80)
+    later = found.where((F.col("doc_id") != F.col("first_id")) | (F.col("tag") != F.col("first_tag"))).select(F.col("tag").alias("key"))
+    return rows.join(later, "key", "left_anti").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold benchmark passages go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contaminated(docs, benchmark), F.col("contaminated"))
+    found = decontaminate.contaminated_rows(tagged(docs), benchmark).select("doc_id", "tag")
+    return tagged(docs, whole=True).join(found, ["doc_id", "tag"], "left_anti").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
