@@ -43,7 +43,7 @@ def test_any_halves(tokenizer):  # noqa: F811
     r = random.Random(8)
     for raw in (b"a" * 77, b"abab" * 20, b"internationalisation", bytes(r.choice(b"aeinrst") for _ in range(150))):
         whole = b.tree(raw, False)
-        assert b._merged_short(raw) == b._merged_long(raw) == whole
+        assert b._merged_short(raw) == b._merged_long(raw) == list(whole)
         for cut in range(1, len(raw)):
             assert b.join(b.tree(raw[:cut], False), b.tree(raw[cut:], False)) == whole
 
@@ -51,7 +51,7 @@ def test_any_halves(tokenizer):  # noqa: F811
 def test_every_token_stands_for_itself(tokenizer):  # noqa: F811
     ranks, pattern, _ = tokenizer
     b = byte_bpe.Bpe(ranks, pattern)
-    assert all(b.tree(t) == [t] for t in list(ranks)[::97])
+    assert all(b.tree(t) == (t,) for t in list(ranks)[::97])
 
 
 def test_rows(spark, tokenizer):  # noqa: F811

@@ -1,7 +1,7 @@
 """Byte-level BPE by a monoid tree reduction.
 
-Each match of the pattern is encoded by itself: a piece that is a token is that token; any other is halved down to
-single bytes and put together again. The encodings of two neighbours are joined at their boundary: a sequence of
+Each match of the pattern is encoded by itself: a piece that is a token is that token; any other is halved (at a power
+of two) down to single bytes and put together again. The encodings of two neighbours are joined at their boundary: a sequence of
 tokens is the encoding of its bytes if and only if each neighbouring pair is the encoding of its own bytes, so only a
 window around the boundary is encoded anew. It grows to the left by doubling until the pair at its edge is stable, and
 to the right token by token until the next pair is; all tokens outside are then final. Joining is associative, so
@@ -10,7 +10,7 @@ halves of any shape give the same tokens.
 Where the boundary moves no token but the nearest ones, a join takes a few steps; where it shifts all tokens to its
 right, as in runs of one character, it takes a step for each of them, each over a window of a few tokens. So a piece
 of n bytes takes O(n log n) steps; windows and halves that were seen before are remembered. A long window is merged
-through a heap. Decoding concatenates the tokens' bytes up a tree in the same way, level by level.
+through a heap. Decoding concatenates the tokens' bytes up a tree, level by level.
 
 A null text is empty and has no ids. Rows are encoded one by one: null and repeated ids, repeated rows and columns of
 any name change nothing, and an empty table gives an empty table. Ranks come from a file whose place is a parameter;
@@ -23,7 +23,6 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +37,8 @@ PARTS = 100_000
 SHORT_PART = 32
 #: Windows of more bytes are merged through a heap.
 LONG_WINDOW = 96
+#: Neighbours that decoding puts together in one step.
+FAN = 16
 _NONE = 1 << 60
 
 
@@ -119,15 +120,16 @@ class Bpe:
             known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
 
-    def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
+    def join(self, left: tuple[bytes, ...], right: tuple[bytes, ...]) -> tuple[bytes, ...]:
         """The encoding of left's bytes and right's, from their encodings."""
-        if not left or not right:
-            return [*left, *right]
-        out, known, stable = list(left), self.pairs.get, self.stable
+        known, stable = self.pairs.get, self.stable
+        if not left or not right or known((left[-1], right[0])):
+            return left + right
+        out = list(left)
         for j, token in enumerate(right):
             if known((out[-1], token)) or stable(out[-1], token):  # nothing changes from here on
                 out += right[j:]
-                return out
+                break
             i = 1
             while True:  # out and this token, encoded anew from the i-th last token of out on
                 middle = self.merged(b"".join(out[-i:]) + token)
@@ -135,13 +137,13 @@ class Bpe:
                     break
                 i = min(2 * i, len(out))
             out[-i:] = middle
-        return out
+        return tuple(out)
 
-    def tree(self, raw: bytes, whole: bool = True) -> list[bytes]:
+    def tree(self, raw: bytes, whole: bool = True) -> tuple[bytes, ...]:
         """The tokens of a piece (with whole: a token as such is itself, however it would merge)."""
         if whole and raw in self.ranks:
-            return [raw]
-        return list(self._reduced(raw, {}))
+            return (raw,)
+        return self._reduced(raw, {})
 
     def _reduced(self, raw: bytes, own: dict[bytes, tuple[bytes, ...]]) -> tuple[bytes, ...]:
         """Halved down to single bytes and joined. own: long parts of this piece, so that a periodic one is cheap."""
@@ -150,8 +152,8 @@ class Bpe:
         known = self.halves if len(raw) <= SHORT_PART else own
         found = known.get(raw)
         if found is None:
-            half = len(raw) // 2
-            found = tuple(self.join(self._reduced(raw[:half], own), self._reduced(raw[half:], own)))
+            half = 1 << (len(raw) - 1).bit_length() - 1  # the same beginnings give the same parts
+            found = self.join(self._reduced(raw[:half], own), self._reduced(raw[half:], own))
             if len(self.halves) >= PARTS:
                 self.halves.clear()
             known[raw] = found
@@ -179,26 +181,40 @@ class Bpe:
 
 
 def concatenated(parts: list[bytes]) -> bytes:
-    """Neighbours put together up a tree, level by level."""
+    """Neighbours put together up a tree, FAN at a time, level by level."""
     while len(parts) > 1:
-        odd = parts[-1:] if len(parts) % 2 else []
-        parts = list(map(add, parts[::2], parts[1::2])) + odd
+        parts = [b"".join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
     return parts[0] if parts else b""
 
 
 def unreachable(ranks: dict[bytes, int]) -> list[bytes]:
     """Tokens that merging their own bytes doesn't give; a piece that equals one is still that token."""
     b = Bpe(ranks, ".")
-    return [t for t in ranks if b.tree(t, whole=False) != [t]]
+    return [t for t in ranks if b.tree(t, whole=False) != (t,)]
+
+
+class _Shared:
+    """What is broadcast; a worker makes one encoder of it, whose memory goes on from task to task."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self.pattern = ranks, pattern
+
+    def bpe(self) -> Bpe:
+        if not hasattr(self, "_bpe"):
+            self._bpe = Bpe(self.ranks, self.pattern)
+        return self._bpe
+
+    def __getstate__(self):
+        return {"ranks": self.ranks, "pattern": self.pattern}
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids (array<int>, null unless with_ids), ids_sha256 (of the decimal ids
     joined by commas), decoded_sha256 (of the bytes that decoding gives), round_trip (do they equal the text's?)."""
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared = docs.sparkSession.sparkContext.broadcast(_Shared(ranks, pattern))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(*shared.value)
+        bpe = shared.value.bpe()
         names = {str(i): t for i, t in bpe.names.items()}
         for batch in batches:
             out: list[tuple] = []
