@@ -2,7 +2,7 @@ import json
 
 import pyspark.sql.functions as F
 
-from tracequarry.functions import parsers, text
+from tracequarry.functions import actions, parsers, text
 from tracequarry.operators import identity, replay, scoring
 
 
@@ -36,15 +36,38 @@ def test_small_columns(spark):
 
 
 def test_calls():
-    assert parsers.call("shop", '{"name": "buy", "arguments": {"n": 1}}') == ("buy", {"n": 1})
-    assert parsers.call("shop", '<invoke name="buy"><parameter name="n">2</parameter></invoke>') == ("buy", {"n": 2})
-    assert parsers.call("shop", "buy(3, kind='x')") == ("buy", {"arg0": 3, "kind": "x"})
-    assert parsers.call("terminal", "[]")[0] == "wait"
-    assert parsers.call("web", "nothing of this kind") == ("web.action", {"raw": "nothing of this kind"})
-    assert parsers.terminal_call([{"keystrokes": "A=1 /bin/grep -n x f\n"}]) == ("grep", {"program": "grep", "command": "A=1 /bin/grep -n x f", "argv": ["-n", "x", "f"]})
-    assert parsers.terminal_call([{"keystrokes": "C-c"}, {"keystrokes": "ls\n"}])[0] == "shell"
-    assert parsers.terminal_call([{"keystrokes": "C-c"}]) == ("keys", {"keys": "C-c"})
-    assert parsers.programs(["cat > f << 'EOF'", "ls", "EOF", "# no", "python3 f"]) == ["cat", "python3"]
+    call = actions.call
+    assert call("shop", '{"name": "buy", "arguments": {"n": 1}}') == call("shop", '[{"name": "buy", "arguments": "{\\"n\\": 1}"}]') == ("buy", {"n": 1})
+    assert call("shop", '{"name": "buy", "arguments": "all"}') == ("buy", {"raw": "all"}) and call("shop", '{"name": "buy", "arguments": 3}') == ("buy", {"value": 3})
+    assert call("android", '{"action_type": "click", "x": 3}') == ("click", {"x": 3}) and call("android", '{"action": "wait"}') == ("wait", {})
+    assert call("shop", 'so <invoke name="buy"><parameter name="n"> 2 </parameter><parameter name="s">null</parameter><parameter name="t">a b</parameter></invoke>') == ("buy", {"n": 2, "s": None, "t": "a b"})
+    assert call("shop", '<invoke  name="page"><parameter name="action">open</parameter></invoke>') == ("page.open", {})
+    assert call("shop", "shop.buy(3, [1, x], kind='x')") == ("shop.buy", {"kind": "x", "args": [3, "[1, x]"]})
+    assert call("swe", "a = 1\nrun(a)\nos.remove('f')") == ("code", {"language": "python", "source": "a = 1\nrun(a)\nos.remove('f')", "calls": ["run", "os.remove"]})
+    assert call("web", "nothing of this kind") == ("web.action", {"text": "nothing of this kind"}) and call("web", "") == ("web.action", {})
+    assert call("web", "[1, 2]") == ("web.action", {"text": "[1, 2]"}) and call("terminal", "[]") == ("wait", {"duration": 0.0, "keystrokes": []})
+
+
+def test_screen_commands():
+    call = lambda body: actions.call("android", body)
+    assert call("touch <button id=3 bound_box=0,1,2,3 name='a b'>Sign in</button>") == ("touch", {"element": "button", "id": "3", "bound_box": "0,1,2,3", "name": "a b", "text": "Sign in"})
+    assert call("set_text <input id=7>old</input> new text") == ("set_text", {"element": "input", "id": "7", "text": "old", "input": "new text"})
+    assert call("scroll up <scrollbar id=1></scrollbar>") == ("scroll", {"direction": "up", "element": "scrollbar", "id": "1"})
+    assert call("long_touch <p id=2></p> now") == ("long_touch", {"element": "p", "id": "2", "trailing": "now"})
+    assert call("intent am start com.shop/.Main") == ("intent", {"command": "am start com.shop/.Main"})
+    assert call("kill_app com.shop") == ("kill_app", {"text": "com.shop"}) and call("unselect") == ("unselect", {})
+    assert call("touching x")[0] == "android.action"
+
+
+def test_key_batches():
+    keys = lambda *k, **more: actions.key_batch([{"keystrokes": x} | more for x in k])
+    assert keys("A=1 /bin/grep -n 'x y' f\n") == ("grep", {"program": "grep", "command": "A=1 /bin/grep -n 'x y' f", "argv": ["-n", "x y", "f"], "keystrokes": [{"keystrokes": "A=1 /bin/grep -n 'x y' f\n"}]})
+    assert keys("A=1\n")[0] == "A=1" and keys("it's\n")[1]["argv"] == []
+    name, given = keys("C-c", "ls\n")
+    assert (name, given["commands"], given["programs"]) == ("shell", ["C-c", "ls"], ["ls"])
+    assert keys("C-c")[:1] == ("keys",) and keys("C-c\n")[0] == keys("a | b\n")[0] == keys("cd x; ls\n")[0] == keys("a\nb\n")[0] == "shell"
+    assert keys(" \n", "", duration=1.5)[1]["duration"] == 3.0 and keys("q")[1]["keys"] == "q"
+    assert actions.programs(["cat > f << 'EOF'", "ls", "EOF", "# no", "", "Tab", "X=1 python3 f", "echo 'open"]) == ["cat", "python3", "echo"]
 
 
 def test_outputs():

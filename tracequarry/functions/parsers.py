@@ -5,22 +5,17 @@ from __future__ import annotations
 import ast
 import json
 import re
-import shlex
 from typing import Any
 
 import pandas as pd
+
+from .actions import HERE_DOCUMENT, words_of
 from .udf import vectorized
 
-#: Names of control keys, tags, and the judged dimensions.
-CONTROL_KEYS = ("Escape", "Enter", "Tab", "Up", "Down", "Left", "Right", "BSpace", "Space", "PageUp", "PageDown", "Home", "End")
+#: Tags and the judged dimensions.
 RESPONSE_TAG, JUDGE_TAG = "predicted_observation", "evaluation"
 DIMENSIONS = ("format", "factuality", "consistency", "realism", "quality")
 
-_CONTROL = re.compile(r"^(?:[CM]-\S|" + "|".join(CONTROL_KEYS) + r")$", re.I)
-_COMPOUND = re.compile(r"\|\||&&|[;|`]|\$\(|<<|\\\n")
-_HEREDOC = re.compile(r"<<-?\s*['\"]?(\w+)")
-_VARIABLE = re.compile(r"^[A-Za-z_]\w*=")
-
 
 def _dump(x: Any) -> str:
     return json.dumps(x, ensure_ascii=False, default=str)
@@ -33,131 +28,6 @@ def _load(text: str | None) -> tuple[bool, Any]:
         return False, None
 
 
-def _words(line: str) -> list[str]:
-    try:
-        return shlex.split(line)
-    except ValueError:
-        return line.split()
-
-
-def _command(words: list[str]) -> int:
-    """Index of the program: behind leading assignments, unless nothing follows them."""
-    i = 0
-    while i + 1 < len(words) and _VARIABLE.match(words[i]):
-        i += 1
-    return i
-
-
-def programs(lines: list[str]) -> list[str]:
-    """Program names of command lines in order, without here-document bodies, comments and control keys."""
-    out, until = [], None
-    for line in map(str.strip, lines):
-        if until is not None:
-            until = None if line == until else until
-            continue
-        if not line or line[0] == "#" or _CONTROL.match(line):
-            continue
-        here = _HEREDOC.search(line)
-        until = here[1] if here else None
-        words = _words(line)
-        if words:
-            out.append(words[_command(words)].rpartition("/")[2])
-    return out
-
-
-def terminal_call(entries: list[dict]) -> tuple[str, dict]:
-    """A keystroke batch as (type, arguments): a program, `shell`, `keys` or `wait`."""
-    keys = [str(e.get("keystrokes") or "") for e in entries]
-    text = "".join(k + "\n" if i + 1 < len(keys) and _CONTROL.match(k.strip()) and not k.endswith("\n") else k for i, k in enumerate(keys))
-    lines = [x for x in text.split("\n") if x.strip()]
-    if not lines:
-        return "wait", {"duration": float(sum(float(e.get("duration") or 0) for e in entries))}
-    if len(lines) > 1:
-        return "shell", {"commands": lines, "programs": programs(lines)}
-    if not text.endswith("\n"):
-        return "keys", {"keys": text}
-    line = lines[0].strip()
-    if _CONTROL.match(line) or _COMPOUND.search(lines[0]):
-        return "shell", {"commands": lines, "programs": programs(lines)}
-    words = _words(line)
-    i = _command(words)
-    program = (words[i] if words else line).rpartition("/")[2]
-    return program, {"program": program, "command": line, "argv": words[i + 1 :]}
-
-
-def _object(x: Any) -> dict:
-    if isinstance(x, str):
-        ok, y = _load(x)
-        x = y if ok else {"raw": x}
-    return x if isinstance(x, dict) else {} if x is None else {"value": x}
-
-
-_VERBS = re.compile(r"^\s*(?:I(?:'ll| will)? )?(click|tap|long[_ ]press|swipe|scroll|type|input|open[_ ]app|press|back|home|wait)\b[\s:(]*(.*?)\)?\s*$", re.I | re.S)
-
-
-def call(task: str, body: str) -> tuple[str, dict]:
-    """The (type, arguments) that an action block names: JSON call, key batch, invoke tags, verb text, call text."""
-    text = (body or "").strip()
-    ok, x = _load(text)
-    if ok and isinstance(x, list):
-        if x and all(isinstance(e, dict) and "keystrokes" in e for e in x) or not x and task == "terminal":
-            return terminal_call(x)
-        x = x[0] if len(x) == 1 else x
-    if ok and isinstance(x, dict):
-        if "keystrokes" in x:
-            return terminal_call([x])
-        inner = x.get("function") if isinstance(x.get("function"), dict) else x
-        name = inner.get("name") or inner.get("tool") or inner.get("action_type") or (inner.get("action") if isinstance(inner.get("action"), str) else None)
-        if name:
-            given = next((inner[k] for k in ("arguments", "args", "parameters", "input") if k in inner), None)
-            rest = {k: v for k, v in inner.items() if k not in ("name", "tool", "action_type", "action", "function", "type", "id")}
-            return str(name), _object(given) if given is not None else rest
-    invoke = re.search(r"<invoke\s+name=\"([^\"]+)\"\s*>(.*?)</invoke>", text, re.S)
-    if invoke:
-        found = re.findall(r"<parameter\s+name=\"([^\"]+)\"\s*>(.*?)</parameter>", invoke[2], re.S)
-        return invoke[1], {k: (y if (good := _load(v))[0] and (y := good[1]) is not None else v) for k, v in found}
-    try:
-        node = ast.parse(text, mode="eval").body
-    except (SyntaxError, ValueError, RecursionError):
-        node = None
-    if isinstance(node, ast.Call):
-        arguments = {}
-        for i, a in enumerate(node.args):
-            arguments[f"arg{i}"] = _literal(a)
-        for a in node.keywords:
-            arguments[a.arg or "kwargs"] = _literal(a.value)
-        return ast.unparse(node.func), arguments
-    verb = _VERBS.match(text)
-    if verb:
-        return verb[1].lower().replace(" ", "_"), {"target": verb[2]} if verb[2] else {}
-    return f"{task}.action", {"raw": body}
-
-
-def _literal(node: ast.AST) -> Any:
-    try:
-        return ast.literal_eval(node)
-    except (ValueError, TypeError):
-        return ast.unparse(node)
-
-
-@vectorized("type string, arguments string")
-def normalize_action(task: pd.Series, body: pd.Series) -> pd.DataFrame:
-    out = [call(t or "", b or "") for t, b in zip(task, body, strict=True)]
-    return pd.DataFrame({"type": [x[0] for x in out], "arguments": [_dump(x[1]) for x in out]})
-
-
-@vectorized("type string, arguments string")
-def terminal_action(batch: pd.Series) -> pd.DataFrame:
-    """Of JSON key batches."""
-    out = [terminal_call(x if (y := _load(b))[0] and isinstance(x := y[1], list) else []) for b in batch]
-    return pd.DataFrame({"type": [x[0] for x in out], "arguments": [_dump(x[1]) for x in out]})
-
-
-@vectorized("array<string>")
-def command_programs(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: programs((x or "").split("\n")))
-
-
 def clipped(x: Any, n: int) -> Any:
     if isinstance(x, dict):
         return {k: clipped(v, n) for k, v in x.items()}
@@ -444,9 +314,9 @@ def scaffold(commands: list[str], user: str, host: str, cwd: str, sigil: str) ->
             until = None if line.strip() == until else until
             continue
         out.append(f"{user}@{host}:{cwd}{sigil} {line}")
-        here = _HEREDOC.search(line)
+        here = HERE_DOCUMENT.search(line)
         until = here[1] if here else None
-        words = _words(line.strip())
+        words = words_of(line.strip())
         if words[:1] == ["cd"]:
             to = words[1] if len(words) > 1 else "~"
             parts = [] if to[:1] in "/~" else cwd.split("/")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import parsers, text
+from ..functions import actions, parsers, text
 from ..operators import identity, segment
 from ..sources import traces, trajectories
 from .base import CALLS, CONVERSATIONS, TURNS, call_events, conversation_events, query, table, turns
@@ -173,14 +173,14 @@ def b28_query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b4_normalize_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a JSON call, normalised: events by type and number of arguments."""
     e = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments"))).alias("body"))
-    x = e.select(parsers.normalize_action(F.lit("shop"), F.col("body")).alias("a"))
+    x = e.select(actions.normalize_action(F.lit("shop"), F.col("body")).alias("a"))
     return x.groupBy(F.col("a.type").alias("type"), F.size(F.from_json("a.arguments", "map<string,string>")).alias("n_arguments")).agg(F.count("*").alias("n"))
 
 
 @query()
 def b6_command_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First words of every document's lines as programs."""
-    x = table(spark, sf_dir, "documents").select("doc_id", parsers.command_programs(F.col("text")).alias("programs"))
+    x = table(spark, sf_dir, "documents").select("doc_id", actions.command_programs(F.col("text")).alias("programs"))
     return x.select("doc_id", F.size("programs").alias("n_programs"), F.size(F.array_distinct("programs")).alias("n_distinct"))
 
 
