@@ -1,7 +1,7 @@
 """Near-duplicate components by an inverted join over MinHash coordinates.
 
 1. Each row gets the set of its distinct word shingles and `COORDINATES` MinHash values. Rows with equal sets are one
-   node; its number is its own, and its first row (smallest id, then tag) stands for it.
+   node; its first row (smallest id, then tag) stands for it, and nodes are numbered in the order of these.
 2. Nodes are posted under (coordinate, value). Two signatures that agree in `matches` coordinates must share one of
    the COORDINATES - matches + 1 rarest of each (the prefix), so only those are posted, rarest first by a sketch of
    fixed size.
@@ -133,7 +133,8 @@ def _components(rows: DataFrame, shingle: int, percent: int, scratch: Scratch) -
 
     signed = settle(rows.select("doc_id", "tag", "text").mapInArrow(sign, "doc_id long, tag long, n long, f1 long, f2 long, sig binary"))
     equal = signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "tag")).alias("row"), F.first("sig").alias("sig"))
-    nodes = settle(equal.select("f1", "f2", "n", "row.doc_id", "row.tag", "sig", F.monotonically_increasing_id().alias("node")))
+    # Numbered in the order of rows, so that the smallest number of a component is its first row.
+    nodes = settle(equal.select("f1", "f2", "n", "row.doc_id", "row.tag", "sig").orderBy("doc_id", "tag").withColumn("node", F.monotonically_increasing_id()))
     n_nodes = nodes.count()
     slots = power_of_two(32 * n_nodes, LEAST_SLOTS, MOST_SLOTS)
 
@@ -142,7 +143,7 @@ def _components(rows: DataFrame, shingle: int, percent: int, scratch: Scratch) -
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(_coordinate_keys(_signatures(batch.column(0))).ravel())], ["key"])
 
-    common = spark.sparkContext.broadcast(sketch(nodes.select("sig").mapInArrow(keys, "key long"), slots))
+    common = spark.sparkContext.broadcast(sketch(nodes.select("sig").mapInArrow(keys, "key long"), slots, most=65535))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,10 +243,9 @@ def _components(rows: DataFrame, shingle: int, percent: int, scratch: Scratch) -
     more = settle(_matching(more, nodes, matches))
     links = links.union(_confirmed(more, sets, percent))
 
-    # The first row of each component; nodes without links, nearly all, stand for themselves.
-    found = components(links, settle=settle)
-    first_rows = found.join(nodes.select("node", "doc_id", "tag"), "node").groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
-    named = found.join(first_rows, "component").select("node", "first")
+    # A component's smallest node is its first row; nodes without links, nearly all, stand for themselves.
+    firsts = nodes.select(F.col("node").alias("component"), F.struct("doc_id", "tag").alias("first"))
+    named = components(links, settle=settle).join(firsts, "component").select("node", "first")
     labels = nodes.select("f1", "f2", "n", "node", F.struct("doc_id", "tag").alias("own")).join(named, "node", "left").select("f1", "f2", "n", F.coalesce("first", "own").alias("first"))
     worded = signed.where("n > 0").join(labels, ["f1", "f2", "n"]).select("doc_id", "tag", "n", "first.*")
     wordless = signed.where("n = 0").select("doc_id", "tag", "n", F.col("doc_id").alias("first_id"), F.col("tag").alias("first_tag"))
