@@ -156,32 +156,12 @@ def row_hash(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return mix(doc.view(U) + mix(tag.view(U)))
 
 
-def with_marks(rows: DataFrame, marks: DataFrame, least: int = 1 << 16, most: int = 1 << 25) -> DataFrame:
-    """rows (doc_id, tag, more) with a column `marks`: the array of what marks (doc_id, tag, mark binary; settled) holds
-    for each, null for none. Only rows that a filter of marked rows holds are shuffled; it follows the number of marks
-    up to a bound, beyond which more rows are shuffled and the result stays the same."""
-    spark, names = rows.sparkSession, rows.columns
-
-    def row_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(row_hash(ids(batch.column(0)), ids(batch.column(1))).view(np.int64))], ["key"])
-
-    slots = power_of_two(16 * marks.count(), least, most)
-    marked = spark.sparkContext.broadcast(np.packbits(sketch(marks.select("doc_id", "tag").mapInArrow(row_keys, "key long"), slots) > 0).tobytes())
-
-    def split(wanted: bool) -> DataFrame:
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.frombuffer(marked.value, np.uint8)
-            for batch in batches:
-                at = slot(row_hash(ids(batch.column(0)), ids(batch.column(1))), slots)
-                hit = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-                yield batch.filter(pa.array(hit == wanted))
-
-        return rows.mapInArrow(part, rows.schema)
-
-    per_row = marks.groupBy("doc_id", "tag").agg(F.collect_list("mark").alias("marks"))  # a row's own marks
-    touched = split(True).join(per_row, ["doc_id", "tag"], "left").select(*names, "marks")
-    return split(False).select(*names, F.lit(None).cast("array<binary>").alias("marks")).union(touched)
+def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """rows (doc_id, tag, more) with a column `marks`: the array of what marks (doc_id, tag, mark binary) holds for each,
+    null for none. Spark takes marks to the rows while they are few, and sorts both sides by row beyond that; either
+    way no group is larger than a row's own marks."""
+    per_row = marks.groupBy("doc_id", "tag").agg(F.collect_list("mark").alias("marks"))
+    return rows.join(per_row, ["doc_id", "tag"], "left").select(*rows.columns, "marks")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", settle: Callable[[DataFrame], DataFrame] = settle) -> DataFrame:

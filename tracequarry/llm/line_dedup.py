@@ -6,7 +6,7 @@ Only keys that the twice-seen filter holds are shuffled, as 128-bit hashes, for
 largest id. Keys in `min_rows` rows or more lose all their lines but those in the row of the largest id.
 
 The filters have a size bound (`max_bits`); beyond it more keys are shuffled and the result stays the same. Keys to
-drop go back to their rows through a join that only rows with such keys meet.
+drop go back to their rows by a join.
 
 Defined results: a null or empty text is one empty line. Null ids take part in the counts and never hold a key's last
 copy, unless all its ids are null. Repeated rows count one by one; all rows of a keeper's id keep the line. An empty

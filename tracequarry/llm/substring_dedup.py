@@ -8,11 +8,10 @@ window - 12 words:
 1. anchors are hashed at cover positions only (4 of 13), dealt by hash, and those seen twice go into a filter;
 2. around anchors in the filter, matches are extended to whole windows; each chunk of rows marks its own repeats
    and passes on only the first place of each window, so a passage in a third of all rows costs a chunk one entry;
-3. the first place over all chunks is found by bucket, and marks (runs of positions) go back to their rows. Only
-   rows that a filter of marked rows holds meet the join; all others are finished where they are read.
+3. the first place over all chunks is found by bucket, and marks (runs of positions) go back to their rows by a join.
 
-Both filters follow the input up to a bound; a fuller one means that more windows or rows are compared, and the result
-stays the same.
+The filter follows the input up to a bound; a fuller one means that more windows are compared, and the result stays the
+same.
 
 Defined results: a null or empty text has no words and loses none. Null ids sort first. Rows of one id with different
 texts are different documents, in the order of a hash of their texts: of a passage that they share, the first keeps
