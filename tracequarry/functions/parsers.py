@@ -8,6 +8,8 @@ import re
 from typing import Any
 
 import pandas as pd
+import pyspark.sql.functions as F
+from pyspark.sql import DataFrame
 
 from .actions import HERE_DOCUMENT, words_of
 from .udf import vectorized
@@ -48,6 +50,35 @@ def clip_leaves(n: int):
     return clip
 
 
+#: Metadata that repeats the content or carries the agent's own comments.
+UNSEEN_METADATA = ("raw_action", "agent_message", "raw_timestamp")
+
+
+def event_view(events: DataFrame, limit: int) -> DataFrame:
+    """events (event_id, actor, kind, content, ts, metadata MAP): what an extractor sees of each. Of an action's object
+    the raw copy goes, strings are clipped to limit characters (0: not at all), metadata that is no evidence goes.
+    clipped: was anything?"""
+
+    @vectorized("content string, clipped boolean")
+    def seen(content: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in content:
+            ok, x = _load(t)
+            if ok and isinstance(x, dict | list):
+                if isinstance(x, dict) and {"raw", "arguments"} <= x.keys():
+                    del x["raw"]
+                short = clipped(x, limit) if limit else x
+                out.append((_dump(short), short != x))
+            else:
+                short = clipped(t, limit) if limit else t
+                out.append((short, short != t))
+        return pd.DataFrame(out, columns=["content", "clipped"])
+
+    x = events.withColumn("_v", seen(F.col("content")))
+    plain = F.map_filter("metadata", lambda k, _: ~k.isin(*UNSEEN_METADATA))
+    return x.select("event_id", "actor", "kind", F.col("_v.content").alias("content"), "ts", plain.alias("metadata"), F.col("_v.clipped").alias("clipped"))
+
+
 def without_thinking(text: str, tag: str) -> str:
     """Paired think tags go with what they hold (an opening one takes the next free closing one), a closing tag alone
     takes all before it, an opening one alone all up to the response tag or the end."""

@@ -217,6 +217,14 @@ def style_of(tools: Column, styles: dict[str, list[str]]) -> Column:
     return F.when(best["n"] > 0, best["style"]).otherwise("other")
 
 
+def scaffold_of(tools: Column, scaffolds: dict[str, list[str]]) -> Column:
+    """The first scaffold, in the order given, all of whose tools are at hand."""
+    out = F.lit("other")
+    for name, needed in reversed(scaffolds.items()):
+        out = F.when(F.size(F.array_except(F.array(*map(F.lit, needed)), tools)) == 0, name).otherwise(out)
+    return out
+
+
 def site_of(text: Column, sites: dict[str, str]) -> Column:
     """The first site whose marker the text contains."""
     out = F.lit("other")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
@@ -134,9 +136,7 @@ def fold_snapshots(turns: DataFrame, snapshot: str = "browser_snapshot") -> Data
 def resolve_urls(tasks: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """tasks (task, start_url): placeholders replaced in each of the urls that ` |AND| ` or ` |OR| ` part."""
     urls = F.split("start_url", r"\s*\|(?:AND|OR)\|\s*")
-    for k, v in mapping.items():
-        urls = F.transform(urls, lambda u, k=k, v=v: F.replace(u, F.lit(k), F.lit(v)))
-    return tasks.withColumn("urls", urls)
+    return tasks.withColumn("urls", F.transform(urls, lambda u: reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), mapping.items(), u)))
 
 
 def select_tasks(tasks: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +155,7 @@ def rollout_turns(rollouts: DataFrame) -> DataFrame:
 
     x = rollouts.select("env_id", "task_id", F.posexplode("trajectory").alias("pos", "s")).where(~F.col("s.action.name").isin(*AGENT_TOOLS))
     error = F.col("s.error")
-    x = x.select("env_id", "task_id", F.row_number().over(Window.partitionBy("env_id", "task_id").orderBy("pos")).alias("turn"), F.col("s.action.name").alias("tool"), F.col("s.action.arguments").alias("arguments"), F.col("s.observation").alias("observation"), F.col("s.observation_raw").alias("raw"), F.when(F.length(F.trim(error)) > 0, F.element_at(F.split(F.rtrim(error), "\n"), -1)).alias("loader_error"), F.col("s.step").alias("step"))
+    x = x.select("env_id", "task_id", F.row_number().over(Window.partitionBy("env_id", "task_id").orderBy("pos")).alias("turn"), F.col("s.action.name").alias("tool"), F.col("s.action.arguments").alias("arguments"), F.col("s.observation").alias("observation"), F.col("s.observation_raw").alias("raw"), F.when(F.length(F.trim(error)) > 0, F.element_at(F.split(F.rtrim(error, F.lit(" \r\n")), "\n"), -1)).alias("loader_error"), F.col("s.step").alias("step"))
     parsed, copy = parse_observation(F.coalesce("observation", F.lit(""))), parse_observation(F.coalesce("raw", F.lit("")))
     return x.withColumn("_a", parsed).withColumn("_b", copy).withColumn("stale", F.col("_b.parsed") & F.coalesce(F.col("_a.value") != F.col("_b.value"), ~F.col("_a.parsed"))).drop("_a", "_b", "raw")
 
