@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import buckets_of, power_of_two, real_id, row_hash, settle, tagged, with_marks
+from .common import buckets_of, power_of_two, real_id, row_hash, tagged, with_marks
 from .wordhash import U, Words, ids, join_blobs, mix, slices, split_blobs, text_buffers
 
 PERIOD = 13
@@ -169,8 +169,8 @@ def removed_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
             yield flush()
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bucket after bucket of a sorted partition: a row for each document that has marks, again and again as
-        buffers fill."""
+        """Bucket after bucket of a sorted partition; marks leave together, dealt by row, so that their number of rows
+        stays that of the partitions and not of the buckets."""
         blobs: list[bytes] = []
         found: list[tuple[np.ndarray, ...]] = []
         now = None
@@ -183,31 +183,38 @@ def removed_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
                 found.append(_runs(*(x[order][late] for x in places[2:])))
 
         def flush():
-            doc, tag, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+            runs = [np.concatenate(x) for x in zip(*found, strict=True)]
             found.clear()
-            order = np.lexsort((first, tag, doc))
-            doc, tag, runs = doc[order], tag[order], np.stack([first[order], last[order]], 1)
-            begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]) if len(doc) else np.zeros(0, np.int64)
-            packed = [runs[a:b].tobytes() for a, b in zip(begin, np.r_[begin[1:], len(doc)], strict=True)] if len(doc) else []
-            return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(tag[begin]), pa.array(packed, pa.binary())], ["doc_id", "tag", "mark"])
+            out = split_blobs(row_hash(*runs[:2]), buckets, *runs)
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
-            for kind, bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if kind:
-                    found.append(tuple(join_blobs([blob.as_py()], np.int64, np.int64, np.int32, np.int32)))
-                else:
+            kinds, where = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (kind, bucket) in enumerate(zip(kinds, where, strict=True)):
+                if kind == 0:
                     if bucket != now:
                         close()
                         now = bucket
-                    blobs.append(blob.as_py())
-                if sum(len(x[0]) for x in found) > CHUNK:
-                    yield flush()
+                        if sum(len(x[0]) for x in found) > 4 * CHUNK:
+                            yield flush()
+                    blobs.append(batch.column(2)[i].as_py())
+            passed = batch.filter(pa.array([k == 1 for k in kinds]))
+            if passed.num_rows:
+                yield passed.select(["bucket", "blob"])
         close()
         if found:
             yield flush()
 
+    def of_rows(key: tuple, table: pa.Table) -> pa.Table:
+        """One row for each marked row of a bucket."""
+        doc, tag, first, last = join_blobs(table.column("blob").to_pylist(), np.int64, np.int64, np.int32, np.int32)
+        order = np.lexsort((first, tag, doc))
+        doc, tag, runs = doc[order], tag[order], np.stack([first[order], last[order]], 1)
+        begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])][: len(doc)])
+        return pa.table({"doc_id": doc[begin], "tag": tag[begin], "mark": pa.array([runs[a:b].tobytes() for a, b in zip(begin, np.r_[begin[1:], len(doc)], strict=True)], pa.binary())})
+
     sorted_ = rows.mapInArrow(candidates, "kind int, bucket int, blob binary").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-    marks = settle(sorted_.mapInArrow(later, "doc_id long, tag long, mark binary"))
+    marks = sorted_.mapInArrow(later, "bucket int, blob binary").groupBy("bucket").applyInArrow(of_rows, "doc_id long, tag long, mark binary")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
