@@ -249,6 +249,6 @@ def domain_layout(states: DataFrame) -> DataFrame:
     """states (order, state JSON) -> (collection, field, first): collections and the fields of their records in the
     order of first sight."""
     top = states.select("order", F.posexplode(F.json_object_keys("state")).alias("i", "collection"), "state")
-    records = top.select("order", "i", "collection", F.from_json(F.get_json_object("state", F.concat(F.lit("$."), "collection")), "map<string,string>").alias("records"))
+    records = top.select("order", "i", "collection", F.from_json(F.call_function("get_json_object", F.col("state"), F.concat(F.lit("$."), "collection")), "map<string,string>").alias("records"))
     fields = records.select("order", "i", "collection", F.explode(F.map_values("records")).alias("record")).select("order", "i", "collection", F.posexplode(F.json_object_keys("record")).alias("j", "field"))
     return fields.groupBy("collection", "field").agg(F.min(F.struct("order", "i", "j")).alias("first"))

@@ -91,6 +91,23 @@ def task_overlap(bench: DataFrame, reserve: DataFrame, flag_at: float = 0.6) ->
     return x.withColumn("flagged", (F.col("instruction") >= flag_at) | (F.col("records") >= flag_at) | (F.col("calls") >= flag_at) | F.col("same_database"))
 
 
+OVERLAP_MEASURES = ("instruction", "records", "calls")
+
+
+def task_overlap_summary(overlaps: DataFrame, bench: DataFrame, top: int = 3) -> DataFrame:
+    """One row per benchmark task: the maxima over its pairs (zeros without any), whether a pair is flagged, and the
+    `top` reserve tasks by the largest of the three measures."""
+    x = overlaps.withColumn("most", F.greatest(*OVERLAP_MEASURES))
+    w = Window.partitionBy("env", "bench_task").orderBy(F.desc("most"), F.desc("same_sequence"), "reserve_task")
+    best = x.withColumn("r", F.row_number().over(w)).groupBy("env", "bench_task").agg(
+        *(F.max(m).alias(f"max_{m}") for m in OVERLAP_MEASURES), F.bool_or("same_sequence").alias("same_sequence"), F.bool_or("same_database").alias("same_database"), F.bool_or("flagged").alias("flagged"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= top, F.struct("r", "reserve_task")))), lambda y: y["reserve_task"]).alias("closest"),
+    )
+    x = bench.select("env", F.col("task").alias("bench_task")).join(best, ["env", "bench_task"], "left")
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return x.select("env", "bench_task", *(F.coalesce(f"max_{m}", F.lit(0.0)).alias(f"max_{m}") for m in OVERLAP_MEASURES), no("same_sequence"), no("same_database"), no("flagged"), "closest")
+
+
 def shared_paths(rows: DataFrame, folds: DataFrame, max_df: int = 3, shared_at: int = 5) -> DataFrame:
     """rows (group, paths), folds (group, style, fold): the most rare paths shared with one group of the style outside
     the fold; repo_shared from `shared_at` on."""
@@ -110,6 +127,17 @@ def app_coverage(rows: DataFrame) -> DataFrame:
     return rows.join(total, "app").join(own, ["app", "fold"]).select("row_id", "app", "fold", (F.col("t") > F.col("o")).alias("app_covered"))
 
 
+def row_strata(rows: DataFrame, screens: DataFrame, least: float = 0.8) -> DataFrame:
+    """rows (row_id, app, fold, state, items) and screens (id, app, fold, state, items): app_coverage of each row, and
+    screen_covered: does its screen match one of another fold (same_screen)?"""
+    a = rows.select(F.col("row_id").alias("id"), "state", "app", "items")
+    hit = same_screen(a, screens.select("id", "state", "app", "items"), least)
+    fold = lambda df, key, name: df.select(F.col(key).alias(name), F.col("fold").alias(f"{name}_fold"))
+    other = hit.join(fold(rows, "row_id", "left_id"), "left_id").join(fold(screens, "id", "right_id"), "right_id").where("left_id_fold <> right_id_fold")
+    covered = other.select(F.col("left_id").alias("row_id")).distinct().withColumn("_c", F.lit(True))
+    return app_coverage(rows).join(covered, "row_id", "left").select("row_id", "app", "fold", "app_covered", F.coalesce("_c", F.lit(False)).alias("screen_covered"))
+
+
 def same_screen(a: DataFrame, b: DataFrame, least: float = 0.8) -> DataFrame:
     """a, b (id, state, app, items): pairs with an equal state id, or of one app with Jaccard >= least."""
     left, right = (x.select(F.col("id"), F.col("app"), F.col("items"), "state") for x in (a, b))

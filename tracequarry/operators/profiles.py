@@ -75,7 +75,7 @@ def branch_coverage(branches: DataFrame, errors: DataFrame) -> DataFrame:
     """branches (tool, branch, template as regex), errors (tool, source, text): per branch the sources that reach it.
     Texts are made distinct first; the regex join stays inside a tool."""
     texts = errors.select("tool", "source", "text").distinct()
-    hit = branches.join(texts, "tool").where(F.col("text").rlike(F.col("template"))).groupBy("tool", "branch").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+    hit = branches.join(texts, "tool").where(F.rlike(F.col("text"), F.col("template"))).groupBy("tool", "branch").agg(F.sort_array(F.collect_set("source")).alias("sources"))
     return branches.select("tool", "branch").join(hit, ["tool", "branch"], "left").select("tool", "branch", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
 
 

@@ -85,6 +85,17 @@ def recent_memory(entries: DataFrame, n: int) -> DataFrame:
     return last.withColumn("position", F.row_number().over(order))
 
 
+def turn_memory(entries: DataFrame, turns: DataFrame) -> DataFrame:
+    """The entries of the wanted (session, turn), observed before predicted."""
+    order = Window.partitionBy("session", "turn").orderBy(F.when(F.col("origin") == "observed", 0).otherwise(1), "entry")
+    return entries.join(turns, ["session", "turn"], "left_semi").withColumn("position", F.row_number().over(order))
+
+
+def session_search(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """lexical_topk of queries (query_id, session, text) over the entries (entry, session, text) of their own session."""
+    return lexical_topk(queries, entries, k, id_col="entry", same=["session"])
+
+
 def rag_block(hits: DataFrame, corpus: DataFrame, n_chars: int) -> DataFrame:
     """(query_id, block, ids): the retrieved turns in order of rank, each clipped."""
     x = hits.join(corpus.select("id", "action_text", "observation"), "id")

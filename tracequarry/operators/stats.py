@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
@@ -51,53 +50,32 @@ def cluster_wtl(pairs_: DataFrame, cluster: str, by: list[str] | None = None, to
     return paired_diff(means, by, tolerance).select(*(by or []), F.col("n").alias("clusters"), "wins", "ties", "losses")
 
 
-def _draws(pairs_: DataFrame, cluster: str, n: int, seed: int, draw, schema: str, block: int, most: int) -> DataFrame:
-    """Replicates 0..n-1 in blocks over (sum, count) of each cluster; the clusters are broadcast if at most `most`."""
-    spark = pairs_.sparkSession
-    clusters = pairs_.groupBy(cluster).agg(F.sum("diff").alias("s"), F.count("*").alias("c")).orderBy(cluster)
-    held = clusters.limit(most + 1).select("s", "c").toPandas()
-    if len(held) > most:
-        raise OverflowError(f"more than {most} clusters")
-    shared = spark.sparkContext.broadcast((held["s"].to_numpy(float), held["c"].to_numpy(float)))
-
-    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, c = shared.value
-        for pdf in batches:
-            for b in pdf["id"]:
-                yield draw(np.random.default_rng([seed, int(b)]), s, c, min(block, n - int(b) * block), int(b) * block)
-
-    blocks = -(-n // block)
-    return spark.range(blocks, numPartitions=min(blocks, 64)).mapInPandas(replicate, schema)
-
-
-MOST_CLUSTERS = 1_000_000
-
-
-def bootstrap_draws(pairs_: DataFrame, cluster: str, resamples: int = 10_000, seed: int = 20260921, most: int = MOST_CLUSTERS) -> DataFrame:
-    """(replicate, row_mean, cluster_mean): clusters drawn with replacement. Beyond `most` clusters, each cluster gets a
-    Poisson(1) weight per replicate in a distributed aggregate instead."""
-    size = 200
-
-    def draw(rng, s, c, k, first):
-        rows, means = np.empty(k), np.empty(k)
-        for i in range(k):
-            at = rng.integers(0, len(s), len(s))
-            rows[i], means[i] = s[at].sum() / c[at].sum(), (s[at] / c[at]).mean()
-        return pd.DataFrame({"replicate": np.arange(first, first + k), "row_mean": rows, "cluster_mean": means})
-
-    try:
-        return _draws(pairs_, cluster, resamples, seed, draw, "replicate long, row_mean double, cluster_mean double", size, most)
-    except OverflowError:
-        clusters = pairs_.groupBy(cluster).agg(F.sum("diff").alias("s"), F.count("*").alias("c"))
-        u = F.abs(F.xxhash64(F.col(cluster).cast("string"), F.col("replicate"), F.lit(seed))) / F.lit(float(2**63))
-        weight = F.lit(0)
-        total, p = 0.0, float(np.exp(-1))
-        for k in range(1, 12):  # inverse distribution of Poisson(1)
-            total += p
-            weight = weight + F.when(u >= total, 1).otherwise(0)
-            p /= k
-        each = clusters.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", weight)
-        return each.groupBy("replicate").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("row_mean"), (F.sum(F.col("w") * F.col("s") / F.col("c")) / F.sum("w")).alias("cluster_mean"))
+#: Cumulated probabilities of a Poisson(1) count.
+_POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.r_[1.0, np.arange(1, 20)]))
+
+
+def bootstrap_draws(pairs_: DataFrame, cluster: str, resamples: int = 10_000, seed: int = 20260921) -> DataFrame:
+    """(replicate, row_mean, cluster_mean): in each replicate a cluster counts as often as a Poisson(1) number, drawn from
+    a hash of cluster, replicate and seed. Clusters stay in their partitions, whatever their number."""
+    key = F.xxhash64(F.col(cluster).cast("string"), F.lit(seed)).alias("k")
+    clusters = pairs_.groupBy(cluster).agg(F.sum("diff").cast("double").alias("s"), F.count("*").cast("double").alias("c"))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Weighted sums of a partition's clusters in each replicate."""
+        total = np.zeros((4, resamples))
+        for batch in batches:
+            keys, sums, counts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for at in range(0, len(keys), 256):
+                k, s, c = keys[at : at + 256].view(np.uint64), sums[at : at + 256], counts[at : at + 256]
+                values = np.stack([s, c, s / c, np.ones(len(s))])
+                for lo in range(0, resamples, 1024):
+                    r = np.arange(lo, min(lo + 1024, resamples), dtype=np.uint64)
+                    u = mix(mix(k)[:, None] + r) / 2.0**64
+                    total[:, lo : lo + len(r)] += values @ np.searchsorted(_POISSON, u, "right")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), *map(pa.array, total)], ["replicate", "s", "c", "m", "w"])
+
+    sums = clusters.select(key, "s", "c").mapInArrow(drawn, "replicate long, s double, c double, m double, w double").groupBy("replicate").agg(*(F.sum(x).alias(x) for x in "scmw"))
+    return sums.where("w > 0").select("replicate", (F.col("s") / F.col("c")).alias("row_mean"), (F.col("m") / F.col("w")).alias("cluster_mean"))
 
 
 def percentile_interval(draws: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from .. import schemas
+from ..functions.lineage import cut
 from ..functions.text import strip_screen_wrapper
 
 
@@ -21,19 +22,25 @@ def read_atif(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.ATIF).json(path, multiLine=True).withColumn("path", F.col("_metadata.file_path")).withColumn("file", F.col("_metadata.file_name")).withColumn("folder", F.regexp_replace(F.col("path"), r"/[^/]*$", ""))
 
 
-def splice_continuations(files: DataFrame, most: int = 64) -> DataFrame:
-    """(path, root, part): each file's first file and its place in the chain. Pointers jump by doubling, so a chain of n
-    files takes log n joins; files on a cycle keep themselves as root."""
+def splice_continuations(files: DataFrame) -> DataFrame:
+    """(path, root, part): each file's first file and its place in the chain. Pointers jump by doubling, so the longest
+    chain of n files takes log n joins; files on a cycle, and those behind one, keep themselves as root."""
     nodes = files.select("path", F.concat("folder", F.lit("/"), F.element_at(F.split("continued_trajectory_ref", "/"), -1)).alias("next"))
     before = nodes.where("next IS NOT NULL").join(nodes.select(F.col("path").alias("next")), "next", "left_semi").groupBy(F.col("next").alias("path")).agg(F.min("path").alias("up"))
     hops = nodes.select("path").join(before, "path", "left").select("path", F.coalesce("up", "path").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("part"))
-    n = 1
-    while n < most:
+    if before.isEmpty():
+        return hops
+    first = cut(hops.where("part = 0").select(F.col("path").alias("root"), F.lit(True).alias("first")))
+    hops, left = cut(hops), None
+    while True:
+        open_ = hops.join(first, "root", "left_anti").count()
+        if not open_ or open_ == left:  # what is left after a whole round goes round in circles
+            break
+        left = open_
         up = hops.select(F.col("path").alias("root"), F.col("root").alias("r2"), F.col("part").alias("p2"))
-        hops = hops.join(up, "root").select("path", F.col("r2").alias("root"), (F.col("part") + F.col("p2")).alias("part"))
-        n *= 2
-    cyclic = F.col("part") >= most
-    return hops.select("path", F.when(cyclic, F.col("path")).otherwise(F.col("root")).alias("root"), F.when(cyclic, 0).otherwise(F.col("part")).alias("part"))
+        hops = cut(hops.join(up, "root").select("path", F.col("r2").alias("root"), (F.col("part") + F.col("p2")).alias("part")))
+    x = hops.join(first, "root", "left")
+    return x.select("path", F.when(F.col("first"), F.col("root")).otherwise(F.col("path")).alias("root"), F.when(F.col("first"), F.col("part")).otherwise(0).alias("part"))
 
 
 def atif_steps(files: DataFrame) -> DataFrame:
