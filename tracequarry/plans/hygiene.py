@@ -168,18 +168,16 @@ def e5_app_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("row_id", "app", (F.col("row_id") % 3).alias("fold"), "app_covered")
 
 
-def _screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    items = F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 300), F.lit(TOKENS), F.lit(0)))
-    return d.select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("state"), F.col("lang").alias("app"), items.alias("items"))
-
-
-@query(f"""WITH s AS (SELECT doc_id AS id, lang AS app, list_distinct(regexp_extract_all(substr(text, 1, 300), '{TOKENS}')) AS items FROM documents)
- SELECT l.id AS left_id, r.id AS right_id FROM s l JOIN s r ON l.app = r.app AND l.id % 2 = 0 AND r.id % 2 = 1 WHERE len(l.items) > 0 AND len(r.items) > 0
- AND len(list_intersect(l.items, r.items)) >= 0.8 * len(list_distinct(list_concat(l.items, r.items)))""")
+@query()
 def e6_same_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _screens(spark, sf_dir)
-    return overlap.same_screen(s.where("id % 2 = 0"), s.where("id % 2 = 1"))
+    """Documents of one language whose whole texts have nearly the same words: pairs of classes of equal word sets, each
+    named by its smallest id, and how many documents either class has."""
+    items = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKENS), F.lit(0))))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("app"), items.alias("items"))
+    classes = d.where(F.size("items") > 0).groupBy("app", "items").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("state", F.lit(None).cast("string"))
+    found = overlap.same_screen(classes, classes).where("left_id < right_id")
+    size = lambda name, n: classes.select(F.col("id").alias(name), F.col("n").alias(n))
+    return found.join(size("left_id", "n_left"), "left_id").join(size("right_id", "n_right"), "right_id").select("left_id", "right_id", "n_left", "n_right")
 
 
 @query("""SELECT stratum, band, count(*) AS n FROM (SELECT CASE WHEN l.toxic = 1 THEN 'exact task' WHEN l.quality = 1 THEN 'same template' WHEN l.doc_id IS NOT NULL THEN 'template only' ELSE 'unlinked' END AS stratum,
@@ -212,9 +210,9 @@ def f1_common_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.common_keys(table(spark, sf_dir, "events"), ["user_id"], "event_type", 5)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def f2_missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.missing_keys(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    return overlap.missing_keys(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
 
 
 @query("SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM labels WHERE quality = 0 UNION SELECT doc_id FROM documents WHERE lang = 'es'")

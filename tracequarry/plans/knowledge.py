@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import normalize_page
 from ..operators import applicability, induction, profiles, retrieval, segment
 from .base import CONVERSATIONS, TOKENS, TURNS, conversation_events, query, table, turns
 
@@ -62,10 +63,10 @@ def g9_select_demonstrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return induction.select_demonstrations(_evidence(spark, sf_dir))
 
 
-@query(f"""WITH {TURNS} SELECT CAST(env AS VARCHAR) AS owner_id, CAST(episode AS VARCHAR) AS episode_id, string_agg(event_id, ',' ORDER BY turn) AS event_ids FROM tu WHERE k % 10 = 0 GROUP BY ALL""")
+@query(f"""WITH {TURNS} SELECT concat(env, '/', k) AS owner_id, CAST(episode AS VARCHAR) AS episode_id, string_agg(event_id, ',' ORDER BY turn) AS event_ids FROM tu GROUP BY ALL""")
 def g10_repair_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns(spark, sf_dir)
-    refs = t.where("k % 10 = 0").groupBy(F.col("env").cast("string").alias("owner_id")).agg(F.concat(F.collect_list(F.col("event_id").cast("string")), F.array(F.lit("unknown"))).alias("event_ids")).select(F.lit("rule").alias("owner_kind"), "owner_id", F.lit("?").alias("episode_id"), "event_ids")
+    refs = t.groupBy(F.concat_ws("/", "env", "k").alias("owner_id")).agg(F.concat(F.collect_list(F.col("event_id").cast("string")), F.array(F.lit("unknown"))).alias("event_ids")).select(F.lit("rule").alias("owner_kind"), "owner_id", F.lit("?").alias("episode_id"), "event_ids")
     events = t.select(F.col("event_id").cast("string").alias("event_id"), F.col("episode").cast("string").alias("episode_id"), F.lit("s").alias("source_id"), F.col("turn").alias("pos"))
     return induction.repair_provenance(refs, events)[0].select("owner_id", "episode_id", F.array_join("event_ids", ",").alias("event_ids"))
 
@@ -80,9 +81,9 @@ def g11_rule_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return induction.rule_support(rules, citations, transitions).select("rule_id", "status")
 
 
-@query("""SELECT n_name AS name, substr(n_name, 1, 1) AS alias FROM nation n WHERE (SELECT count(*) FROM nation m WHERE substr(m.n_name, 1, 1) = substr(n.n_name, 1, 1)) = 1""")
+@query("""SELECT n_name AS name, concat('a', n_nationkey % 15) AS alias FROM nation n WHERE (SELECT count(*) FROM nation m WHERE m.n_nationkey % 15 = n.n_nationkey % 15) = 1""")
 def g3_check_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.array(F.substring("n_name", 1, 1), F.col("n_name")).alias("aliases"))
+    schema = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.array(F.concat(F.lit("a"), F.col("n_nationkey") % 15), F.col("n_name")).alias("aliases"))
     return induction.check_aliases(schema)[0].select("name", "alias")
 
 
@@ -141,11 +142,11 @@ def h2_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("score", F.round("score", 6))
 
 
-@query("""SELECT query_id, id, rank FROM (SELECT n_nationkey AS query_id, c_custkey AS id, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS rank FROM nation JOIN customer ON contains(lower(c_name), lower(lpad(CAST(n_nationkey AS VARCHAR), 2, '0')))) WHERE rank <= 3""")
+@query("""SELECT query_id, id, rank FROM (SELECT n_nationkey AS query_id, c_custkey AS id, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS rank FROM nation JOIN customer ON contains(lower(c_name), lower(lpad(CAST(n_nationkey AS VARCHAR), 2, '0'))) WHERE n_nationkey >= 10) WHERE rank <= 3""")
 def h3_like_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("text"))
     corpus = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"))
-    return retrieval.like_fallback(queries, corpus, spark.range(0).select(F.col("id").cast("int").alias("query_id")), 3)
+    return retrieval.like_fallback(queries, corpus, queries.where("query_id < 10"), 3)
 
 
 @query("""WITH l AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) SELECT conv_id AS session, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM l WHERE r <= 3""")
@@ -154,11 +155,11 @@ def h5_recent_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.recent_memory(c, 3).select("session", "turn", "position")
 
 
-@query("""WITH t AS (SELECT conv_id AS episode, turn + 1 AS turn, text FROM conversations), e AS (SELECT episode, turn AS turn_idx FROM t WHERE turn % 2 = 0)
+@query("""WITH t AS (SELECT conv_id AS episode, turn + 1 AS turn, text FROM conversations), e AS (SELECT episode, turn AS turn_idx FROM t)
  SELECT e.episode, e.turn_idx, count(*) AS n_prompts, sum(length(t.text)) + 1 AS chars FROM e JOIN t ON t.episode = e.episode AND t.turn <= e.turn_idx GROUP BY ALL""")
 def h8_bench_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("episode"), (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"), F.col("text").alias("response"))
-    x = retrieval.bench_rows(t, t.where("turn % 2 = 0").select("episode", "turn"), "!")
+    x = retrieval.bench_rows(t, t.select("episode", "turn"), "!")
     return x.select("episode", "turn_idx", F.size("prompt").cast("long").alias("n_prompts"), F.aggregate("prompt", F.lit(0).cast("long"), lambda a, p: a + F.length(p)).alias("chars"))
 
 
@@ -194,13 +195,14 @@ def i4_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applicability.applicability(rows, inv, specific).select("row_id", "episode", "operands", "files", "signals", "label")
 
 
-@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?&/]+$', '') AS u FROM pages) SELECT a.page_id AS row_id, b.page_id AS evidence_id, 'before' AS sides FROM p a JOIN p b USING (u) WHERE a.page_id % 2 = 0 AND b.page_id % 2 = 1""")
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?&/]+$', '') AS u FROM pages WHERE url <> '') SELECT page_id AS row_id, min(page_id) OVER (PARTITION BY u) AS evidence_id, 'before' AS sides FROM p WHERE u <> ''""")
 def i5_page_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    """Every page against the first page of each address: a row a page, however many share one."""
+    p = table(spark, sf_dir, "pages").where("url <> ''")
     none = F.lit(None).cast("string")
-    rows = p.where("page_id % 2 = 0").select(F.col("page_id").alias("row_id"), F.col("url").alias("page"), none.alias("target"))
-    evidence = p.where("page_id % 2 = 1").select(F.col("page_id").alias("evidence_id"), F.col("url").alias("before"), none.alias("after"))
-    return applicability.page_match(rows, evidence).withColumn("sides", F.array_join("sides", ","))
+    page = normalize_page(F.col("url"))
+    evidence = p.groupBy(page.alias("before")).agg(F.min("page_id").alias("evidence_id")).select("evidence_id", "before", none.alias("after"))
+    return applicability.page_match(p.select(F.col("page_id").alias("row_id"), F.col("url").alias("page"), none.alias("target")), evidence).withColumn("sides", F.array_join("sides", ","))
 
 
 @query(f"""WITH {TURNS} SELECT tool AS label, CASE WHEN k > 50 THEN 'shown' ELSE 'sanitized' END AS disposition, count(*) AS n, count(DISTINCT episode) AS n_rows, CAST(sum(k) AS BIGINT) AS masked, count(*) FILTER (k % 2 = 0) AS pages, count(*) FILTER (k % 3 = 0) AS screens FROM tu GROUP BY ALL""")
