@@ -74,14 +74,25 @@ def check_group_splits(splits: DataFrame) -> DataFrame:
     return kinds[0].unionByName(kinds[1])
 
 
-def assign_folds(trajectories: DataFrame, k: int, seed: int = 0) -> DataFrame:
+def task_groups(trajectories: DataFrame) -> DataFrame:
+    """trajectories (.., task_hash, first_screen, trajectory) with `group`: what may not be parted over folds. It is the
+    task's hash, else the first screen's, else the trajectory itself."""
+    named = lambda kind, c: F.when(F.length(c) > 0, F.concat(F.lit(f"{kind}:"), F.sha2(F.col(c).cast("string"), 256)))
+    return trajectories.withColumn("group", F.coalesce(named("task", "task_hash"), named("screen", "first_screen"), F.concat(F.lit("own:"), F.col("trajectory").cast("string"))))
+
+
+def assign_folds(trajectories: DataFrame, k: int, seed: int = 0, spread: list[str] | None = None) -> DataFrame:
     """trajectories (group, style, turns) -> (style, group, fold). Groups stay whole; inside a style, groups in order of
-    size (turns, then a seeded hash) are dealt there and back over the folds, so sizes balance without a driver loop."""
-    groups = trajectories.groupBy("style", "group").agg(F.sum("turns").alias("turns"), F.count("*").alias("n"))
-    w = Window.partitionBy("style").orderBy(F.desc("turns"), F.xxhash64(F.col("group").cast("string"), F.lit(seed)), "group")
+    size (turns, then a seeded hash) are dealt there and back over the folds, so sizes balance without a driver loop.
+    spread: columns such as a sub-source and an app whose values are dealt one after another, so that each value's
+    groups lie evenly over the folds; a group has the value that most of its trajectories have."""
+    spread = spread or []
+    most = [F.mode(c, True).alias(c) for c in spread]
+    groups = trajectories.groupBy("style", "group").agg(F.sum("turns").alias("turns"), F.count("*").alias("n"), *most)
+    w = Window.partitionBy("style").orderBy(*spread, F.desc("turns"), F.xxhash64(F.col("group").cast("string"), F.lit(seed)), "group")
     r = F.row_number().over(w) - 1
     lap = F.floor(r / k)
-    return groups.withColumn("fold", F.when(lap % 2 == 0, r % k).otherwise(k - 1 - r % k).cast("int")).select("style", "group", "turns", "n", "fold")
+    return groups.withColumn("fold", F.when(lap % 2 == 0, r % k).otherwise(k - 1 - r % k).cast("int")).select("style", "group", "turns", "n", "fold", *spread)
 
 
 def cross_fit_corpora(folds: DataFrame, k: int) -> DataFrame:

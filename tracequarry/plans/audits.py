@@ -23,6 +23,20 @@ def d8_check_cross_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.check_cross_fit(t.select(F.col("event_id").alias("row_id"), F.col("episode").alias("group"), F.array(F.col("episode") + F.col("k") % 3).alias("hits")), users)
 
 
+@query("SELECT DISTINCT p_size % 2 AS style, p_brand AS brand, true AS even FROM part")
+def d6_spread_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as trajectories, some of one task or one first screen, over five folds: do a brand's groups lie evenly over
+    them?"""
+    p = table(spark, sf_dir, "part")
+    key, none = F.col("p_partkey"), F.lit(None).cast("string")
+    t = p.select((F.col("p_size") % 2).alias("style"), F.col("p_brand").alias("brand"), F.col("p_size").alias("turns"), key.alias("trajectory"), F.when(key % 3 == 0, F.concat_ws("|", "p_name", "p_size")).otherwise(none).alias("task_hash"), F.when(key % 3 == 1, F.concat_ws("|", "p_type", "p_size")).otherwise(none).alias("first_screen"))
+    x = identity.assign_folds(identity.task_groups(t), 5, spread=["brand"])
+    brands = t.select("style", "brand").distinct()
+    each = x.groupBy("style", "brand").pivot("fold", [0, 1, 2, 3, 4]).count().na.fill(0)
+    even = F.greatest(*(F.col(str(i)) for i in range(5))) - F.least(*(F.col(str(i)) for i in range(5))) <= 2
+    return brands.join(each, ["style", "brand"], "left").select("style", "brand", F.coalesce(even, F.lit(True)).alias("even"))
+
+
 @query(f"""WITH {TURNS} SELECT episode AS task, turn, CASE WHEN k % 7 = 6 THEN 'no row' ELSE concat_ws(',', CASE WHEN k % 7 = 1 THEN 'action' END, CASE WHEN k % 7 = 2 THEN 'history length' END, CASE WHEN k % 7 = 3 THEN 'history' END, CASE WHEN k % 7 = 4 THEN 'target' END) END AS errors FROM tu""")
 def d15_curated_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns(spark, sf_dir).select(F.col("episode").alias("task"), "turn", F.col("k") % 7, F.col("tool").alias("action"), F.array("tool", "answer").alias("history"), F.col("answer").alias("target")).toDF("task", "turn", "m", "action", "history", "target")
