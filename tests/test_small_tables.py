@@ -42,3 +42,49 @@ def test_chains_of_any_length(spark):
     assert len(got) == len(rows) and all(got[f"/d/{i}.json"] == ("/d/0.json", i) for i in range(150))
     assert got["/d/x.json"] == ("/d/x.json", 0) and got["/f/1.json"] == ("/f/1.json", 0)
     assert got["/e/b.json"] == ("/e/b.json", 0) and got["/e/a.json"][1] in (0, 1)
+
+
+def events(spark):
+    """A small event log, and its events by user in order: (type, k)."""
+    import datetime
+
+    r = random.Random(82)
+    begin = datetime.datetime(2024, 1, 1)
+    rows, by_user = [], {}
+    for i in range(400):
+        user, kind, k = r.randrange(6), r.choice(("click", "view", "purchase", "error", "signup")), r.randrange(1, 30)
+        rows.append((i, begin + datetime.timedelta(seconds=i), user, kind, float(k), f'{{"k": {k}}}'))
+        by_user.setdefault(user, []).append((kind, k))
+    made = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{made}/events.parquet")
+    return made, by_user
+
+
+def test_tracked_state(spark):
+    """The state after every turn of a counter: clicks add, purchases take what is there, views must read 0."""
+    import json
+
+    from tracequarry.operators import replay
+    from tracequarry.plans import evaluation
+
+    made, by_user = events(spark)
+    x = replay.track_state(evaluation._counter_turns(spark, made), evaluation.COUNTER_RULES, '{"world": {"n": 0}}')
+    got = {(r.trajectory_id, r.turn): (r.route, json.loads(r.state)["world"]["n"]) for r in x.collect()}
+    want = {}
+    for user, log in by_user.items():
+        n = 0
+        for i, (kind, k) in enumerate(log, 1):
+            n += k if kind == "click" else -k if kind == "purchase" and n >= k else 0
+            explained = kind in ("click", "purchase") or kind == "view" and n == 0
+            want[str(user), i] = ("rule" if explained else "model", n)
+    assert got == want
+    counts = {r.trajectory_id: (r.n, r.unknown) for r in evaluation.m5_track_state(spark, made).collect()}
+    assert counts == {str(u): (len(log), sum(kind in ("signup", "error") for kind, _ in log)) for u, log in by_user.items()}
+    cases = {r.case_id: (r.attempted, sorted(r.rule_ids)) for r in evaluation.m4_replay_cases(spark, made).collect()}
+    for user, log in by_user.items():
+        n, used = 0, set()
+        steps = [x for x in log if x[0] in ("click", "purchase", "view")]
+        for kind, k in steps:
+            used.add({"click": "add", "view": "read"}.get(kind) or ("take" if n >= k else "refuse"))
+            n += k if kind == "click" else -k if kind == "purchase" and n >= k else 0
+        assert cases[str(user)] == (len(steps), sorted(used))
