@@ -7,11 +7,12 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, line_dedup, lm_score, media_ts, near_dedup, quality, substring_dedup, toxicity, url_filter
+from . import byte_bpe, decontaminate, fill_middle, line_dedup, lm_score, media_ts, near_dedup, quality, substring_dedup, token_planes, toxicity, url_filter, whitening
 
 #: (host, path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,8 +69,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_planes.stored(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))[0]
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_read(spark, sf_dir, "documents"))
+    rebuilt = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(_read(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op2_line_dedup, op3_lm_score, op4_media_ts, op5_near_dedup, op6_decontaminate, op7_toxicity, op8_byte_bpe, op9_url_filter, op10_quality)
+    found = (op1_substring_dedup, op2_line_dedup, op3_lm_score, op4_media_ts, op5_near_dedup, op6_decontaminate, op7_toxicity, op8_byte_bpe, op9_url_filter, op10_quality, op11_token_planes, op12_fill_in_middle, op13_whitening)
     return {f.__name__: f for f in found}
 
 
