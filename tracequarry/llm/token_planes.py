@@ -14,8 +14,9 @@ Spark's own writer writes the files (a record is a row, the newline its separato
 protocol, a lost executor leaves no half file, and any store that Spark writes to will do. They are read through
 `binaryFile`.
 
-Encoding works on units: texts are cut at single spaces between visible characters, where a byte-level tokenizer always
-begins a new piece, and each distinct unit of a slice is encoded once and remembered by the worker.
+A byte-level tokenizer encodes the pieces that its pattern cuts from a text one by one. The texts of a slice are cut by
+Arrow, each distinct piece is encoded once by the library's model and remembered by the worker; texts with characters
+or white space for which Arrow's expressions differ from the library's go to the library in larger parts.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,27 +44,32 @@ from .wordhash import slices, text_buffers
 BLOCK = 1 << 16
 MAGIC = b"TQPLANES"
 FILE_BYTES = 1 << 28  # text a file holds on average, at most
-REMEMBERED = 400_000
+REMEMBERED = 500_000  # pieces of either generation
 FEW_FILES = 1 << 20  # file totals of 16 bytes that go to each executor; more are joined
 #: Letters, digits and ASCII signs, for which the tokenizer's classes are plain; and its pattern for these.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-PLAIN = re.compile(rf"[ \n!-~{LETTERS}]+")
+PLAIN = rf"[ \n!-~{LETTERS}]"
 PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
+ALL_PLAIN = re.compile(f"{PLAIN}+")
+#: The same for whole columns, where no white space stands beside another, so that no look ahead is needed.
+SINGLE = rf"^\s?(?:{PLAIN.replace(" ", "").replace(chr(92) + "n", "")}+\s?)*$"
+MARKED = rf"('(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s)"
+MARK = "\0"
 #: White space in any sense, so that no cut is made where a library might see a run of it.
 BLANK = r"\s\x1c-\x1f\x85᠎"
 INNER_SPACE = re.compile(rf"(?<=[^{BLANK}]) (?=[^{BLANK}])")
-ODD_SPACE = r"^ | $| [\s\x{1c}-\x{1f}\x{85}\x{180e}\pZ]|[\s\x{1c}-\x{1f}\x{85}\x{180e}\pZ] "
 
 
-def _byte_letters() -> dict[int, int]:
+def _shown() -> dict[int, str]:
     """Byte-level vocabularies show a byte as the character of its number, or, where that has no shape, as the next one
-    from 256 on. As a table for the others."""
+    from 256 on. As a table from the plain characters to their bytes."""
     shapeless = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b != 173)]
-    return {b: 256 + i for i, b in enumerate(shapeless)}
+    byte = {b: chr(256 + shapeless.index(b)) if b in shapeless else chr(b) for b in range(256)}
+    return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(0x250)}
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file. For byte-level BPE without normaliser and post-processor, by units that are
+    """Ids of texts by a tokenizer file. For byte-level BPE without normaliser and post-processor, by pieces that are
     remembered; for any other, by whole texts."""
 
     def __init__(self, path: str):
@@ -72,58 +79,48 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         made = json.loads(self.tokenizer.to_str())
         cut = made["pre_tokenizer"] or {}
-        self.by_unit = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and made["model"]["type"] == "BPE" and not made["normalizer"] and not made["post_processor"]
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.by_piece = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and made["model"]["type"] == "BPE" and not made["normalizer"] and not made["post_processor"]
+        self.model, self.shown = self.tokenizer.model, _shown()
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        found = self.known.get(piece)
         if found is None:
-            shown = piece.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(shown)], np.uint32).tobytes()
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = found
+            found = self.before.get(piece)
+            if found is None:
+                found = array("I", [t.id for t in self.model.tokenize(piece.translate(self.shown))]).tobytes()
+            if len(self.known) >= REMEMBERED:
+                self.known, self.before = {}, self.known
+            self.known[piece] = found
         return found
 
+    def _text(self, text: str) -> bytes:
+        """Cut at single spaces between visible characters, where the tokenizer always begins a new piece."""
+        first, *later = INNER_SPACE.split(text)
+        return b"".join(map(self._unit, [first, *(f" {x}" for x in later)]))
+
     def _unit(self, unit: str) -> bytes:
-        if PLAIN.fullmatch(unit):
+        if ALL_PLAIN.fullmatch(unit):
             return b"".join(map(self._piece, PIECES.findall(unit)))
-        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _units(self, units: list[str], known: dict[str, bytes], before: str) -> list[bytes]:
-        if len(known) + len(units) > REMEMBERED:
-            known.clear()
-        out = []
-        for x in units:
-            found = known.get(x)
-            if found is None:
-                found = known[x] = self._unit(before + x)
-            out.append(found)
-        return out
+        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, ids of each row)."""
-        if not self.by_unit:
+        if not self.by_piece:
             found = [x.ids for x in self.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)]
             return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
-        rows = pc.split_pattern(column, " ")
-        odd = np.flatnonzero(pc.match_substring_regex(column, ODD_SPACE).to_numpy(zero_copy_only=False))
-        if len(odd):
-            cut = pa.array([INNER_SPACE.split(x) for x in column.take(pa.array(odd)).to_pylist()], rows.type)
-            order = np.arange(len(rows))
-            order[odd] = len(rows) + np.arange(len(odd))
-            rows = pa.concat_arrays([rows, cut]).take(pa.array(order))
-        words = rows.flatten().dictionary_encode()
-        size = pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64)
+        plain = pc.match_substring_regex(column, SINGLE)
+        words = pc.split_pattern(pc.replace_substring_regex(pc.if_else(plain, column, ""), MARKED, rf"{MARK}\1"), MARK)
+        flat = words.flatten().dictionary_encode()
+        blobs = list(map(self._piece, flat.dictionary.to_pylist()))
+        code = flat.indices.to_numpy(zero_copy_only=False)
+        size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         begin = np.cumsum(size) - size
-        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        known = words.dictionary.to_pylist()
-        first = [known[i] for i in code[begin]]
-        code[begin] = len(known) + np.arange(len(first))
-        blobs = self._units(known, self.later, " ") + self._units(first, self.first, "")
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        code = code.astype(np.int32)
+        code[begin[odd]] = len(blobs) + np.arange(len(odd))  # such a row is one empty piece so far
+        blobs += map(self._text, column.take(pa.array(odd)).to_pylist())
         length = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         at = np.cumsum(length) - length
         table = np.frombuffer(b"".join(blobs), np.uint32)
@@ -236,7 +233,7 @@ def written(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col:
         out, encode = _File(TaskContext.get().partitionId(), planes), encoder(tokenizer).encode
         for batch in batches:
             doc, (_, off) = id_values(batch.column(0)), text_buffers(batch.column(1))
-            for lo, hi in slices(off, 1 << 22):
+            for lo, hi in slices(off, 1 << 23):
                 ids, size = encode(batch.column(1).slice(lo, hi - lo))
                 ids = np.insert(ids, np.cumsum(size), np.uint32(end_id))
                 for record in out.add(doc[lo:hi], size + 1, ids):
