@@ -223,28 +223,6 @@ def apply_edits(table: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFram
     return out, checked.where("error IS NOT NULL").select(*k, "op", "error")
 
 
-def pack_batches(records: DataFrame, key: str, order: list[str], text: str, max_count: int, max_bytes: int) -> DataFrame:
-    """(key, order, batch): records in order, cut before the count or the bytes would go over; a larger record than
-    max_bytes has batch null. Only sizes reach the sequential cut."""
-    slim = records.select(key, *order, F.octet_length(text).alias("size"))
-    kinds = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in (key, *order))
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        batch, n, total, out = 0, 0, 0, []
-        for size in pdf["size"]:
-            if size > max_bytes:
-                out.append(None)
-                continue
-            if n == max_count or total + size > max_bytes:
-                batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + size
-            out.append(batch)
-        return pdf[[key, *order]].assign(batch=pd.array(out, "Int32"))
-
-    return slim.groupBy(key).applyInPandas(cut, f"{kinds}, batch int")
-
-
 def domain_layout(states: DataFrame) -> DataFrame:
     """states (order, state JSON) -> (collection, field, first): collections and the fields of their records in the
     order of first sight."""

@@ -1,4 +1,4 @@
-"""Lexical retrieval over turns, and what prompts are made of."""
+"""The turn corpus, memories of sessions, and what prompts are made of."""
 
 from __future__ import annotations
 
@@ -6,15 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from ..functions.text import clip_text, observation_snippet
-
-K1, B = 1.2, 0.75
-TERM = r"[\p{L}\p{N}]+"
-
-
-def terms(text: Column) -> Column:
-    """Case-folded runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-
+from .search import lexical_topk, terms
 
 def build_turn_corpus(transitions: DataFrame, texts: DataFrame, sources: DataFrame) -> DataFrame:
     """(turn_id, episode_id, label, turn, action_text, observation): turns in order; the label is the file stem up to
@@ -27,47 +19,6 @@ def build_turn_corpus(transitions: DataFrame, texts: DataFrame, sources: DataFra
     return x.select(F.concat_ws(":", F.lit("trace"), "episode_id", F.col("turn").cast("string")).alias("turn_id"), "episode_id", "label", "turn", "action_text", F.col("observation_text").alias("observation"))
 
 
-def postings(corpus: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(term, id, tf, length)."""
-    words = corpus.select(F.col(id_col).alias("id"), terms(text).alias("w")).withColumn("length", F.size("w"))
-    return words.select("id", "length", F.explode("w").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-
-
-def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query_text: str = "text", id_col: str = "id", text: Column | None = None, n_terms: int = 12, same: list[str] | None = None) -> DataFrame:
-    """BM25 over an OR of each query's first n_terms distinct terms: query_id, id, score, rank (ties by id). Postings of
-    terms that no query has are dropped before the join; `same` names columns that both sides must share."""
-    same = same or []
-    body = F.col("text") if text is None else text
-    p = postings(corpus, id_col, body)
-    stats = corpus.agg(F.count("*").alias("n"), F.avg(F.size(terms(body))).alias("mean"))
-    asked = queries.select(F.col(query_id).alias("query_id"), *same, F.explode(F.slice(F.array_distinct(terms(F.col(query_text))), 1, n_terms)).alias("term"))
-    wanted = p.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = wanted.join(df, "term").join(F.broadcast(stats))  # one row
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = weighted.select("term", "id", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).alias("s"))
-    if same:
-        part = part.join(corpus.select(F.col(id_col).alias("id"), *same), "id")
-    scored = asked.join(part, ["term", *same]).groupBy("query_id", "id").agg(F.sum("s").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def like_fallback(queries: DataFrame, corpus: DataFrame, hits: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
-    """Substring search for queries without a hit. Those are meant to be few: up to most_queries are broadcast, more go
-    through blocks of that size."""
-    free = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").where(F.length("text") > 0)
-    n = free.count()
-    out = None
-    blocks = max(1, -(-n // most_queries))
-    for b in range(blocks):
-        part = free if blocks == 1 else free.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        x = corpus.select("id", F.col("text").alias("body")).join(F.broadcast(part), F.lower(F.col("body")).contains(F.lower(F.col("text")))).select("query_id", "id")
-        out = x if out is None else out.unionByName(x)
-    w = Window.partitionBy("query_id").orderBy("id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def catalog_search(hits: DataFrame, catalog: DataFrame, kinds: list[str] | None, k: int) -> DataFrame:
     """Hits (query_id, id, score) of some kinds; an evidence and its demonstration count once, by the better score."""
     x = hits.join(catalog.select(F.col("ref_id").alias("id"), "kind", F.coalesce("evidence_id", "ref_id").alias("group")), "id")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from ..functions.lineage import settled
 from ..sources.traces import stable_id
+from .ranks import running
 
 #: Why a transition is uncertain.
 DUPLICATE = "Duplicate call ID prevents unambiguous result matching."
@@ -87,6 +89,41 @@ def concurrent_actions(events: DataFrame) -> DataFrame:
     return both.groupBy("episode_id", "action_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("opos", "other"))), lambda x: x["other"]).alias("concurrent_ids"))
 
 
+def concurrency_counts(events: DataFrame) -> DataFrame:
+    """(episode_id, action_id, pos, n_inside, n_open, n_siblings, n_concurrent) of actions with call id: how many actions
+    begin before its last reply, how many calls are unanswered when it begins, and how many actions of its message are
+    neither. The sizes of concurrent_actions, without its pairs: begin and end points of all calls are swept in order of
+    position, with running sums that go over blocks of positions, so the calls of an episode may all be open at once."""
+    call_id = F.nullif("call_id", F.lit(""))
+    act = events.where(is_action()).select("episode_id", F.col("event_id").alias("action_id"), F.col("pos").cast("long").alias("pos"), "parent_event_id", call_id.alias("id"))
+    calls = act.where("id IS NOT NULL").groupBy("episode_id", "id").agg(F.count("*").alias("calls"))
+    replies = events.where(is_observation()).select("episode_id", reply_id().alias("id"), "pos").groupBy("episode_id", "id").agg(F.max("pos").cast("long").alias("reply"))
+    x = act.join(calls, ["episode_id", "id"], "left").join(replies, ["episode_id", "id"], "left")
+    until = F.when(F.col("id").isNotNull() & (F.col("reply") > F.col("pos")), F.col("reply"))
+    x = settled(x.select("episode_id", "action_id", "pos", "parent_event_id", F.col("id").isNotNull().alias("called"), until.alias("until"), F.when(F.col("calls") == 1, until).alias("last")))
+
+    def point(at: str, mark: str) -> Column:
+        n = lambda c: c.cast("long")
+        begins = F.lit(mark == "begin")
+        return F.when(F.col(at).isNotNull(), F.struct(F.col(at).alias("at"), F.lit(mark).alias("mark"), n(begins).alias("act"), n(begins & F.col("called")).alias("begin"), n(F.lit(mark == "end")).alias("end")))
+
+    def swept(keys: list[str]) -> DataFrame:
+        """(keys, action_id, pos, n_inside, n_open) of the calls, among the actions that share the keys."""
+        points = F.array_compact(F.array(point("pos", "begin"), point("last", "last"), point("until", "end")))
+        each = x.dropna(subset=keys).select(*keys, "action_id", "pos", "called", F.explode(points).alias("p")).select(*keys, "action_id", "pos", "called", "p.*")
+        asked = running(each, keys, "at", ["act", "begin", "end"]).where("called AND mark <> 'end'")
+        at_begin, at_last = (lambda c: F.max(F.when(F.col("mark") == "begin", F.expr(c)))), F.max(F.when(F.col("mark") == "last", F.col("act_before")))
+        inside = F.coalesce(at_last - at_begin("act_upto"), F.lit(0))
+        return asked.groupBy(*keys, "action_id", "pos").agg(F.greatest(inside, F.lit(0)).alias("n_inside"), at_begin("begin_before - end_upto").alias("n_open"))
+
+    whole = swept(["episode_id"])
+    family = swept(["episode_id", "parent_event_id"])
+    size = x.where("parent_event_id IS NOT NULL").groupBy("episode_id", "parent_event_id").agg(F.count("*").alias("size"))
+    other = family.join(size, ["episode_id", "parent_event_id"]).select("episode_id", "action_id", "pos", (F.col("size") - 1 - F.col("n_inside") - F.col("n_open")).alias("n_siblings"))
+    out = whole.join(other, ["episode_id", "action_id", "pos"], "left").withColumn("n_siblings", F.coalesce("n_siblings", F.lit(0)))
+    return out.withColumn("n_concurrent", F.col("n_inside") + F.col("n_open") + F.col("n_siblings"))
+
+
 def history_window(events: DataFrame, n: int = 20) -> DataFrame:
     """Ids of the n events before each event."""
     return events.withColumn("history_ids", F.collect_list("event_id").over(_ordered().rowsBetween(-n, -1)))

@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import normalize_page
-from ..operators import applicability, induction, profiles, retrieval, segment
+from ..operators import applicability, induction, profiles, ranks, retrieval, search, segment
 from .base import CONVERSATIONS, TOKENS, TURNS, conversation_events, query, table, turns
 
 
@@ -119,9 +119,15 @@ def g16_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return induction.apply_edits(rows, edits)[0]
 
 
-@query()
+_OVER = "cnt = 20 OR total + r.size > 20000"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT source, doc_id, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE strlen(text) <= 20000),
+ w AS (SELECT source, n, doc_id, 0 AS batch, 1 AS cnt, size AS total FROM r WHERE n = 1
+ UNION ALL SELECT r.source, r.n, r.doc_id, batch + CASE WHEN {_OVER} THEN 1 ELSE 0 END, CASE WHEN {_OVER} THEN 1 ELSE cnt + 1 END, CASE WHEN {_OVER} THEN r.size ELSE total + r.size END FROM w JOIN r ON r.source = w.source AND r.n = w.n + 1)
+ SELECT source, doc_id, batch FROM w UNION ALL SELECT source, doc_id, NULL FROM documents WHERE strlen(text) > 20000""")
 def g17_pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return induction.pack_batches(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", ["doc_id"], "text", 20, 20_000)
+    return ranks.pack_batches(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", ["doc_id"], "text", 20, 20_000)
 
 
 @query("SELECT CAST(o_orderstatus AS VARCHAR) AS package, o_orderpriority AS kind, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS supported, count(*) FILTER (o_orderkey % 3 = 0) AS templated FROM orders GROUP BY ALL")
@@ -138,7 +144,7 @@ def g19_package_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 5""")
 def h2_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    x = retrieval.lexical_topk(queries, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 5)
+    x = search.lexical_topk(queries, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 5)
     return x.withColumn("score", F.round("score", 6))
 
 
@@ -146,7 +152,34 @@ def h2_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h3_like_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("text"))
     corpus = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"))
-    return retrieval.like_fallback(queries, corpus, queries.where("query_id < 10"), 3)
+    return search.like_fallback(queries, corpus, queries.where("query_id < 10"), 3)
+
+
+_ASKED = """asked AS (SELECT concat('b', item_id) AS query_id, array_to_string(string_split(text, ' ')[3:5], ' ') AS text FROM benchmark UNION ALL SELECT concat('n', n_nationkey), substr(n_name, 1, 1 + n_nationkey % 2) FROM nation)"""
+
+
+@query(f"WITH {_ASKED} SELECT query_id, doc_id AS id FROM asked a JOIN documents d ON contains(lower(d.text), lower(a.text)) WHERE a.text <> ''")
+def h3_substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words of every benchmark item, and one or two letters of every nation, in whole documents."""
+    words = F.array_join(F.slice(F.split("text", " "), 3, 3), " ")
+    asked = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("query_id"), words.alias("text"))
+    letters = F.substr("n_name", F.lit(1), (1 + F.col("n_nationkey") % 2).cast("int"))
+    asked = asked.unionByName(table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("query_id"), letters.alias("text")))
+    index = search.index_grams(table(spark, sf_dir, "documents"), "doc_id")
+    return search.find_substrings(index, asked)
+
+
+@query(r"""WITH e AS (SELECT conv_id AS session, conv_id * 1000 + turn AS entry, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations), q AS (SELECT conv_id AS session, conv_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations WHERE turn = 0),
+ qt AS (SELECT session, query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY i) AS n FROM (SELECT session, query_id, term, min(i) AS i FROM (SELECT session, query_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM q) GROUP BY ALL)),
+ tf AS (SELECT session, entry, len(w) AS l, term, count(*) AS tf FROM (SELECT session, entry, w, unnest(w) AS term FROM e) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM e),
+ s AS (SELECT query_id, entry AS id, sum(greatest(ln((st.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS score FROM qt JOIN tf USING (session, term) JOIN df USING (term) CROSS JOIN st WHERE qt.n <= 12 GROUP BY ALL)
+ SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 2""")
+def h5_session_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first turn of every conversation as a question to its own turns."""
+    c = table(spark, sf_dir, "conversations")
+    entries = c.select(F.col("conv_id").alias("session"), (F.col("conv_id") * 1000 + F.col("turn")).alias("entry"), "text")
+    asked = c.where("turn = 0").select(F.col("conv_id").alias("session"), F.col("conv_id").alias("query_id"), "text")
+    return retrieval.session_search(asked, entries, 2).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH l AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) SELECT conv_id AS session, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM l WHERE r <= 3""")

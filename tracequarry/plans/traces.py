@@ -42,6 +42,12 @@ def c3_concurrent_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.concurrent_actions(call_events(spark, sf_dir)).withColumn("concurrent_ids", F.array_join("concurrent_ids", ","))
 
 
+@query(f"""WITH {_CONCURRENT} SELECT s.episode_id, s.action_id, count(*) FILTER (c.opos > s.pos) AS n_inside, count(*) FILTER (c.opos < s.pos) AS n_open, count(c.other) AS n_concurrent
+ FROM span s LEFT JOIN con c ON c.episode_id = s.episode_id AND c.action_id = s.action_id GROUP BY ALL""")
+def c3_concurrency_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.concurrency_counts(call_events(spark, sf_dir)).select("episode_id", "action_id", "n_inside", "n_open", "n_concurrent")
+
+
 @query(f"WITH {CONVERSATIONS} SELECT event_id, coalesce(string_agg(event_id, ',') OVER (PARTITION BY episode_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history_ids FROM ev")
 def c4_history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.history_window(conversation_events(spark, sf_dir), 3).select("event_id", F.array_join("history_ids", ",").alias("history_ids"))
@@ -140,10 +146,10 @@ def a15_fold_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 7 AS shard FROM (SELECT DISTINCT user_id FROM events))
- SELECT shard, count(*) AS n_rows, count(DISTINCT k.user_id) AS n_users FROM events JOIN k USING (user_id) GROUP BY ALL""")
+ SELECT user_id, shard, count(*) AS n_rows FROM events JOIN k USING (user_id) GROUP BY ALL""")
 def a23_shard_by_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = trajectories.shard_by_trajectory(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", 7, exact=True)
-    return x.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("n_users"))
+    return x.groupBy("user_id", F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n_rows"))
 
 
 @query(r"""SELECT page_id, lower(regexp_extract(p, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) || substr(p, length(regexp_extract(p, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) + 1) AS page

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from .. import schemas
 from ..functions.lineage import cut
 from ..functions.text import strip_screen_wrapper
+from ..operators.ranks import ranked
 
 
 def read_bench_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -220,10 +221,10 @@ def verify_digests(found: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def shard_by_trajectory(rows: DataFrame, key: str, n: int, exact: bool = False) -> DataFrame:
-    """Rows of a key in one shard: by hash, or (exact, one sort of the distinct keys) dealt in order of the keys."""
+    """Rows of a key in one shard: by hash, or (exact) dealt in order of the distinct keys, which are sorted by ranges."""
     if not exact:
         return rows.withColumn("shard", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)).cast("int"))
-    place = rows.select(key).distinct().withColumn("shard", ((F.row_number().over(Window.orderBy(key)) - 1) % n).cast("int"))
+    place = ranked(rows.select(key).distinct(), [key]).select(key, (F.col("rank") % n).cast("int").alias("shard"))
     return rows.join(place, key)
 
 
