@@ -51,9 +51,10 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN = rf"[ \n!-~{LETTERS}]"
 PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
 ALL_PLAIN = re.compile(f"{PLAIN}+")
-#: The same for whole columns, where no white space stands beside another, so that no look ahead is needed.
-SINGLE = rf"^\s?(?:{PLAIN.replace(" ", "").replace(chr(92) + "n", "")}+\s?)*$"
-MARKED = rf"('(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s)"
+#: The same for whole columns of plain characters where no white space stands beside another, so that nothing has to
+#: look ahead; and what keeps a text from being one of these.
+MARKED = rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s"
+NOT_PLAIN = rf"[^ \n!-~{LETTERS}]|[ \n][ \n]"
 MARK = "\0"
 #: White space in any sense, so that no cut is made where a library might see a run of it.
 BLANK = r"\s\x1c-\x1f\x85᠎"
@@ -110,24 +111,21 @@ class Encoder:
         if not self.by_piece:
             found = [x.ids for x in self.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)]
             return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
-        plain = pc.match_substring_regex(column, SINGLE)
-        words = pc.split_pattern(pc.replace_substring_regex(pc.if_else(plain, column, ""), MARKED, rf"{MARK}\1"), MARK)
-        flat = words.flatten().dictionary_encode()
-        blobs = list(map(self._piece, flat.dictionary.to_pylist()))
-        code = flat.indices.to_numpy(zero_copy_only=False)
+        other = pc.match_substring_regex(column, NOT_PLAIN)
+        words = pc.split_pattern(pc.replace_substring_regex(pc.if_else(other, "", column), MARKED, rf"{MARK}\0"), MARK)
+        pieces = words.flatten().dictionary_encode()
+        blobs = list(map(self._piece, pieces.dictionary.to_pylist()))
+        code = pieces.indices.to_numpy(zero_copy_only=False)
         size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         begin = np.cumsum(size) - size
-        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
-        code = code.astype(np.int32)
-        code[begin[odd]] = len(blobs) + np.arange(len(odd))  # such a row is one empty piece so far
-        blobs += map(self._text, column.take(pa.array(odd)).to_pylist())
-        length = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        at = np.cumsum(length) - length
-        table = np.frombuffer(b"".join(blobs), np.uint32)
-        n = length[code]
-        end = np.cumsum(n)
-        out = table[np.repeat(at[code] - (end - n), n) + np.arange(int(end[-1]))]
-        return out, np.add.reduceat(n, begin)
+        odd = np.flatnonzero(other.to_numpy(zero_copy_only=False))
+        if len(odd):
+            code = code.copy()
+            code[begin[odd]] = len(blobs) + np.arange(len(odd), dtype=code.dtype)  # such a row is one empty piece so far
+            blobs += map(self._text, column.take(pa.array(odd)).to_pylist())
+        found = pa.array(blobs, pa.large_binary()).take(pa.array(code))
+        data, ends = text_buffers(found)
+        return data.view(np.uint32), np.diff(ends[np.append(begin, len(code))]) // 4
 
 
 @functools.lru_cache(2)
@@ -141,7 +139,7 @@ def to_planes(values: np.ndarray, planes: str = "bit") -> list[bytes]:
     bits = int(values.max()).bit_length() if len(values) else 0
     raw = raw[:, : -(-bits // 8)]
     if planes == "bit":
-        raw = np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :bits].T, axis=1)
+        raw = np.packbits(np.ascontiguousarray(np.unpackbits(raw, axis=1, bitorder="little")[:, :bits].T), axis=1)
     else:
         raw = raw.T
     pack = zstandard.ZstdCompressor(level=3)
@@ -155,8 +153,8 @@ def from_planes(blobs: list[bytes], n: int, dtype: type, planes: str = "bit") ->
     rows = [np.frombuffer(unpack.decompress(x), np.uint8) for x in blobs]
     if rows and planes == "bit":
         bits = np.unpackbits(np.stack(rows), axis=1, count=n)
-        found = np.packbits(bits.T, axis=1, bitorder="little")
-        raw[:, : found.shape[1]] = found
+        for at in range(0, len(bits), 8):
+            raw[:, at // 8] = np.bitwise_or.reduce([x << i for i, x in enumerate(bits[at : at + 8])])
     elif rows:
         raw[:, : len(rows)] = np.stack(rows, axis=1)
     return raw.reshape(-1).view(np.dtype(dtype).newbyteorder("<"))
