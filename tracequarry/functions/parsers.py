@@ -11,7 +11,9 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from . import loose
 from .actions import HERE_DOCUMENT, words_of
+from .text import FILE_ENDINGS, GENERIC_NAMES
 from .udf import vectorized
 
 #: Tags and the judged dimensions.
@@ -143,75 +145,34 @@ def last_tagged_block(tag: str):
     return last
 
 
-def _objects(text: str) -> list[str]:
-    """Outermost balanced {...} parts, strings respected; an unbalanced opening brace is skipped."""
-    out, at = [], text.find("{")
-    while at >= 0:
-        depth, quoted, i = 0, False, at
-        end = -1
-        while i < len(text):
-            c = text[i]
-            if quoted:
-                if c == "\\":
-                    i += 1
-                elif c == '"':
-                    quoted = False
-            elif c == '"':
-                quoted = True
-            elif c in "{}":
-                depth += 1 if c == "{" else -1
-                if not depth:
-                    end = i + 1
-                    break
-            i += 1
-        if end > 0:
-            out.append(text[at:end])
-        at = text.find("{", end if end > 0 else at + 1)
-    return out
-
-
-def _repaired(text: str) -> str:
-    text = re.sub(r",(?=\s*[}\]])", "", text)
-    text = re.sub(r"'(\w+)'(?=\s*:)", r'"\1"', text)
-    return re.sub(r"(?<=[{,])\s*(\w+)(?=\s*:)", r'"\1"', text)
-
-
 def _grade(x: Any) -> int:
-    if isinstance(x, str):
-        head = x.partition("/")[0].strip()
-        x = int(head) if re.fullmatch(r"[+-]?\d+", head) else 0
-    elif isinstance(x, bool) or not isinstance(x, int | float):
-        x = 0
-    x = round(x)
-    return min(5, max(1, x)) if x > 0 else x
+    """Whole numbers, also before a slash in texts; 1 to 5, or not above 0."""
+    number = re.fullmatch(r"\s*([+-]?\d+)\s*(?:/.*)?", x, re.S) if isinstance(x, str) else None
+    x = int(number[1]) if number else round(x) if isinstance(x, int | float) and not isinstance(x, bool) and abs(x) < 1e9 else 0
+    return min(5, x)
 
 
 def judgement(text: str | None) -> dict:
-    """Grades of a judge's answer, or the error that keeps them from being read."""
-    bad = lambda why: dict(success=False, total=0.0, strengths=[], weaknesses=[], error=why, **dict.fromkeys(DIMENSIONS, 0))
+    """Grades of a judge's answer, or the error that keeps them from being read. Of several objects the last with scores
+    counts, of fenced ones before others; of an object that is not clean only its scores are taken."""
+    out = dict(success=False, total=0.0, strengths=[], weaknesses=[], error=None, **dict.fromkeys(DIMENSIONS, 0))
     plain = without_thinking((text or "").strip(), JUDGE_TAG)
     if not plain:
-        return bad("empty output")
+        return out | {"error": "empty output"}
     target = tagged(plain, JUDGE_TAG) or plain
-    fenced = [x for x in (m.strip() for m in re.findall(r"```(?:json)?\s*([\s\S]*?)\s*```", target)) if x[:1] == "{" and x[-1:] == "}"]
-    found = fenced or _objects(target)
+    fenced = [x.strip().removeprefix("json").strip() for x in target.split("```")[1:-1:2]]
+    found = [loose.read_object(x, 0, open_ended=True) for x in fenced if x[:1] + x[-1:] == "{}"] or list(loose.objects(target))
     if not found:
-        return bad("no JSON object")
-    best = next((x for x in reversed(found) if '"scores"' in x), found[-1])
-    ok, value = _load(_repaired(best))
-    if not ok:
-        part = re.search(r'"scores"\s*:\s*(\{[^}]+\})', _repaired(best))
-        ok, scores = _load(part[1]) if part else (False, None)
-        value = {"scores": scores}
-    if not ok:
-        return bad("invalid JSON")
-    scores = value.get("scores") if isinstance(value, dict) else None
-    if not isinstance(scores, dict):
-        return bad("no scores")
+        return out | {"error": "no JSON object"}
+    best = next((x for x in reversed(found) if "scores" in x.value), found[-1])
+    scores = best.value.get("scores")
+    clean = best.clean(best.value)
+    if not isinstance(scores, dict) or not best.clean(scores):
+        return out | {"error": "no scores" if clean else "invalid JSON"}
     grades = {d: _grade(scores.get(d, 0)) for d in DIMENSIONS}
     good = [g for g in grades.values() if g > 0]
-    many = lambda x: [str(y) for y in x] if isinstance(x, list) else [x] if isinstance(x, str) and x else []
-    return dict(success=True, total=sum(good) / len(good) if good else 0.0, strengths=many(value.get("strengths")), weaknesses=many(value.get("weaknesses")), error=None, **grades)
+    remarks = {k: v for k in ("strengths", "weaknesses") if clean and (v := best.value.get(k)) and isinstance(v, list | str)}
+    return out | {"success": True, "total": sum(good) / max(1, len(good))} | {k: [v] if isinstance(v, str) else list(map(str, v)) for k, v in remarks.items()} | grades
 
 
 @vectorized("success boolean, total double, strengths array<string>, weaknesses array<string>, error string, " + ", ".join(f"{d} int" for d in DIMENSIONS))
@@ -224,12 +185,13 @@ class UNPARSED:
     """Stands for a text that is no value; a class, so that it stays the same object in every worker."""
 
 
-_FENCED = re.compile(r"^```[a-zA-Z]*\s*\n(.*?)\n?```$", re.S)
-
-
 def unfenced(text: str) -> str:
-    m = _FENCED.match(text.strip())
-    return m[1].strip() if m else text.strip()
+    """What stands between a first line of three backticks, with a language or none, and backticks at the end."""
+    text = text.strip()
+    first, line, rest = text.partition("\n")
+    language = first.rstrip().removeprefix("```")
+    inside = line and first.startswith("```") and rest.endswith("```") and (not language or language.isascii() and language.isalpha())
+    return rest[:-3].strip() if inside else text
 
 
 def observed(text: str) -> Any:
@@ -248,51 +210,87 @@ def parse_observation(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"parsed": [x is not UNPARSED for x in out], "value": [None if x is UNPARSED else json.dumps(x, sort_keys=True, ensure_ascii=False, default=lambda v: sorted(map(str, v)) if isinstance(v, set) else str(v)) for x in out]})
 
 
+#: Generated ids, and what counts as a reading of a clock, in texts and as a number.
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
-_CLOCK = re.compile(r"\d{4}-\d{2}-\d{2}T[\d:.]+|\b1[6-9]\d{8}(?:\.\d+)?\b")
+CLOCK = re.compile(r"\d{4}-\d{2}-\d{2}T[\d:.]+|\b1[6-9]\d{8}(?:\.\d+)?\b")
+CLOCK_FROM = 1.6e9
+_STRING = re.compile(r'"(?:\\.|[^"\\])*"')
 
 
-def canonical(x: Any) -> Any:
-    """Generated ids and clock values masked; scalar lists sorted; records keyed by content."""
-    if isinstance(x, str):
-        return _CLOCK.sub("<clock>", UUID.sub("<uuid>", x))
-    if isinstance(x, dict):
-        return sorted([canonical(str(k)), json.dumps(canonical(v), sort_keys=True, default=str)] for k, v in x.items())
-    if isinstance(x, list | tuple):
-        items = [canonical(v) for v in x]
-        return items if any(isinstance(v, dict | list | tuple) for v in x) else sorted(items, key=lambda v: json.dumps(v, sort_keys=True, default=str))
-    return "<clock>" if isinstance(x, int | float) and not isinstance(x, bool) and x > 1.6e9 else x
+def _neutral(text: str) -> str:
+    return CLOCK.sub("<clock>", UUID.sub("<uuid>", text))
+
+
+def _line(x: Any) -> str:
+    return json.dumps(x, sort_keys=True, default=str)
+
+
+def _members(pairs: list[tuple[str, Any]]) -> list[tuple[str, str]]:
+    return sorted((k, _line(_settled(v))) for k, v in dict(pairs).items())
+
+
+def _settled(x: Any) -> Any:
+    """Lists of scalars in order; members are settled already."""
+    if not isinstance(x, list):
+        return x
+    nested = any(isinstance(v, list | tuple) for v in x)
+    return [_settled(v) for v in x] if nested else sorted(x, key=_line)
+
+
+def canonical(text: str) -> Any:
+    """The value of a JSON text, neutral towards what is generated: ids and clock values masked inside its strings before
+    it is read, numbers of a clock while it is read, objects as members in order, lists of scalars as bags. A text that
+    is no JSON is masked."""
+    try:
+        number = lambda of: lambda t: "<clock>" if of(t) > CLOCK_FROM else of(t)
+        x = json.loads(_STRING.sub(lambda m: _neutral(m[0]), text), parse_int=number(int), parse_float=number(float), object_pairs_hook=_members)
+    except ValueError:
+        x = None
+    return _neutral(text) if x is None else _settled(x)
 
 
 @vectorized("string")
 def canonical_value(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else json.dumps(canonical(x if (y := _load(t))[0] and (x := y[1]) is not None else t), sort_keys=True, ensure_ascii=False, default=str))
+    return text.map(lambda t: None if t is None else json.dumps(canonical(t), sort_keys=True, ensure_ascii=False))
+
+
+def _scalars(x: Any) -> set[str]:
+    """The texts of all values inside a value that are neither null nor empty."""
+    out, todo = set(), [x]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict | list):
+            todo += v.values() if isinstance(v, dict) else v
+        elif v is not None and v != "":
+            out.add(str(v))
+    return out
+
+
+#: Parts of a wording that are blank whatever was called.
+BLANKS = (UUID.pattern, r"'[^']*'", r"\[[^\]]*\]", r"\{\}")
 
 
-def _leaves(x: Any):
-    if isinstance(x, dict | list):
-        for v in x.values() if isinstance(x, dict) else x:
-            yield from _leaves(v)
-    elif x not in (None, ""):
-        yield str(x)
+def wording(text: str, known: set[str]) -> str:
+    """A text with known values (longest first), ids, quotes and lists blank; blanks with nothing between them are one."""
+    names = sorted((v for v in known if len(v) > 1), key=lambda v: (-len(v), v))
+    first, *rest = re.split("|".join([*map(re.escape, names), *BLANKS]), text)
+    parts = [first, *(p for p in rest[:-1] if p.strip()), *rest[-1:]]
+    return "{}".join(parts).strip()
 
 
 @vectorized("tool string, kind string, wording string")
 def outcome_signature(observation: pd.Series, tool: pd.Series, arguments: pd.Series, record_ids: pd.Series) -> pd.DataFrame:
-    """What kind of answer a call got and its wording with arguments, record ids, quoted values, ids and lists blank."""
+    """What kind of answer a call got, and its wording, in which the call's arguments and the record ids are known."""
     out = []
     for o, t, a, r in zip(observation, tool, arguments, record_ids, strict=True):
         x = observed(o)
-        if not isinstance(x, dict):
+        if isinstance(x, dict):
+            failed = x.get("success") is False
+            known = _scalars(_load(a)[1]).union(r if r is not None else ())
+            said = next((str(x[k]) for k in ("error", "message") if x.get(k)), "")
+            out.append((t, "error" if failed else "data" if "data" in x else "message", wording(said, known)))
+        else:
             out.append((t, "other", ""))
-            continue
-        kind = "error" if x.get("success") is False else "data" if "data" in x else "message"
-        text = str(x.get("error") or x.get("message") or "")
-        known = set(r if r is not None else ()) | set(_leaves(_load(a)[1]))
-        for v in sorted((v for v in known if len(v) > 1), key=lambda v: (-len(v), v)):
-            text = text.replace(v, "{}")
-        text = re.sub(r"'[^']*'|\[[^\]]*\]", "{}", UUID.sub("{}", text))
-        out.append((t, kind, re.sub(r"\{\}(\s*\{\})+", "{}", text).strip()))
     return pd.DataFrame(out, columns=["tool", "kind", "wording"])
 
 
@@ -308,25 +306,66 @@ MASKS = (
 )
 
 
+_FIELDS = re.compile(r"(\s+)")
+_RIGHTS = re.compile(r"[-bcdlps](?:[-r][-w][-xsStT]){3}[.+@]?")
+_NAMED = re.compile(rf"\.(?:{'|'.join(FILE_ENDINGS)})$")
+_LONG_ID = re.compile(r"(?=.*\d)[A-Za-z][\w-]{11,}")
+
+
+class _Inventory:
+    """Judges the words of a text: those that the episode was shown or that name nothing in particular stay."""
+
+    def __init__(self, known: set[str], foreign: set[str]):
+        self.known, self.foreign = known, foreign
+
+    def stays(self, word: str) -> bool:
+        word = word.rstrip("/.") or word
+        parts = [x.lower() for x in word.split("/") if x]
+        return word in self.known or word.rsplit("/", 1)[-1] in self.known or all(x in _GENERIC for x in parts)
+
+    def hidden_as(self, word: str) -> str | None:
+        """What stands for a word: by its kind if it is foreign, or names a path, a file or a long id."""
+        if self.stays(word):
+            return None
+        if re.fullmatch(r"\d{3,}", word):
+            return "<n>"
+        ending = re.search(r"\.[A-Za-z0-9]{1,6}$", word)
+        if word in self.foreign or "/" in word.strip("/") or word.startswith("/") or _NAMED.search(word) or _LONG_ID.fullmatch(word):
+            return "<path>" if "/" in word else f"<file{ending[0]}>" if ending else "<name>"
+        return None
+
+
+_GENERIC = {x.lower().strip("/") for x in GENERIC_NAMES} | {".", "..", "~"}
+
+
+def _listed(line: str, inventory: _Inventory) -> tuple[str, int]:
+    """A row of a long listing with its size masked, and its name where the episode doesn't know it (a link by its own
+    name); other lines as they are."""
+    parts = _FIELDS.split(line, maxsplit=8)
+    if len(parts) < 17 or not _RIGHTS.fullmatch(parts[0]) or not parts[8].isdigit():
+        return line, 0
+    parts[8] = "<n>"
+    hidden = not inventory.stays(parts[16].split(" -> ")[0].strip())
+    if hidden:
+        parts[16] = "<name>"
+    return "".join(parts), 1 + hidden
+
+
 def masked(text: str, known: set[str], foreign: set[str]) -> tuple[str, int]:
-    """Text with foreign values masked, and how many were: patterns first, then names that the episode doesn't know
-    and longer numbers."""
-    n = 0
+    """Text with foreign values masked, and how many were: rows of long listings first, then values with a pattern of
+    their own, then words that the inventories tell to hide, and longer numbers."""
+    inventory = _Inventory(known, foreign)
+    lines = [_listed(line, inventory) for line in text.split("\n")]
+    text, n = "\n".join(x for x, _ in lines), sum(k for _, k in lines)
     for pattern, name in MASKS:
         text, k = pattern.subn(name, text)
         n += k
-
-    def one(m: re.Match) -> str:
-        nonlocal n
-        word = m[0]
-        if word in known or word.strip("<>") != word:
-            return word
-        if word in foreign or "/" in word and word not in known or re.fullmatch(r"\d{3,}", word):
-            n += 1
-            return "<n>" if word.isdigit() else "<path>" if "/" in word else "<name>"
-        return word
-
-    return re.sub(r"<?[\w./~+@-]+>?", one, text), n
+    out = []
+    for word in re.split(r"(<[\w.]+>|[\w./~+@-]+)", text):
+        name = inventory.hidden_as(word) if word and word[0] != "<" and not word.isspace() else None
+        out.append(name or word)
+        n += name is not None
+    return "".join(out), n
 
 
 @vectorized("text string, masked int")

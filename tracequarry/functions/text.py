@@ -105,7 +105,7 @@ def screen_signature(text: Column) -> Column:
 
 #: File endings that make a name specific, names that are not.
 FILE_ENDINGS = ("py", "sh", "c", "h", "cpp", "js", "ts", "json", "yaml", "yml", "toml", "txt", "md", "csv", "log", "html", "css", "sql", "conf", "cfg", "ini", "xml", "tar", "gz", "zip", "png", "jpg", "pdf")
-GENERIC_NAMES = ("/", "/tmp", "/app", "/root", "/home", "/usr", "/etc", "/var", "/bin", "/dev/null", "README.md", "requirements.txt", "package.json", "setup.py", "index.html", "main.py", "test.py")
+GENERIC_NAMES = ("/", "/tmp", "/app", "/srv", "/opt", "/mnt", "/root", "/home", "/usr", "/etc", "/var", "/bin", "/dev/null", "README.md", "requirements.txt", "package.json", "setup.py", "index.html", "main.py", "test.py")
 
 
 def specific_tokens(text: Column) -> Column:
@@ -147,10 +147,21 @@ def transcript_cwd(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1))
 
 
+#: Fixed value: a row of a long listing, with the name (and a link's target) as its group.
+LISTING_LINE = r"^[-bcdlps][-rwxsStT]{9}[.+@]?\s+\d+\s+\S+\s+\S+\s+[\d.]+[KMG]?\s+\S+\s+\d+\s+[\d:]+\s+(.+)$"
+
+
 def transcript_names(events: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, name): specific names in a transcript and file names of long listings."""
-    listing = F.regexp_extract_all(text, F.lit(r"(?m)^[dl-][rwxsStT-]{9}[.+@]?\s+\d+\s+\S+\s+\S+\s+[\d.]+[KMG]?\s+\S+\s+\d+\s+[\d:]+\s+(\S+)"), F.lit(1))
-    return events.select(F.col(id_col), F.explode(F.array_distinct(F.concat(specific_tokens(F.col(text)), listing))).alias("name")).distinct()
+    """(id, name): what a transcript makes its own: specific names in commands typed behind a prompt and in JSON calls, and
+    the entries of long listings (four characters or more, no generic ones). Output and file contents name nothing."""
+    lines = F.split(text, "\n")
+    group = lambda pattern, i: F.transform(F.filter(lines, lambda x: x.rlike(pattern)), lambda x: F.regexp_extract(x, pattern, i))
+    typed = specific_tokens(F.array_join(group(PROMPT_LINE, 5), "\n"))
+    listed = F.transform(group(LISTING_LINE, 1), lambda x: F.trim(F.substring_index(x, " -> ", 1)))
+    listed = F.filter(F.array_except(listed, F.array(*map(F.lit, GENERIC_NAMES))), lambda x: F.length(x) >= 4)
+    calls = F.regexp_extract_all(text, F.lit(r"(?s)```json\s*(\{.*?\})\s*```"), F.lit(1))
+    named = F.flatten(F.transform(calls, lambda c: action_operands(F.get_json_object(c, "$.arguments"))))
+    return events.select(F.col(id_col), F.explode(F.array_distinct(F.concat(typed, listed, named))).alias("name")).distinct()
 
 
 def wait_state(previous: Column) -> Column:
@@ -182,7 +193,8 @@ def observation_snippet(text: Column, tokens: Column, width: int) -> Column:
 
 def page_text(text: Column, offset: Column, length: int) -> Column:
     """(part, next offset or null)."""
-    return F.struct(F.substr(text, offset + 1, F.lit(length)).alias("part"), F.when(F.length(text) > offset + length, offset + length).alias("next_offset"))
+    length = F.lit(length)
+    return F.struct(F.substr(text, offset + 1, length).alias("part"), F.when(F.length(text) > offset + length, offset + length).alias("next_offset"))
 
 
 def action_kind(prompt: Column) -> Column:
