@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import audits, evaluation, hygiene, knowledge, parsing, traces  # noqa: F401  they register their queries
+from .plans import audits, contents, evaluation, hygiene, knowledge, parsing, traces  # noqa: F401  they register their queries
 from .plans.base import QUERIES, SQL, Query
 
 

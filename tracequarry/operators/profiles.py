@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
+from ..functions.lineage import settled
+
 
 def call_costs(log: DataFrame, prices: DataFrame, role: str = "role", by: str = "model") -> DataFrame:
     """Per role and in total (role null): calls, cache hits, errors, tokens, seconds, cost. prices (model, prompt,
@@ -45,9 +47,40 @@ def collection_profile(turns: DataFrame, by: list[str]) -> DataFrame:
     return each.groupBy(*by, "tool").agg(F.sum("c").alias("calls"), F.sum("e").alias("errors"), F.sum("w").alias("changing"), F.count("*").alias("answers"), (F.max("c") / F.sum("c")).alias("top_share"))
 
 
+FEW_GROUPS = 100_000  # bounds of so many groups go to each executor; more are joined
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """(by, n, one column a share): the percentiles of a numeric column, exact with linear interpolation, nulls left out.
+
+    A mergeable sketch of bounded size gives two values of each group between which a percentile lies; a second pass
+    counts what is smaller and, value by value, what lies between them: a few of `accuracy` parts of a group's rows."""
+    names = list(shares)
+    margins = (6 / accuracy, 0.01, 1.0)  # the first is wide enough from `accuracy` rows on, the next from 400, the last always
+    edges = F.array(*(F.lit(min(1.0, max(0.0, q + d))) for q in shares.values() for m in margins for d in (-m, m)))
+    x = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    bounds = settled(x.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", edges, F.lit(accuracy)).alias("edges")))
+    width = F.when(F.col("n") >= accuracy, 0).when(F.col("n") >= 400, 2).otherwise(4)
+    share = F.array(*(F.struct(F.lit(name).alias("share"), F.lit(q).alias("q"), F.get("edges", width + 6 * i).alias("low"), F.get("edges", width + 6 * i + 1).alias("high")) for i, (name, q) in enumerate(shares.items())))
+    wanted = bounds.select(*by, "n", F.explode(share).alias("s")).select(*by, "n", "s.*")
+    if bounds.count() <= FEW_GROUPS:
+        wanted = F.broadcast(wanted)
+    on = [x[c].eqNullSafe(wanted[c]) for c in by] or [F.lit(True)]
+    near = x.join(wanted, on).where(x["v"] <= F.col("high")).select(*(wanted[c] for c in by), "share", "q", "n", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v"))
+    counted = near.groupBy(*by, "share", "q", "n", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "share").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.col("q") * (F.col("n") - 1)
+    at = lambda p: F.min(F.when(F.col("upto") > p, F.col("v")))
+    both = counted.withColumn("upto", upto).where("v IS NOT NULL").groupBy(*by, "share", "q", "n").agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"))
+    found = both.select(*by, "n", "share", (F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))).alias("x"))
+    return found.groupBy(*by, "n").pivot("share", names).agg(F.first("x"))
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Median, 95th percentile and maximum."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("most"))
+    """Count, median, 95th percentile and maximum; nulls are counted only."""
+    whole = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(value).alias("most"))
+    found = exact_quantiles(rows, by, value, {"median": 0.5, "p95": 0.95}).drop("n")
+    return whole.join(found, [whole[c].eqNullSafe(found[c]) for c in by], "left").select(*(whole[c] for c in by), "n", "median", "p95", "most")
 
 
 def data_class(answers: DataFrame, records: DataFrame) -> DataFrame:

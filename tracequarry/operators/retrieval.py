@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from ..functions.text import clip_text, observation_snippet
+from ..functions.text import clip_text, observation_snippet, page_text
 from .search import lexical_topk, terms
 
 def build_turn_corpus(transitions: DataFrame, texts: DataFrame, sources: DataFrame) -> DataFrame:
@@ -92,6 +92,20 @@ def bench_rows(turns: DataFrame, evaluated: DataFrame, suffix: str) -> DataFrame
     return g.select("episode", "turn_idx", "total_turns", F.concat(F.slice(prompts, F.lit(1), F.size(prompts) - 1), F.array(last)).alias("prompt"), F.transform("a", lambda r: r["response"]).alias("response"), last.alias("current_prompt"))
 
 
+def read_pages(asked: DataFrame, corpus: DataFrame) -> DataFrame:
+    """asked (episode, turn, offset, length), corpus (episode, turn, action_type, observation): an exact span of each
+    asked turn's observation (an offset below 0 is 0, a length below 1 is 1), where the next begins, and the actions of
+    the turns beside it as neighbours (turn, action_type). Turns that aren't there have no rows."""
+    beside = corpus.select("episode", F.col("turn").alias("other"), "action_type")
+    want = asked.select("episode", "turn", F.greatest("offset", F.lit(0)).alias("offset"), F.greatest("length", F.lit(1)).alias("length"))
+    near = want.select("episode", "turn", F.explode(F.array(F.col("turn") - 1, F.col("turn") + 1)).alias("other")).distinct().join(beside, ["episode", "other"])
+    near = near.groupBy("episode", "turn").agg(F.sort_array(F.collect_list(F.struct(F.col("other").alias("turn"), "action_type"))).alias("neighbours"))
+    page = page_text(F.col("observation"), F.col("offset"), F.col("length"))
+    x = want.join(corpus, ["episode", "turn"]).select("episode", "turn", "action_type", F.length("observation").alias("total_chars"), "offset", page.alias("p")).join(near, ["episode", "turn"], "left")
+    none = F.array().cast(near.schema["neighbours"].dataType)
+    return x.select("episode", "turn", "action_type", "total_chars", "offset", F.col("p.part").alias("text"), F.col("p.next_offset").alias("next_offset"), F.coalesce("neighbours", none).alias("neighbours"))
+
+
 def with_snippets(hits: DataFrame, queries: DataFrame, corpus: DataFrame, width: int = 200) -> DataFrame:
     x = hits.join(queries.select("query_id", terms(F.col("text")).alias("_t")), "query_id").join(corpus.select("id", F.col("text").alias("_b")), "id")
     return x.withColumn("snippet", observation_snippet(F.col("_b"), F.col("_t"), width)).drop("_t", "_b")

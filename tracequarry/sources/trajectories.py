@@ -13,9 +13,9 @@ from ..functions.text import strip_screen_wrapper
 from ..operators.ranks import ranked
 
 
-def read_bench_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """JSONL files, or folders of *_test.jsonl."""
-    return spark.read.schema(schemas.BENCH_ROWS).option("pathGlobFilter", "*.jsonl").json(paths)
+def read_bench_rows(spark: SparkSession, paths: list[str], names: str = "*.jsonl") -> DataFrame:
+    """JSONL files, or the files of folders that have such names."""
+    return spark.read.schema(schemas.BENCH_ROWS).option("pathGlobFilter", names).json(paths)
 
 
 def read_atif(spark: SparkSession, path: str) -> DataFrame:
@@ -187,14 +187,18 @@ def environment_definitions(metadata: DataFrame, scenarios: DataFrame) -> DataFr
     return metadata.select("env_id", "summary").join(t, "env_id", "left").join(s, "env_id", "left").select("env_id", "summary", F.coalesce("tools", F.array().cast("array<string>")).alias("tools"), F.coalesce("tasks", F.create_map().cast("map<string,string>")).alias("tasks"))
 
 
+RECORDS_PER_FILE = 1_000_000  # so that a file can be read as one value to digest it
+
+
 def export_episodes(turns: DataFrame, splits: DataFrame, path: str) -> DataFrame:
-    """Write turns by split; returns the summary (split, episodes, turns). A task that two episodes claim is an error."""
+    """Write turns by split with a manifest (write_manifest); returns the summary (split, episodes, turns) of what the
+    files hold. A task that two episodes claim is an error."""
     twice = splits.groupBy("episode_id").count().where("count > 1")
     if not twice.isEmpty():
         raise ValueError("an episode is in the split table more than once")
-    x = turns.join(splits, "episode_id")
-    x.write.partitionBy("split").parquet(path)
-    return x.groupBy("split").agg(F.count_distinct("episode_id").alias("episodes"), F.count("*").alias("turns"))
+    turns.join(splits, "episode_id").repartition("split", "episode_id").write.option("maxRecordsPerFile", RECORDS_PER_FILE).partitionBy("split").parquet(f"{path}/episodes")
+    write_manifest(turns.sparkSession, path)
+    return turns.sparkSession.read.parquet(f"{path}/episodes").groupBy("split").agg(F.count_distinct("episode_id").alias("episodes"), F.count("*").alias("turns"))
 
 
 def trial_summary(turns: DataFrame, usage: DataFrame) -> DataFrame:
@@ -202,22 +206,38 @@ def trial_summary(turns: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def write_catalog(rules: DataFrame, tables: dict[str, DataFrame], path: str) -> None:
-    """Rules as JSON by action type, typed artefact tables as Parquet."""
-    rules.write.partitionBy("action_type").json(f"{path}/rules")
+    """Rules as JSON by action type, typed artefact tables as Parquet, and the manifest of both."""
+    rules.write.option("maxRecordsPerFile", RECORDS_PER_FILE).partitionBy("action_type").json(f"{path}/rules")
     for name, df in tables.items():
-        df.write.parquet(f"{path}/{name}")
+        df.write.option("maxRecordsPerFile", RECORDS_PER_FILE).parquet(f"{path}/{name}")
+    write_manifest(rules.sparkSession, path)
+
+
+MANIFEST = "_manifest"  # Spark's readers pass names with an underscore over
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, folder, length, sha256) of all files below a folder, each read once by the task that digests it."""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return x.select("path", F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), "length", F.sha2("content", 256).alias("sha256"))
 
 
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """The digests of a folder's files, beside them."""
+    file_digests(spark, path).write.parquet(f"{path}/{MANIFEST}")
+
+
 def verify_digests(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """manifest (path, folder, sha256): per folder, files that are missing, differ or are verified."""
-    x = manifest.select("path", "folder", F.col("sha256").alias("want")).join(found.select("path", "sha256"), "path", "left")
-    status = F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") != F.col("want"), "mismatched").otherwise("verified")
-    return x.groupBy("folder", status.alias("status")).agg(F.count("*").alias("n"))
+    """manifest (path, folder, sha256): per folder, files that are verified, mismatched, missing, or unlisted (found, but
+    in no manifest)."""
+    x = manifest.select("path", "folder", F.col("sha256").alias("want")).join(found.select("path", F.col("folder").alias("seen_in"), "sha256"), "path", "full")
+    status = F.when(F.col("want").isNull(), "unlisted").when(F.col("sha256").isNull(), "missing").when(F.col("sha256") != F.col("want"), "mismatched").otherwise("verified")
+    return x.groupBy(F.coalesce("folder", "seen_in").alias("folder"), status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def verify_export(spark: SparkSession, path: str) -> DataFrame:
+    """verify_digests of a written folder against the manifest beside its files."""
+    return verify_digests(file_digests(spark, path), spark.read.parquet(f"{path}/{MANIFEST}"))
 
 
 def shard_by_trajectory(rows: DataFrame, key: str, n: int, exact: bool = False) -> DataFrame:
