@@ -6,6 +6,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from ..functions.lineage import settled
+
 RARE_TOKEN = r"[A-Za-z][\w.\-]{5,}"
 
 
@@ -72,40 +74,112 @@ def set_jaccard_pairs(left: DataFrame, right: DataFrame, key: str, least: float)
     return pairs.join(a, ["left_id", key]).join(b, ["right_id", key]).withColumn("jaccard", jaccard(F.col("a"), F.col("b"))).where(F.col("jaccard") >= least).select(key, "left_id", "right_id", "jaccard")
 
 
-def task_overlap(bench: DataFrame, reserve: DataFrame, flag_at: float = 0.6) -> DataFrame:
-    """bench, reserve (env, task, tokens, records, calls, sequence, database). Pairs of one environment that share a
-    token, a record or a call: Jaccards, share of the benchmark's calls, equal sequence, equal database, flag. Pairs
-    that share nothing have all zeros and no row. Keys are joined hashed, through an inverted index."""
-    def keys(side, name):
-        each = F.concat(*(F.transform(c, lambda x, c=c: F.xxhash64(F.lit(c), x)) for c in ("tokens", "records", "calls")), F.array(F.xxhash64(F.lit("seq"), F.col("sequence")), F.xxhash64(F.lit("db"), F.coalesce("database", F.concat(F.lit(name), F.col("task").cast("string"))))))
-        return side.select("env", F.col("task").alias(name), F.explode(F.array_distinct(each)).alias("k"))
-
-    pairs = keys(bench, "bench_task").join(keys(reserve, "reserve_task"), ["env", "k"]).select("env", "bench_task", "reserve_task").distinct()
+OVERLAP_MEASURES = ("instruction", "records", "calls")
+_SETS = dict(zip(OVERLAP_MEASURES, ("tokens", "records", "calls"), strict=True))
+TOP_OF_CLASS = 8
+
+
+def _task_items(bench: DataFrame, reserve: DataFrame) -> DataFrame:
+    """(env, measure, item, side, task, n, r): the items of each task's sets, by hash, and their place r (from 1) in the
+    order from rare to frequent in which all sets of an environment are read."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        sets = F.array(*(F.struct(F.lit(m).alias("measure"), F.array_distinct(F.transform(c, lambda x: F.xxhash64(x))).alias("items")) for m, c in _SETS.items()))
+        each = df.select("env", "task", F.explode(sets).alias("s")).select("env", "task", "s.*")
+        return each.select("env", "measure", F.lit(name).alias("side"), "task", F.size("items").alias("n"), F.explode("items").alias("item"))
+
+    items = settled(side(bench, "bench").unionByName(side(reserve, "reserve")))
+    df = items.groupBy("env", "measure", "item").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("env", "measure", "side", "task").orderBy("df", "item")
+    return settled(items.join(df, ["env", "measure", "item"]).withColumn("r", F.row_number().over(w)).drop("df"))
+
+
+def _reaching(items: DataFrame, least: float, open_: DataFrame | None = None) -> DataFrame:
+    """(env, bench_task, reserve_task): pairs that may have a measure of `least` or more, of the (env, measure, task) in
+    open_ only. They share an item among the first of each set (of calls, of which only the benchmark's count, among the
+    first of the benchmark's), sets whose sizes differ too much can't reach it, nor can those of which too little is left
+    behind the first shared item."""
+    first = F.col("n") - F.ceil(F.col("n") * least) + 1
+    left = items.where(F.col("side") == "bench")
+    if open_ is not None:
+        left = left.join(open_, ["env", "measure", "task"], "left_semi")
+    a = left.where(F.col("r") <= first).select("env", "measure", "item", F.col("task").alias("bench_task"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    b = items.where((F.col("side") == "reserve") & ((F.col("measure") == "calls") | (F.col("r") <= first))).select("env", "measure", "item", F.col("task").alias("reserve_task"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    share = F.when(F.col("measure") == "calls", F.col("na") * least).otherwise((F.col("na") + F.col("nb")) * (least / (1 + least)))
+    possible = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    return a.join(b, ["env", "measure", "item"]).where(possible >= share - 1e-9).select("env", "bench_task", "reserve_task").distinct()
+
+
+def _measured(pairs: DataFrame, bench: DataFrame, reserve: DataFrame) -> DataFrame:
+    """pairs with their exact measures, same_sequence and same_database."""
     side = lambda df, name, p: df.select("env", F.col("task").alias(name), *(F.col(c).alias(f"{p}_{c}") for c in ("tokens", "records", "calls", "sequence", "database")))
     x = pairs.join(side(bench, "bench_task", "b"), ["env", "bench_task"]).join(side(reserve, "reserve_task", "r"), ["env", "reserve_task"])
-    x = x.select(
+    return x.select(
         "env", "bench_task", "reserve_task", jaccard(F.col("b_tokens"), F.col("r_tokens")).alias("instruction"), jaccard(F.col("b_records"), F.col("r_records")).alias("records"),
         F.when(F.size("b_calls") > 0, F.size(F.array_intersect("b_calls", "r_calls")) / F.size(F.array_distinct("b_calls"))).otherwise(0.0).alias("calls"),
-        (F.col("b_sequence") == F.col("r_sequence")).alias("same_sequence"), F.coalesce(F.col("b_database") == F.col("r_database"), F.lit(False)).alias("same_database"),
+        F.coalesce(F.col("b_sequence") == F.col("r_sequence"), F.lit(False)).alias("same_sequence"), F.coalesce(F.col("b_database") == F.col("r_database"), F.lit(False)).alias("same_database"),
     )
-    return x.withColumn("flagged", (F.col("instruction") >= flag_at) | (F.col("records") >= flag_at) | (F.col("calls") >= flag_at) | F.col("same_database"))
 
 
-OVERLAP_MEASURES = ("instruction", "records", "calls")
-
-
-def task_overlap_summary(overlaps: DataFrame, bench: DataFrame, top: int = 3) -> DataFrame:
-    """One row per benchmark task: the maxima over its pairs (zeros without any), whether a pair is flagged, and the
-    `top` reserve tasks by the largest of the three measures."""
-    x = overlaps.withColumn("most", F.greatest(*OVERLAP_MEASURES))
+def task_overlap(bench: DataFrame, reserve: DataFrame, flag_at: float = 0.6) -> DataFrame:
+    """bench, reserve (env, task, tokens, records, calls, sequence, database). Pairs of one environment that share a
+    token, a record, a call, the sequence or the database: Jaccards, share of the benchmark's calls, equal sequence,
+    equal database, flag. Pairs that share nothing have all zeros and no row. As many rows as there are such pairs:
+    overlap_at and task_overlap_summary need fewer."""
+    keys = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), F.col(c))) for c in ("sequence", "database"))))
+    items = _task_items(bench, reserve)
+    equal = lambda side, name: side.select("env", F.col("task").alias(name), F.explode(keys).alias("k"))
+    same = equal(bench, "bench_task").join(equal(reserve, "reserve_task"), ["env", "k"]).select("env", "bench_task", "reserve_task")
+    x = _measured(_reaching(items, 0.0).unionByName(same).distinct(), bench, reserve)
+    return x.withColumn("flagged", (F.greatest(*OVERLAP_MEASURES) >= flag_at) | F.col("same_database"))
+
+
+def overlap_at(bench: DataFrame, reserve: DataFrame, least: float = 0.6) -> DataFrame:
+    """The pairs of task_overlap of which some measure is `least` or more."""
+    x = _measured(_reaching(_task_items(bench, reserve), least), bench, reserve)
+    return x.where(F.greatest(*OVERLAP_MEASURES) >= least)
+
+
+def task_overlap_summary(bench: DataFrame, reserve: DataFrame, flag_at: float = 0.6, top: int = 3, falling: tuple[float, ...] = (0.3, 0.1, 0.0)) -> DataFrame:
+    """One row per benchmark task: the maxima of the measures over all reserve tasks of its environment (zeros where
+    nothing is shared), whether it has an equal sequence, an equal database, a flag, and the `top` reserve tasks by the
+    largest measure (then equal sequence, then task; such as share nothing don't count).
+
+    Rounds of overlap_at with falling bounds: a maximum that reaches a round's bound is exact, and so are the closest
+    tasks once `top` of them reach it; only tasks and measures that are still open go on to the next. So pairs that share
+    little are looked at for those tasks only that have nothing closer."""
+    items = _task_items(bench, reserve)
+    task = bench.select("env", F.col("task").alias("bench_task"))
+    found, open_ = None, None
+    for least in (flag_at, *falling):
+        new = _measured(_reaching(items, least, open_), bench, reserve)
+        new = new.withColumn("most", F.greatest(*OVERLAP_MEASURES)).where("most > 0")
+        found = settled(new if found is None else found.unionByName(new).distinct())
+        if least == falling[-1]:
+            break
+        at = found.groupBy("env", "bench_task").agg(*(F.max(m).alias(m) for m in OVERLAP_MEASURES), F.count_if(F.col("most") >= least).alias("near"))
+        is_open = F.array_compact(F.array(*(F.when(~F.coalesce((F.col(m) >= least) & (F.col("near") >= top), F.lit(False)), F.lit(m)) for m in OVERLAP_MEASURES)))
+        open_ = settled(task.join(at, ["env", "bench_task"], "left").select("env", F.col("bench_task").alias("task"), F.explode(is_open).alias("measure")))
+        if open_.isEmpty():
+            break
+
+    def equal(c: str) -> DataFrame:
+        """The first reserve tasks of each equal sequence or database: enough for those that share nothing else."""
+        w = Window.partitionBy("env", c).orderBy("task")
+        few = reserve.where(F.col(c).isNotNull()).select("env", c, "task").withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + TOP_OF_CLASS)
+        return bench.where(F.col(c).isNotNull()).select("env", F.col("task").alias("bench_task"), c).join(few.select("env", c, F.col("task").alias("reserve_task")), ["env", c]).select("env", "bench_task", "reserve_task")
+
+    same = {c: settled(equal(c)) for c in ("sequence", "database")}
+    more = _measured(same["sequence"].unionByName(same["database"]).distinct(), bench, reserve).withColumn("most", F.greatest(*OVERLAP_MEASURES))
+    every = found.unionByName(more).distinct()
     w = Window.partitionBy("env", "bench_task").orderBy(F.desc("most"), F.desc("same_sequence"), "reserve_task")
-    best = x.withColumn("r", F.row_number().over(w)).groupBy("env", "bench_task").agg(
-        *(F.max(m).alias(f"max_{m}") for m in OVERLAP_MEASURES), F.bool_or("same_sequence").alias("same_sequence"), F.bool_or("same_database").alias("same_database"), F.bool_or("flagged").alias("flagged"),
+    best = every.withColumn("r", F.row_number().over(w)).groupBy("env", "bench_task").agg(
+        *(F.max(m).alias(f"max_{m}") for m in OVERLAP_MEASURES), F.bool_or("same_sequence").alias("same_sequence"), F.bool_or("same_database").alias("same_database"),
         F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= top, F.struct("r", "reserve_task")))), lambda y: y["reserve_task"]).alias("closest"),
     )
-    x = bench.select("env", F.col("task").alias("bench_task")).join(best, ["env", "bench_task"], "left")
+    x = task.join(best, ["env", "bench_task"], "left")
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    return x.select("env", "bench_task", *(F.coalesce(f"max_{m}", F.lit(0.0)).alias(f"max_{m}") for m in OVERLAP_MEASURES), no("same_sequence"), no("same_database"), no("flagged"), "closest")
+    x = x.select("env", "bench_task", *(F.coalesce(f"max_{m}", F.lit(0.0)).alias(f"max_{m}") for m in OVERLAP_MEASURES), no("same_sequence"), no("same_database"), "closest")
+    return x.withColumn("flagged", (F.greatest(*(f"max_{m}" for m in OVERLAP_MEASURES)) >= flag_at) | F.col("same_database"))
 
 
 def shared_paths(rows: DataFrame, folds: DataFrame, max_df: int = 3, shared_at: int = 5) -> DataFrame:

@@ -77,13 +77,20 @@ def e3_task_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("env", "bench_task", "reserve_task", *(F.round(c, 9).alias(c) for c in ("instruction", "records", "calls")), "same_sequence", "same_database", "flagged")
 
 
+@query(f"WITH {_TASKS} SELECT env, bench_task, reserve_task, round(most, 9) AS most FROM ok WHERE most >= 0.5")
+def e3_overlap_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tasks(spark, sf_dir)
+    x = overlap.overlap_at(t.where("task % 2 = 0"), t.where("task % 2 = 1"), 0.5)
+    return x.select("env", "bench_task", "reserve_task", F.round(F.greatest("instruction", "records", "calls"), 9).alias("most"))
+
+
 @query(f"""WITH {_TASKS}, r AS (SELECT *, row_number() OVER (PARTITION BY bench_task ORDER BY most DESC, same_sequence DESC, reserve_task) AS r FROM ok),
  g AS (SELECT bench_task, max(instruction) AS i, max(records) AS rec, max(calls) AS c, bool_or(flagged) AS f, string_agg(CAST(reserve_task AS VARCHAR), ',' ORDER BY r) FILTER (r <= 3) AS closest FROM r GROUP BY ALL)
  SELECT env, task AS bench_task, round(coalesce(i, 0), 9) AS max_instruction, round(coalesce(rec, 0), 9) AS max_records, round(coalesce(c, 0), 9) AS max_calls, coalesce(f, false) AS flagged, closest FROM ta LEFT JOIN g ON g.bench_task = task WHERE task % 2 = 0""")
 def e3_task_overlap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tasks(spark, sf_dir)
     bench = t.where("task % 2 = 0")
-    x = overlap.task_overlap_summary(overlap.task_overlap(bench, t.where("task % 2 = 1")), bench)
+    x = overlap.task_overlap_summary(bench, t.where("task % 2 = 1"))
     return x.select("env", "bench_task", *(F.round(f"max_{c}", 9).alias(f"max_{c}") for c in ("instruction", "records", "calls")), "flagged", F.array_join("closest", ",").alias("closest"))
 
 
