@@ -41,3 +41,20 @@ def test_tasks(spark):
             assert [x.max_instruction, x.max_records, x.max_calls] == best
             assert x.same_database == any(m[4] for m in mine.values()) and x.same_sequence == any(m[3] for m in mine.values()) and x.flagged == (max(best) >= 0.6 or x.same_database)
             assert (x.closest or []) == [t for t, _ in sorted(mine.items(), key=lambda kv: (-max(kv[1][:3]), not kv[1][3], kv[0]))[:3]]
+
+
+def test_screens(spark):
+    """Random sets with items that most of them hold, and equal sets: all pairs, of one table and of two."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        base = [f"c{j}" for j in range(rng.randrange(1, 12))] if rng.random() < 0.6 else [f"u{i}-{j}" for j in range(rng.randrange(4))]
+        rows.append((i, rng.choice("xy"), rng.randrange(3), rng.choice([None, "s1", f"t{i % 20}"]), ["hot", *base, *rng.sample([f"o{j}" for j in range(9)], rng.randrange(3))] if rng.random() < 0.9 else []))
+    df = spark.createDataFrame(rows, "id int, app string, fold int, state string, items array<string>").repartition(4)
+    same = lambda a, b, least: (a[3] is not None and a[3] == b[3]) or (a[1] == b[1] and a[4] and b[4] and len(set(a[4]) & set(b[4])) >= least * len(set(a[4]) | set(b[4])))
+    for least in (0.5, 0.8, 1.0):
+        want = sorted((a[0], b[0]) for a in rows for b in rows if same(a, b, least))
+        assert sorted(map(tuple, overlap.same_screen(df, df, least).collect())) == want
+        assert sorted(map(tuple, overlap.same_screen(df, df.where("true"), least).collect())) == want
+    got = {r.row_id: (r.app_covered, r.screen_covered) for r in overlap.row_strata(df.withColumnRenamed("id", "row_id"), df).collect()}
+    assert got == {a[0]: (any(b[1] == a[1] and b[2] != a[2] for b in rows), any(b[2] != a[2] and same(a, b, 0.8) for b in rows)) for a in rows}

@@ -58,20 +58,29 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def set_jaccard_pairs(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
-    """left and right (id, key, items): pairs of one key with Jaccard >= least by an inverted join with prefix
-    filtering: items are ordered by frequency, and only the (1 - least) * n + 1 rarest of each set are joined."""
-    items = left.select(key, F.explode("items").alias("item")).unionByName(right.select(key, F.explode("items").alias("item")))
-    df = items.groupBy(key, "item").agg(F.count("*").alias("df"))
-
-    def prefix(side: DataFrame, name: str) -> DataFrame:
-        each = side.select(F.col("id").alias(name), key, F.size("items").alias("n"), F.explode("items").alias("item")).join(df, [key, "item"])
-        w = Window.partitionBy(name, key).orderBy("df", "item")
-        return each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(name, key, "item")
-
-    pairs = prefix(left, "left_id").join(prefix(right, "right_id"), [key, "item"]).select(key, "left_id", "right_id").distinct()
-    a = left.select(F.col("id").alias("left_id"), key, F.col("items").alias("a"))
-    b = right.select(F.col("id").alias("right_id"), key, F.col("items").alias("b"))
-    return pairs.join(a, ["left_id", key]).join(b, ["right_id", key]).withColumn("jaccard", jaccard(F.col("a"), F.col("b"))).where(F.col("jaccard") >= least).select(key, "left_id", "right_id", "jaccard")
+    """left and right (id, key, items): pairs of one key with Jaccard >= least (> 0). Items are read from rare to frequent,
+    by hash; two sets that reach it share one of the first (1 - least) n + 1 items of each. A pair is made only if the
+    sizes, and what is left behind the shared item, allow it, and confirmed on the items themselves. The same DataFrame
+    on both sides is ordered once."""
+    def hashed(df: DataFrame) -> DataFrame:
+        x = df.select("id", key, F.array_distinct(F.transform("items", lambda i: F.xxhash64(i))).alias("h"))
+        return x.select("id", key, F.size("h").alias("n"), F.explode("h").alias("item"))
+
+    alone = left is right
+    both = settled(hashed(left).withColumn("side", F.lit(0)) if alone else hashed(left).withColumn("side", F.lit(0)).unionByName(hashed(right).withColumn("side", F.lit(1))))
+    df = both.groupBy(key, "item").agg(F.count("*").alias("df"))
+    # an item that only one set has can't be shared: it takes its place in the order, but never goes into a join
+    w = Window.partitionBy("side", "id", key).orderBy("df", "item")
+    first = both.join(df, [key, "item"]).withColumn("r", F.row_number().over(w)).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1) & (F.col("df") > 1))
+    first = settled(first.select("side", "id", key, "item", "n", "r"))
+    a = first.where("side = 0").select(key, "item", F.col("id").alias("left_id"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    b = first.where(F.col("side") == (0 if alone else 1)).select(key, "item", F.col("id").alias("right_id"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    possible = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    pairs = a.join(b, [key, "item"]).where(possible >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select(key, "left_id", "right_id")
+    pairs = pairs.unionByName(left.select(key, F.col("id").alias("left_id"), F.col("id").alias("right_id"))).distinct() if alone else pairs.distinct()
+    sets = lambda side, name, c: side.select(F.col("id").alias(name), key, F.col("items").alias(c))
+    found = pairs.join(sets(left, "left_id", "a"), ["left_id", key]).join(sets(right, "right_id", "b"), ["right_id", key])
+    return found.withColumn("jaccard", jaccard(F.col("a"), F.col("b"))).where(F.col("jaccard") >= least).select(key, "left_id", "right_id", "jaccard")
 
 
 OVERLAP_MEASURES = ("instruction", "records", "calls")
@@ -203,20 +212,25 @@ def app_coverage(rows: DataFrame) -> DataFrame:
 
 def row_strata(rows: DataFrame, screens: DataFrame, least: float = 0.8) -> DataFrame:
     """rows (row_id, app, fold, state, items) and screens (id, app, fold, state, items): app_coverage of each row, and
-    screen_covered: does its screen match one of another fold (same_screen)?"""
-    a = rows.select(F.col("row_id").alias("id"), "state", "app", "items")
-    hit = same_screen(a, screens.select("id", "state", "app", "items"), least)
+    screen_covered: does its screen match one of another fold (as in same_screen)? Equal states are counted by fold, not
+    paired."""
+    folds = lambda by: screens.where("state IS NOT NULL").groupBy(*by).agg(F.count("*").alias("n_" + by[-1]))
+    by_state = rows.where("state IS NOT NULL").join(folds(["state"]), "state").join(folds(["state", "fold"]), ["state", "fold"], "left").where(F.col("n_state") > F.coalesce("n_fold", F.lit(0))).select("row_id")
+    a = rows.where(F.size("items") > 0).select(F.col("row_id").alias("id"), "app", "items")
+    hit = set_jaccard_pairs(a, screens.where(F.size("items") > 0).select("id", "app", "items"), "app", least)
     fold = lambda df, key, name: df.select(F.col(key).alias(name), F.col("fold").alias(f"{name}_fold"))
-    other = hit.join(fold(rows, "row_id", "left_id"), "left_id").join(fold(screens, "id", "right_id"), "right_id").where("left_id_fold <> right_id_fold")
-    covered = other.select(F.col("left_id").alias("row_id")).distinct().withColumn("_c", F.lit(True))
+    by_items = hit.join(fold(rows, "row_id", "left_id"), "left_id").join(fold(screens, "id", "right_id"), "right_id").where("left_id_fold <> right_id_fold").select(F.col("left_id").alias("row_id"))
+    covered = by_state.unionByName(by_items).distinct().withColumn("_c", F.lit(True))
     return app_coverage(rows).join(covered, "row_id", "left").select("row_id", "app", "fold", "app_covered", F.coalesce("_c", F.lit(False)).alias("screen_covered"))
 
 
 def same_screen(a: DataFrame, b: DataFrame, least: float = 0.8) -> DataFrame:
-    """a, b (id, state, app, items): pairs with an equal state id, or of one app with Jaccard >= least."""
-    left, right = (x.select(F.col("id"), F.col("app"), F.col("items"), "state") for x in (a, b))
-    by_state = left.where("state IS NOT NULL").select(F.col("id").alias("left_id"), "state").join(right.where("state IS NOT NULL").select(F.col("id").alias("right_id"), "state"), "state").select("left_id", "right_id")
-    by_items = set_jaccard_pairs(left.where(F.size("items") > 0), right.where(F.size("items") > 0), "app", least).select("left_id", "right_id")
+    """a, b (id, state, app, items): pairs with an equal state id, or of one app with Jaccard >= least. As many rows as
+    there are such pairs; row_strata needs fewer."""
+    by_state = a.where("state IS NOT NULL").select(F.col("id").alias("left_id"), "state").join(b.where("state IS NOT NULL").select(F.col("id").alias("right_id"), "state"), "state").select("left_id", "right_id")
+    some = lambda x: x.where(F.size("items") > 0).select("id", "app", "items")
+    left = some(a)
+    by_items = set_jaccard_pairs(left, left if a is b else some(b), "app", least).select("left_id", "right_id")
     return by_state.unionByName(by_items).distinct()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lineage import settled
 from ..operators import identity, overlap
 from .base import CONVERSATIONS, TOKENS, TURNS, conversation_events, query, table, turns
 
@@ -168,13 +169,16 @@ def e5_app_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("row_id", "app", (F.col("row_id") % 3).alias("fold"), "app_covered")
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id AS id, lang AS app, list_sort(list_distinct(regexp_extract_all(text, '{TOKENS}'))) AS items FROM documents), c AS (SELECT app, items, min(id) AS id, count(*) AS n FROM d WHERE len(items) > 0 GROUP BY ALL)
+ SELECT a.id AS left_id, b.id AS right_id, a.n AS n_left, b.n AS n_right FROM c a JOIN c b ON a.app = b.app AND a.id < b.id AND len(a.items) >= 0.8 * len(b.items) AND len(b.items) >= 0.8 * len(a.items)
+ WHERE len(list_intersect(a.items, b.items)) >= 0.8 * (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items)))""")
 def e6_same_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one language whose whole texts have nearly the same words: pairs of classes of equal word sets, each
     named by its smallest id, and how many documents either class has."""
     items = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKENS), F.lit(0))))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("app"), items.alias("items"))
-    classes = d.where(F.size("items") > 0).groupBy("app", "items").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("state", F.lit(None).cast("string"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("app"), items.alias("items")).where(F.size("items") > 0)
+    named = d.withColumn("print", F.sha2(F.array_join("items", "\n"), 256))
+    classes = settled(named.groupBy("app", "print").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("items").alias("items")).drop("print").withColumn("state", F.lit(None).cast("string")))
     found = overlap.same_screen(classes, classes).where("left_id < right_id")
     size = lambda name, n: classes.select(F.col("id").alias(name), F.col("n").alias(n))
     return found.join(size("left_id", "n_left"), "left_id").join(size("right_id", "n_right"), "right_id").select("left_id", "right_id", "n_left", "n_right")
