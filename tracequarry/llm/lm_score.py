@@ -12,8 +12,9 @@ P(class | history) * P(member | class, history) * P(word | class, member):
   are new to the class. Only this factor doesn't see the history.
 
 Counts and weights come from all training rows. Every partition trains the common weights on all its texts, holding
-about `fit_tokens` tokens at a time, and returns weights of fixed size; the driver averages these by tokens. So the
-weights depend on how rows lie in partitions, as any stochastic training does on their order. Counts of the most
+about `fit_tokens` tokens at a time, and returns weights of fixed size; tasks add these up, weighted by tokens, and the
+average is what the next pass begins with. So the weights depend on how rows lie in partitions, as any stochastic
+training does on their order. Counts of the most
 frequent words (`head_words` at most: all that occur as often as a threshold, found from a histogram of counts) are
 broadcast; all other words meet their counts in a shuffled join.
 
@@ -25,6 +26,7 @@ table; other columns take no part.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,8 +40,9 @@ from .wordhash import Words, slices, text_buffers
 
 HEAD_WORDS = 200_000
 FIT_TOKENS = 1_500_000
-OWN_CLASSES, END_CLASSES = 8, 18  # frequent words, frequent endings; then the remainder and the end mark
-MEMBERS = 16  # words of a class that the softmax tells apart
+OWN_CLASSES, END_CLASSES = 31, 31  # frequent words, frequent endings; then the remainder and the end mark
+MEMBERS = 24  # words of a class that the softmax tells apart
+RATES = (0.04, 0.02)  # of the passes over all training rows; weights are averaged after each
 STATE = 16
 WINDOW = 32
 STREAMS = 384
@@ -338,14 +341,25 @@ def _pass(texts_: DataFrame, classes: ClassMap, weights: dict[str, np.ndarray],
             flat = np.concatenate([gru.p[k].ravel() for k in sorted(gru.p)]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([done + size], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["tokens", "weights"])
 
-    total, tokens = np.zeros(sum(w.size for w in weights.values())), 0
-    for r in settle(texts_.mapInArrow(train, "tokens long, weights binary")).toLocalIterator():  # one row a partition, read file by file
-        total += r["tokens"] * np.frombuffer(r["weights"], np.float32).astype(float)
-        tokens += r["tokens"]
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, tokens = np.zeros(sum(w.size for w in weights.values())), 0
+        for batch in batches:
+            for n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total += n * np.frombuffer(w, np.float32).astype(float)
+                tokens += n
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], ["tokens", "weights"])
+
+    # One row a partition, added in as many tasks as the root of their number, and then in one.
+    schema = "tokens long, weights binary"
+    each = settle(texts_.mapInArrow(train, schema))
+    some = each.repartition(max(1, math.isqrt(each.count()))).mapInArrow(added, schema)
+    mean = some.coalesce(1).mapInArrow(added, schema).head()
     out, at = {}, 0
+    flat = np.frombuffer(mean["weights"], np.float32) if mean else np.concatenate([weights[k].ravel() for k in sorted(weights)])
     for k in sorted(weights):
         w = weights[k]
-        out[k] = (total[at : at + w.size] / max(1, tokens)).astype(np.float32).reshape(w.shape)
+        out[k] = flat[at : at + w.size].reshape(w.shape).copy()
         at += w.size
     return out
 
@@ -423,8 +437,8 @@ def scored(docs: DataFrame, train: F.Column | None = None, id_col: str = "doc_id
     gru.p["d"][gru.first[:-1]] = np.log(others)
     lone = np.r_[np.arange(len(classes.own)), classes.end]
     others[lone] = 1  # a class of one word holds no others
-    if n_all:
-        gru.p = _pass(rows.where(~F.col("held_out")).select("text"), classes, gru.p, 0.01, fit_tokens)
+    for rate in RATES if n_all else ():
+        gru.p = _pass(rows.where(~F.col("held_out")).select("text"), classes, gru.p, rate, fit_tokens)
     # Logarithm of the count that a member or a lone word has in `sums`, by class and place; others' by class alone.
     told = np.zeros((classes.size, max(classes.sizes)))
     for w, (c, k) in classes.members.items():
