@@ -102,3 +102,16 @@ def test_all_open(spark):
                               F.concat(F.lit("c"), "id").alias("call_id"), F.lit(None).cast("string").alias("tool_call_id"), F.lit("m").alias("parent_event_id"), F.lit(1).alias("batch_size"))
     x = segment.concurrency_counts(e)
     assert x.agg(F.count("*"), F.sum("n_open"), F.sum("n_siblings"), F.min("n_concurrent")).first()[:] == (n, n * (n - 1) // 2, n * (n - 1) // 2, n - 1)
+
+
+def test_transitions_with_ids_and_counts(spark):
+    """Both forms agree, and an id that thousands of calls and replies share is no product."""
+    rng = random.Random(11)
+    rows = [r for e in range(4) for r in events_of(rng, 50, f"e{e}")]
+    rows += [("hot", f"h{i}", i, "agent" if i % 2 else "tool", "action" if i % 2 else "observation", "x", "same" if i % 2 else None, None if i % 2 else "same", None, 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, EVENT).repartition(3)
+    assert segment.call_replies(df).where("episode_id = 'hot'").agg(F.sum(F.size("replies")), F.count("last_reply")).first()[:] == (0, 1999)
+    few = df.where("episode_id <> 'hot'")
+    cols = ["transition_id", "episode_id", "pos", "n_concurrent", "ambiguities", "alignment"]
+    a, b = (sorted(map(str, segment.segment_transitions(few, ids=ids).select(*cols).collect())) for ids in (True, False))
+    assert a == b

@@ -243,8 +243,10 @@ def strata_join(rows: DataFrame, links: DataFrame, key: str = "task") -> DataFra
 
 def leave_out_contaminated(rows: DataFrame, package_tasks: DataFrame, key: str = "task") -> tuple[DataFrame, DataFrame]:
     """(package, rows clean for that package) and rows clean for all packages."""
-    packages = package_tasks.select("package").distinct()
-    own = rows.join(F.broadcast(packages)).join(package_tasks, ["package", key], "left_anti")  # a handful of packages
+    packages = package_tasks.agg(F.collect_set("package").alias("_all"))  # one row, as long as a row's own result may be
+    barred = package_tasks.groupBy(key).agg(F.collect_set("package").alias("_barred"))
+    free = F.array_except("_all", F.coalesce("_barred", F.array().cast(barred.schema["_barred"].dataType)))
+    own = rows.join(barred, key, "left").join(F.broadcast(packages)).select(*rows.columns, F.explode(free).alias("package"))
     return own, rows.join(package_tasks.select(key).distinct(), key, "left_anti")
 
 

@@ -48,14 +48,19 @@ def segment_sequential(events: DataFrame) -> DataFrame:
 
 
 def call_replies(events: DataFrame) -> DataFrame:
-    """Actions with a call id and their later replies: one row per action, replies as (pos, id) in order; `repeated`
-    marks call ids that several actions of the episode have."""
+    """Actions with a call id, one row each: `repeated` marks call ids that several actions of the episode have; replies,
+    its later replies as (pos, id) in order (none for a repeated id, whose replies belong to no single action);
+    last_reply, the position of the last later reply either way. Replies are gathered once an id, so an id with many
+    actions and many replies is no product of both."""
     calls = events.where(is_action() & F.nullif("call_id", F.lit("")).isNotNull()).select("episode_id", "call_id", "event_id", "pos", "parent_event_id")
     calls = calls.withColumn("repeated", F.count("*").over(Window.partitionBy("episode_id", "call_id")) > 1)
     replies = events.where(is_observation()).select("episode_id", reply_id().alias("call_id"), F.col("pos").alias("rpos"), F.col("event_id").alias("rid")).where("call_id IS NOT NULL")
-    joined = calls.join(replies, ["episode_id", "call_id"], "left")
-    later = F.when(F.col("rpos") > F.col("pos"), F.struct("rpos", "rid"))
-    return joined.groupBy("episode_id", "call_id", "event_id", "pos", "parent_event_id", "repeated").agg(F.sort_array(F.collect_list(later)).alias("replies"))
+    last = replies.groupBy("episode_id", "call_id").agg(F.max("rpos").alias("last"))
+    single = calls.where("NOT repeated").select("episode_id", "call_id", "pos")
+    own = replies.join(single, ["episode_id", "call_id"]).where(F.col("rpos") > F.col("pos")).groupBy("episode_id", "call_id").agg(F.sort_array(F.collect_list(F.struct("rpos", "rid"))).alias("replies"))
+    x = calls.join(last, ["episode_id", "call_id"], "left").join(own, ["episode_id", "call_id"], "left")
+    none = F.array().cast(own.schema["replies"].dataType.simpleString())
+    return x.select("episode_id", "call_id", "event_id", "pos", "parent_event_id", "repeated", F.coalesce(F.when(~F.col("repeated"), F.col("replies")), none).alias("replies"), F.when(F.col("last") > F.col("pos"), F.col("last")).alias("last_reply"))
 
 
 def segment_correlated(events: DataFrame) -> DataFrame:
@@ -70,8 +75,8 @@ def concurrent_actions(events: DataFrame) -> DataFrame:
     still unanswered when it begins, and calls of the same message. Calls of an episode meet on the episode and on
     blocks of positions, so a long episode is not one product."""
     calls = call_replies(events)
-    last = F.when(F.col("repeated") | (F.size("replies") == 0), F.col("pos")).otherwise(F.element_at("replies", -1)["rpos"])
-    open_until = F.when(F.size("replies") == 0, F.lit(2**31 - 1)).otherwise(F.element_at("replies", -1)["rpos"])
+    last = F.when(F.col("repeated") | F.col("last_reply").isNull(), F.col("pos")).otherwise(F.col("last_reply"))
+    open_until = F.coalesce("last_reply", F.lit(2**31 - 1))
     block = 256
     spans = calls.select("episode_id", F.col("event_id").alias("action_id"), "pos", last.alias("last"), open_until.alias("until"), "parent_event_id")
     actions = events.where(is_action()).select("episode_id", F.col("event_id").alias("other"), F.col("pos").alias("opos"))
@@ -129,13 +134,18 @@ def history_window(events: DataFrame, n: int = 20) -> DataFrame:
     return events.withColumn("history_ids", F.collect_list("event_id").over(_ordered().rowsBetween(-n, -1)))
 
 
-def segment_transitions(events: DataFrame, max_history_events: int = 20) -> DataFrame:
-    """One row per action: history, observations, delayed and concurrent ids, alignment, ambiguities, stable id."""
+def segment_transitions(events: DataFrame, max_history_events: int = 20, ids: bool = True) -> DataFrame:
+    """One row per action: history, observations, delayed and concurrent ids with their number, alignment, ambiguities,
+    stable id. Calls of one episode that are all open at once have as many concurrent ids as there are pairs of them;
+    without ids, only their number is given (concurrency_counts)."""
     rows = history_window(events, max_history_events).where(is_action())
     rows = rows.withColumn("next_action", F.lead("pos").over(_ordered()))
     replies = call_replies(events).select("episode_id", F.col("event_id").alias("rid_"), "repeated", "replies")
     seq = segment_sequential(events).select("episode_id", F.col("action_id").alias("sid_"), F.col("observation_ids").alias("seq_ids"))
-    con = concurrent_actions(events).select("episode_id", F.col("action_id").alias("cid_"), "concurrent_ids")
+    if ids:
+        con = concurrent_actions(events).select("episode_id", F.col("action_id").alias("cid_"), "concurrent_ids", F.size("concurrent_ids").cast("long").alias("n_concurrent"))
+    else:
+        con = concurrency_counts(events).select("episode_id", F.col("action_id").alias("cid_"), F.lit(None).cast("array<string>").alias("concurrent_ids"), "n_concurrent")
     e = "episode_id"
     joined = (
         rows.join(replies.withColumnRenamed(e, "e1"), (F.col(e) == F.col("e1")) & (F.col("event_id") == F.col("rid_")), "left")
@@ -147,15 +157,16 @@ def segment_transitions(events: DataFrame, max_history_events: int = 20) -> Data
     good = F.when(~F.col("repeated"), F.col("replies"))
     found = F.coalesce(F.when(called, F.transform(good, lambda x: x["rid"])).otherwise(F.col("seq_ids")), none)
     late = F.coalesce(F.transform(F.filter(good, lambda x: x["rpos"] >= F.col("next_action")), lambda x: x["rid"]), none)
-    concurrent = F.coalesce("concurrent_ids", none)
+    concurrent = F.coalesce("concurrent_ids", none) if ids else F.col("concurrent_ids")
+    n = F.when(called, F.coalesce("n_concurrent", F.lit(0).cast("long"))).otherwise(0)
     batch = ~called & (F.coalesce("batch_size", F.lit(1)) > 1)
     notes = F.array_compact(F.array(
-        F.when(called & F.col("repeated"), F.lit(DUPLICATE)), F.when(called & (F.size(concurrent) > 0), F.lit(OVERLAP)),
+        F.when(called & F.col("repeated"), F.lit(DUPLICATE)), F.when(n > 0, F.lit(OVERLAP)),
         F.when(batch, F.lit(UNASSIGNED)), F.when(F.size(found) == 0, F.lit(MISSING)),
     ))
     return joined.select(
         stable_id("tr", F.col(e), F.col("event_id"), found).alias("transition_id"), e, "pos", "history_ids", F.array("event_id").alias("action_ids"),
-        found.alias("observation_ids"), F.when(called, late).otherwise(none).alias("delayed_ids"), F.when(called, concurrent).otherwise(none).alias("concurrent_ids"),
+        found.alias("observation_ids"), F.when(called, late).otherwise(none).alias("delayed_ids"), F.when(called, concurrent).otherwise(none).alias("concurrent_ids"), n.alias("n_concurrent"),
         F.when(F.size(found) == 0, "ambiguous").when(called, "correlated").otherwise("sequential").alias("alignment"), notes.alias("ambiguities"),
     )
 

@@ -62,8 +62,8 @@ def c4_history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
  CAST(coalesce(CASE WHEN call_id IS NULL THEN free.n ELSE ans.n END, 0) AS INTEGER) AS n_observations, CAST(coalesce(ans.late, 0) AS INTEGER) AS n_delayed, CAST(coalesce(cc.n, 0) AS INTEGER) AS n_concurrent
  FROM nx JOIN act ON act.event_id = nx.event_id LEFT JOIN free ON free.episode_id = act.episode_id AND free.island = act.island LEFT JOIN ans ON ans.action_id = nx.event_id LEFT JOIN cc ON cc.action_id = nx.event_id""")
 def c6_segment_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = segment.segment_transitions(call_events(spark, sf_dir))
-    return t.select("episode_id", "pos", "alignment", F.size("observation_ids").alias("n_observations"), F.size("delayed_ids").alias("n_delayed"), F.size("concurrent_ids").alias("n_concurrent"))
+    t = segment.segment_transitions(call_events(spark, sf_dir), ids=False)
+    return t.select("episode_id", "pos", "alignment", F.size("observation_ids").alias("n_observations"), F.size("delayed_ids").alias("n_delayed"), F.col("n_concurrent").cast("int").alias("n_concurrent"))
 
 
 @query(f"""WITH {_SEQ} SELECT seq.episode_id, seq.pos, length(a.content) AS action_chars, coalesce((SELECT sum(length(o.content) + 1) - 1 FROM isl o JOIN isl m ON m.event_id = seq.action_id
