@@ -220,9 +220,10 @@ def i7_note_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applicability.note_check(notes, t.select(F.col("event_id").alias("episode"), shows.alias("text"), tested.alias("tested")))
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AS documented FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '(?i)observation|output|returns|tool_x')")
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN 'tool_x() gives Output: y' WHEN 1 THEN 'tool_x() gives nothing' ELSE 'Output: y' END AS t FROM documents)
+ SELECT doc_id, instr(t, 'tool_x') > 0 AND regexp_matches(substr(t, greatest(1, instr(t, 'tool_x')), 4006), '(?i)observation|output|returns') AS documented FROM d""")
 def i9_documented_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).where("length(text) > 0 AND NOT text RLIKE '(?i)observation|output|returns|tool_x'")
+    d = _docs(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
     tail = F.when(F.col("doc_id") % 3 == 0, "tool_x() gives Output: y").when(F.col("doc_id") % 3 == 1, "tool_x() gives nothing").otherwise("Output: y")
     return d.select("doc_id", applicability.documented_format(F.concat("text", tail), F.lit("tool_x")).alias("documented"))
 

@@ -118,9 +118,10 @@ def a14_tool_definition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectories.tool_definition_table(logs).select("task", "tool")
 
 
-@query("""SELECT page_id AS task, concat('http://shop/', page_id, ' ', url) AS urls FROM pages WHERE NOT regexp_matches(url, '\\|(AND|OR)\\|') AND NOT contains(url, '__SHOP__')""")
+@query(r"""WITH t AS (SELECT page_id, '__SHOP__/' || page_id || CASE WHEN page_id % 2 = 0 THEN ' |AND| ' ELSE ' |OR| ' END || url AS u FROM pages)
+ SELECT page_id AS task, array_to_string(list_transform(string_split_regex(u, '\s*\|(?:AND|OR)\|\s*'), lambda x: replace(x, '__SHOP__', 'http://shop')), ' ') AS urls FROM t""")
 def a16_resolve_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = table(spark, sf_dir, "pages").where("NOT url RLIKE '\\\\|(AND|OR)\\\\|' AND NOT contains(url, '__SHOP__')").select(F.col("page_id").alias("task"), F.concat(F.lit("__SHOP__/"), "page_id", F.when(F.col("page_id") % 2 == 0, " |AND| ").otherwise(" |OR| "), "url").alias("start_url"))
+    tasks = table(spark, sf_dir, "pages").select(F.col("page_id").alias("task"), F.concat(F.lit("__SHOP__/"), "page_id", F.when(F.col("page_id") % 2 == 0, " |AND| ").otherwise(" |OR| "), "url").alias("start_url"))
     return trajectories.resolve_urls(tasks, {"__SHOP__": "http://shop"}).select("task", F.array_join("urls", " ").alias("urls"))
 
 

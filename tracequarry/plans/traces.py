@@ -175,7 +175,7 @@ def b28_query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.query_tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query()
+@query("SELECT event_type AS type, CAST(len(json_keys(props)) AS INTEGER) AS n_arguments, count(*) AS n FROM events GROUP BY ALL")
 def b4_normalize_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a JSON call, normalised: events by type and number of arguments."""
     e = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments"))).alias("body"))
