@@ -58,8 +58,8 @@ def index_corpus(corpus: DataFrame, id_col: str = "id", text: Column | None = No
     null and empty texts have no terms but count as documents where they are empty."""
     same = same or []
     body = F.col("text") if text is None else text
+    stats = corpus.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(body), F.lit(TERM))).alias("mean")).first()
     words = corpus.select(F.col(id_col).alias("id"), _scope(same).alias("scope"), terms(body).alias("w")).withColumn("length", F.size("w"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     n, mean = stats["n"], stats["mean"] or 1.0
     each = words.where("scope IS NOT NULL").select("id", "scope", "length", F.explode("w").alias("term"))
     if wanted is not None:

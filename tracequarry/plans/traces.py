@@ -190,6 +190,17 @@ def b6_command_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.size("programs").alias("n_programs"), F.size(F.array_distinct("programs")).alias("n_distinct"))
 
 
+@query(f"""WITH {TURNS} SELECT event_id, CASE tool WHEN 'click' THEN concat('grep', k, ',ls') WHEN 'view' THEN concat('cat,python', k) WHEN 'purchase' THEN '' WHEN 'error' THEN 'echo' ELSE concat('X=', k) END AS programs FROM tu""")
+def b6_programs_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event's command lines: with assignments, folders, comments, keys, a here-document and open quotes."""
+    tool, k = F.col("tool"), F.col("k").cast("string")
+    said = (
+        F.when(tool == "click", F.concat(F.lit("A=1 /usr/bin/grep"), k, F.lit(" 'x y' f\n# note\n\nTab\nls -l"))).when(tool == "view", F.concat(F.lit("cat > f <<'EOF'\nrm -rf x\nEOF\npython"), k, F.lit(" f")))
+        .when(tool == "purchase", F.lit("C-c")).when(tool == "error", F.lit("echo 'open")).otherwise(F.concat(F.lit("X="), k))
+    )
+    return turns(spark, sf_dir).select("event_id", F.array_join(actions.command_programs(said), ",").alias("programs"))
+
+
 @query("""SELECT doc_id, replace(text, chr(10), ' ') AS value FROM documents""")
 def b10_model_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents inside a generation with thinking and two tagged blocks, read back."""
