@@ -11,9 +11,9 @@ P(class | history) * P(member | class, history) * P(word | class, member):
 * a word in the slot for others has its share of their corpus counts plus `smooth`, with one share for all words that
   are new to the class. Only this factor doesn't see the history.
 
-Counts and weights come from all training rows. Every partition trains the common weights on all its texts, holding
-about `fit_tokens` tokens at a time, and returns weights of fixed size; tasks add these up, weighted by tokens, and the
-average is what the next pass begins with. So the weights depend on how rows lie in partitions, as any stochastic
+Counts and weights come from all training rows. These are dealt over rounds by a hash of their text; in a round every
+partition trains the common weights on all its texts of that round, holding about `fit_tokens` tokens at a time, and
+returns weights of fixed size; tasks add these up, weighted by tokens, and the average is what the next round begins with. So the weights depend on how rows lie in partitions, as any stochastic
 training does on their order. Counts of the most
 frequent words (`head_words` at most: all that occur as often as a threshold, found from a histogram of counts) are
 broadcast; all other words meet their counts in a shuffled join.
@@ -42,7 +42,7 @@ HEAD_WORDS = 200_000
 FIT_TOKENS = 1_500_000
 OWN_CLASSES, END_CLASSES = 31, 31  # frequent words, frequent endings; then the remainder and the end mark
 MEMBERS = 24  # words of a class that the softmax tells apart
-RATES = (0.04, 0.02)  # of the passes over all training rows; weights are averaged after each
+RATES = (0.04, 0.02)  # of the rounds over which training rows are dealt; weights are averaged after each
 STATE = 16
 WINDOW = 32
 STREAMS = 384
@@ -311,8 +311,8 @@ def _class_texts(words: Words, classes: ClassMap) -> list[np.ndarray]:
     return [np.concatenate([x, end], 1) for x in np.split(classes.of_words(words), words.first[1:-1], 1)]
 
 
-def _pass(texts_: DataFrame, classes: ClassMap, weights: dict[str, np.ndarray], rate: float, held: int) -> dict[str, np.ndarray]:
-    """Weights after one pass over all texts: trained in each partition, averaged by tokens."""
+def _round(texts_: DataFrame, classes: ClassMap, weights: dict[str, np.ndarray], rate: float, held: int) -> dict[str, np.ndarray]:
+    """Weights after one round over some texts: trained in each partition, averaged by tokens. Without texts, as they were."""
     shared = texts_.sparkSession.sparkContext.broadcast((classes, weights))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,8 +437,10 @@ def scored(docs: DataFrame, train: F.Column | None = None, id_col: str = "doc_id
     gru.p["d"][gru.first[:-1]] = np.log(others)
     lone = np.r_[np.arange(len(classes.own)), classes.end]
     others[lone] = 1  # a class of one word holds no others
-    for rate in RATES if n_all else ():
-        gru.p = _pass(rows.where(~F.col("held_out")).select("text"), classes, gru.p, rate, fit_tokens)
+    texts_ = rows.where(~F.col("held_out")).select("text")
+    dealt = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(len(RATES)))
+    for i, rate in enumerate(RATES) if n_all else ():
+        gru.p = _round(texts_.where(dealt == i), classes, gru.p, rate, fit_tokens)
     # Logarithm of the count that a member or a lone word has in `sums`, by class and place; others' by class alone.
     told = np.zeros((classes.size, max(classes.sizes)))
     for w, (c, k) in classes.members.items():
