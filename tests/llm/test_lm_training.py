@@ -159,3 +159,21 @@ def test_no_rows_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     out = {r.doc_id: r for r in lm_score.scored(df, train=F.lit(False)).collect()}
     assert out[1].n_known == 0 and out[1].train_tokens == 0 and out[2].n_tokens == 1 and all(math.isfinite(r.score) for r in out.values())
+
+
+def test_one_long_text_makes_no_padding():
+    """Windows hold the streams that go on: what is computed grows with tokens, not with streams times the longest text."""
+    gru, seen = lm_score.Gru([1, 3], 4), []
+    plain = gru.gradients
+
+    def watched(x, y, k, valid, h):
+        seen.append((x.size, int(valid.sum())))
+        return plain(x, y, k, valid, h)
+
+    gru.gradients = watched
+    r = np.random.default_rng(5)
+    texts = [np.stack([c := r.integers(0, 2, n), c * r.integers(0, 3, n)]) for n in [5000] + [20] * 50]
+    gru.fit(texts, batch=32, window=16)
+    tokens = sum(t.shape[1] for t in texts)
+    assert sum(v for _, v in seen) == tokens
+    assert sum(n for n, _ in seen) <= tokens + 32 * 16

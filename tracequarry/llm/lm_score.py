@@ -254,27 +254,28 @@ class Gru:
             size[i] += t.shape[1]
         if not size.max():
             return
-        total = int(size.max())
-        y, k = np.zeros((total, batch), np.int16), np.zeros((total, batch), np.int16)
-        x = np.full((total, batch), self.start, np.int16)
-        valid = np.zeros((total, batch), np.float32)
-        for i, s in enumerate(streams):
-            at = 0
-            for t in s:
-                n = t.shape[1]
-                y[at : at + n, i], k[at : at + n, i] = t
-                x[at + 1 : at + n, i] = t[0, :-1]
-                at += n
-            valid[:at, i] = 1
+        # Streams by falling length, side by side: in each window only those that go on are computed and held.
+        order = np.argsort(-size, kind="stable")
+        length, total = size[order], int(size.max())
+        laid = [t for i in order for t in streams[i]]
+        end = np.cumsum(length)
+        begin = end - length
+        y, k = np.concatenate(laid, 1).astype(np.int16)
+        x = np.r_[np.int16(self.start), y[:-1]]
+        heads = np.cumsum([0, *(t.shape[1] for t in laid)])[:-1]
+        x[heads[heads < len(x)]] = self.start
         for epoch in range(epochs):
             h = np.zeros((self.state, batch), np.float32)
             for at in range(0, total, window):
-                cut = slice(at, at + window)
-                g, h = self.gradients(x[cut], y[cut], k[cut], valid[cut], h)
+                live, steps = int((length > at).sum()), min(window, total - at)
+                place = begin[:live] + at + np.arange(steps)[:, None]
+                valid = place < end[:live]
+                place = np.where(valid, place, 0)
+                g, h = self.gradients(x[place], y[place], k[place], valid, np.ascontiguousarray(h[:, :live]))
                 self.step += 1
                 step = self.step
                 norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-                lr = rate * min(1, step / 20) * (0.4**epoch) * float(valid[cut].mean())  # few streams that go on alone move little
+                lr = rate * min(1, step / 20) * (0.4**epoch) * float(valid.sum() / (steps * batch))  # few streams that go on alone move little
                 for name in self.p:
                     a = g[name] * min(1.0, 1.0 / max(norm, 1e-9))
                     m[name] += 0.1 * (a - m[name])
