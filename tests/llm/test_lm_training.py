@@ -177,3 +177,11 @@ def test_one_long_text_makes_no_padding():
     tokens = sum(t.shape[1] for t in texts)
     assert sum(v for _, v in seen) == tokens
     assert sum(n for n, _ in seen) <= tokens + 32 * 16
+
+
+def test_scores_do_not_depend_on_what_waits(spark):
+    docs = spark.createDataFrame(made(), "doc_id long, text string").coalesce(1)
+    one, many = ([tuple(r) for r in lm_score.scored(docs, score_tokens=n).orderBy("doc_id", "score").collect()] for n in (1, 10**6))
+    assert len(one) == len(made())
+    for a, b in zip(one, many, strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], abs_tol=1e-6) and math.isclose(a[6], b[6], rel_tol=1e-4)

@@ -40,6 +40,9 @@ from .wordhash import Words, slices, text_buffers
 
 HEAD_WORDS = 200_000
 FIT_TOKENS = 1_500_000
+#: Tokens, as pairs of two bytes, that wait in a task to be scored side by side: few texts at a time leave few streams
+#: where one is long.
+SCORE_TOKENS = 2_000_000
 OWN_CLASSES, END_CLASSES = 31, 31  # frequent words, frequent endings; then the remainder and the end mark
 MEMBERS = 24  # words of a class that the softmax tells apart
 RATES = (0.04, 0.02)  # of the rounds over which training rows are dealt; weights are averaged after each
@@ -123,52 +126,62 @@ class Gru:
 
     def forward(self, x: np.ndarray, h: np.ndarray, keep: bool = False):
         """x: inputs (time, batch), where `start` begins a text anew; h: (state, batch). Returns states (time, state,
-        batch), the last one, and what backward needs."""
+        batch), the last one, and what backward needs: earlier states, gates, reset states and candidates, by time."""
         p, n = self.p, self.state
+        steps, b = x.shape
         begins = x == self.start
         some = begins.any(1)
-        out = np.empty((len(x), n, x.shape[1]), h.dtype)
-        trace = []
-        for t in range(len(x)):
+        held = lambda rows: np.empty((steps if keep else 1, rows, b), h.dtype)
+        out, gates, resets, candidates = np.empty((steps, n, b), h.dtype), held(2 * n), held(n), held(n)
+        before = held(n) if keep else None
+        for t in range(steps):
             if some[t]:
                 h = h * ~begins[t]
-            g = p["g"].take(x[t], 1)
+            at = t if keep else 0
+            g, rh, c = gates[at], resets[at], candidates[at]
+            p["g"].take(x[t], 1, out=g, mode="clip")
             g += p["u"] @ h
             np.negative(g, g)
             np.exp(g, g)
             g += 1
             np.reciprocal(g, g)
-            z, r = g[:n], g[n:]
-            rh = r * h
-            c = p["i"].take(x[t], 1)
+            np.multiply(g[n:], h, out=rh)
+            p["i"].take(x[t], 1, out=c, mode="clip")
             c += p["c"] @ rh
             np.tanh(c, c)
             new = np.subtract(c, h, out=out[t])
-            new *= z
+            new *= g[:n]
             new += h
             if keep:
-                trace.append((h, z, r, rh, c))
+                before[t] = h
             h = new
-        return out, h, trace
+        return out, h, (before, gates, resets, candidates)
 
     @staticmethod
-    def _softmax(y: np.ndarray) -> np.ndarray:
-        """Over the first axis but one of (..., choices, batch)."""
-        y -= y.max(-2, keepdims=True)
+    def _weights(w: np.ndarray, d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of logits (..., choices, batch) and their sums over the choices. States lie within -1 and 1, which
+        bounds logits; these are shifted by their maximum only where that bound comes near a float's range."""
+        y = w @ s
+        y += d[:, None]
+        if (np.abs(w).sum(1) + np.abs(d)).max() > 60:
+            y -= y.max(-2, keepdims=True)
         np.exp(y, y)
-        y /= y.sum(-2, keepdims=True)
-        return y
+        return y, y.sum(-2, keepdims=True)
+
+    def _class_weights(self, s: np.ndarray):
+        return self._weights(self.p["o"], self.p["b"], s)
+
+    def _member_weights(self, c: int, s: np.ndarray):
+        own = slice(self.first[c], self.first[c + 1])
+        return self._weights(self.p["w"][own], self.p["d"][own], s)
 
     def class_probability(self, s: np.ndarray) -> np.ndarray:
-        y = self.p["o"] @ s
-        y += self.p["b"][:, None]
-        return self._softmax(y)
+        y, total = self._class_weights(s)
+        return y / total
 
     def member_probability(self, c: int, s: np.ndarray) -> np.ndarray:
-        lo, hi = self.first[c], self.first[c + 1]
-        y = self.p["w"][lo:hi] @ s
-        y += self.p["d"][lo:hi, None]
-        return self._softmax(y)
+        y, total = self._member_weights(c, s)
+        return y / total
 
     def _by_class(self, y: np.ndarray):
         """(class, places of its tokens) of the classes that have members to choose from."""
@@ -179,64 +192,73 @@ class Gru:
     def log_likelihood(self, s: np.ndarray, y: np.ndarray, k: np.ndarray) -> np.ndarray:
         """(time, batch): log P(class | state) + log P(member | class, state). s is (time, state, batch)."""
         t, b = y.shape
-        of_class = self.class_probability(s)
-        out = of_class[np.arange(t)[:, None], y, np.arange(b)[None, :]].astype(float).ravel()
+        e, total = self._class_weights(s)
+        out = (e[np.arange(t)[:, None], y, np.arange(b)[None, :]].astype(float) / total[:, 0]).ravel()
         ks, flat = k.ravel(), np.ascontiguousarray(s.transpose(1, 0, 2)).reshape(self.state, -1)
         for c, at in self._by_class(y.ravel()):
-            out[at] *= self.member_probability(c, flat.take(at, 1))[ks[at], np.arange(len(at))]
+            e, total = self._member_weights(c, flat.take(at, 1))
+            out[at] *= e[ks[at], np.arange(len(at))].astype(float) / total[0]
         return np.log(out).reshape(t, b)
 
     def gradients(self, x, y, k, valid, h):
         p, n = self.p, self.state
-        s, last, trace = self.forward(x, h, keep=True)
+        s, last, (before, gates, resets, candidates) = self.forward(x, h, keep=True)
         steps, b = x.shape
         ys, ks = y.ravel(), k.ravel()
         scale = (valid / max(1, valid.sum())).astype(s.dtype)
-        prob = self.class_probability(s)
-        prob[np.arange(steps)[:, None], y, np.arange(b)[None, :]] -= 1
-        prob *= scale[:, None, :]
+        prob, total = self._class_weights(s)
+        prob *= scale[:, None, :] / total
+        prob[np.arange(steps)[:, None], y, np.arange(b)[None, :]] -= scale
         ds = p["o"].T @ prob
         g = {"o": (prob @ s.transpose(0, 2, 1)).sum(0), "b": prob.sum((0, 2)), "w": np.zeros_like(p["w"]), "d": np.zeros_like(p["d"])}
         flat, more = np.ascontiguousarray(s.transpose(1, 0, 2)).reshape(n, -1), np.zeros((n, steps * b), s.dtype)
         for c, at in self._by_class(ys):
             lo, hi = self.first[c], self.first[c + 1]
             own = flat.take(at, 1)
-            q = self.member_probability(c, own)
-            q[ks[at], np.arange(len(at))] -= 1
-            q *= scale.ravel()[at]
+            q, total = self._member_weights(c, own)
+            share = scale.ravel()[at]
+            q *= share / total
+            q[ks[at], np.arange(len(at))] -= share
             g["w"][lo:hi] = q @ own.T
             g["d"][lo:hi] = q.sum(1)
             more[:, at] = p["w"][lo:hi].T @ q
-        more = more.reshape(n, steps, b)
-        dg, di = np.empty((2 * n, steps, b), s.dtype), np.empty((n, steps, b), s.dtype)
+        ds += more.reshape(n, steps, b).transpose(1, 0, 2)
+        # What the steps back multiply by, for the whole window: none of it depends on a later step.
+        z, r = gates[:, :n], gates[:, n:]
+        keeps = 1 - z
+        to_candidate = 1 - candidates * candidates
+        to_candidate *= z
+        to_update = candidates - before
+        to_update *= z
+        to_update *= keeps
+        to_reset = (1 - r) * r
+        to_reset *= before
+        d, dc = np.empty((steps, 2 * n, b), s.dtype), np.empty((steps, n, b), s.dtype)
         dh = np.zeros_like(h)
         begins = x == self.start
+        some = begins.any(1)
         ut, ct = np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["c"].T)
-        g["u"], g["c"] = np.zeros_like(p["u"]), np.zeros_like(p["c"])
-        d = np.empty((2 * n, b), s.dtype)
         for t in reversed(range(steps)):
             dh += ds[t]
-            dh += more[:, t]
-            h0, z, r, rh, c = trace[t]
-            dz = dh * z
-            dc = dz * (1 - c * c)
-            np.multiply(dz * (1 - z), c - h0, out=d[:n])
-            back = (ct @ dc) * r
-            np.multiply(back * (1 - r), h0, out=d[n:])
-            g["c"] += dc @ rh.T
-            g["u"] += d @ h0.T
-            dg[:, t], di[:, t] = d, dc
-            dh -= dz
+            np.multiply(dh, to_candidate[t], out=dc[t])
+            np.multiply(dh, to_update[t], out=d[t, :n])
+            back = ct @ dc[t]
+            np.multiply(back, to_reset[t], out=d[t, n:])
+            dh *= keeps[t]
+            back *= r[t]
             dh += back
-            dh += ut @ d
-            if begins[t].any():
+            dh += ut @ d[t]
+            if some[t]:
                 dh *= ~begins[t]
+        g["c"] = (dc @ resets.transpose(0, 2, 1)).sum(0)
+        g["u"] = (d @ before.transpose(0, 2, 1)).sum(0)
         inputs = x.ravel()
         order = np.argsort(inputs, kind="stable")
         found, at = np.unique(inputs[order], return_index=True)
-        for name, part in (("g", dg), ("i", di)):
+        for name, part in (("g", d), ("i", dc)):
             g[name] = np.zeros_like(p[name])
-            g[name][:, found] = np.add.reduceat(part.reshape(len(part), -1).take(order, 1), at, axis=1)
+            by_row = np.ascontiguousarray(part.transpose(1, 0, 2)).reshape(part.shape[1], -1)
+            g[name][:, found] = np.add.reduceat(by_row.take(order, 1), at, axis=1)
         return g, last
 
     def fit(self, texts_: list[np.ndarray], window: int = WINDOW, batch: int = 128, epochs: int = 1, rate: float = 0.01) -> None:
@@ -365,7 +387,7 @@ def _round(texts_: DataFrame, classes: ClassMap, weights: dict[str, np.ndarray],
     return out
 
 
-def scored(docs: DataFrame, train: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, fit_tokens: int = FIT_TOKENS) -> DataFrame:
+def scored(docs: DataFrame, train: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, fit_tokens: int = FIT_TOKENS, score_tokens: int = SCORE_TOKENS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     train: which rows to learn from; by default those whose crc32(id as text) mod 10 is not 0."""
@@ -460,19 +482,29 @@ def scored(docs: DataFrame, train: F.Column | None = None, id_col: str = "doc_id
         logs = {w: float(np.log10(c + SMOOTH)) for w, c in head_counts.items()}
         end_log = logs.get(END, float(np.log10(SMOOTH)))
         columns = ["key", "doc_id", "held_out", "word", "n", "known", "sums", "rest"]
+        sequences: list[np.ndarray] = []  # of the rows in waiting; no texts are held
+        waiting: list[tuple] = []
+        held = 0
+
+        def judged():
+            history, at = gru.score(sequences, width=1024) / np.log(10), 0
+            for key, doc, out, n, known, sums, spread in waiting:
+                rest, at = history[at : at + len(n)] - spread, at + len(n)
+                yield pa.RecordBatch.from_arrays([key, doc, out, pa.nulls(len(n), pa.binary()), pa.array(n), pa.array(known), pa.array(sums), pa.array(rest)], columns)
+            sequences.clear()
+            waiting.clear()
+
         for batch in batches:
             data, off = text_buffers(batch.column(2))
-            sequences: list[np.ndarray] = []
-            spread = np.zeros(batch.num_rows)
+            spread, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for lo, hi in slices(off):
                 part = _class_texts(Words(data, off[lo : hi + 1], lower=True), classes)
                 spread[lo:hi] = [told[t[0], t[1]].sum() for t in part]
+                n[lo:hi] = [t.shape[1] for t in part]
                 sequences += part
-            history = gru.score(sequences) / np.log(10)
-            n = np.array([t.shape[1] for t in sequences], np.int64)
             sums = np.zeros(batch.num_rows)
             known = np.zeros(batch.num_rows, np.int64)
-            tail: list[tuple[int, bytes, int]] = []
+            owner, word, times = [], [], []  # of words outside the head
             get = logs.get
             for i in range(batch.num_rows):
                 total, hits = end_log, int(END in logs)
@@ -485,12 +517,21 @@ def scored(docs: DataFrame, train: F.Column | None = None, id_col: str = "doc_id
                         total += x
                         hits += 1
                 sums[i], known[i] = total, hits
-                tail += [(i, w, c) for w, c in Counter(rest).items()]
-                if len(tail) > 100_000 or i == batch.num_rows - 1:
-                    at, k = pa.array([t[0] for t in tail], pa.int64()), len(tail)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array([t[1] for t in tail], pa.binary()), pa.array([t[2] for t in tail], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], columns)
-                    tail = []
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.nulls(batch.num_rows, pa.binary()), pa.array(n), pa.array(known), pa.array(sums), pa.array(history - spread)], columns)
+                distinct = Counter(rest)
+                owner += [i] * len(distinct)
+                word += distinct
+                times += distinct.values()
+                if len(word) > 100_000 or i == batch.num_rows - 1:
+                    at, k = pa.array(owner, pa.int64()), len(word)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array(word, pa.binary()), pa.array(times, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], columns)
+                    owner, word, times = [], [], []
+            waiting.append((batch.column(0), batch.column(1), batch.column(3), n, known, sums, spread))
+            held += int(n.sum())
+            if held >= score_tokens:
+                yield from judged()
+                held = 0
+        if waiting:
+            yield from judged()
 
     # The key is given once and settled, so that both parts of a row carry the same one.
     keyed = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", "held_out")
