@@ -1,8 +1,10 @@
 """Pieces of any length against the tiktoken library, within a stated time, and rows without a usable id."""
 
+import gc
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
 from tracequarry.llm import byte_bpe
@@ -62,3 +64,26 @@ def test_rows(spark, tokenizer):  # noqa: F811
     got = sorted(((r.doc_id, r.n_tokens, r.ids, r.decoded_sha256) for r in byte_bpe.encoded(df, ranks, pattern).collect()), key=repr)
     want = sorted(((d, len(x), x, brute.sha(brute.raw(t))) for d, t in texts for x in [ours.encode_ordinary(t or "")]), key=repr)
     assert got == want
+
+
+def test_no_encoder_outlives_its_task(spark, tokenizer):  # noqa: F811
+    """Workers that wait for other tasks hold no pieces of this one."""
+    ranks, pattern, _ = tokenizer
+
+    class Table:
+        sparkSession = spark  # noqa: N815
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, schema):  # noqa: N802
+            return f
+
+    alive = lambda: sum(isinstance(x, byte_bpe.Bpe) for x in gc.get_objects())
+    gc.collect()
+    before = alive()
+    task = byte_bpe.encoded(Table(), ranks, pattern)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", None])], ["doc_id", "text"])
+    assert [x.column(1).to_pylist() for x in task(iter([batch]))] == [[2, 0]]
+    gc.collect()
+    assert alive() == before

@@ -9,8 +9,8 @@ halves of any shape give the same tokens.
 
 Where the boundary moves no token but the nearest ones, a join takes a few steps; where it shifts all tokens to its
 right, as in runs of one character, it takes a step for each of them, each over a window of a few tokens. So a piece
-of n bytes takes O(n log n) steps; windows and halves that were seen before are remembered. A long window is merged
-through a heap. Decoding concatenates the tokens' bytes up a tree, level by level.
+of n bytes takes O(n log n) steps; pairs, windows and halves that were seen before are remembered, by a task for itself,
+so that idle workers hold none of it. A long window is merged through a heap. Decoding concatenates the tokens' bytes up a tree, level by level.
 
 A null text is empty and has no ids. Rows are encoded one by one: null and repeated ids, repeated rows and columns of
 any name change nothing, and an empty table gives an empty table. Ranks come from a file whose place is a parameter;
@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 
 from .common import texts
 
-#: Remembered pieces of a worker; when it is full it begins anew.
-CACHE = 250_000
-#: Remembered halves, windows and pairs of a worker.
+#: Remembered pieces of a task; when it is full it begins anew.
+CACHE = 500_000
+#: Remembered halves, windows and pairs of a task, each.
 PARTS = 100_000
 #: Parts of more bytes are remembered for their own piece only.
 SHORT_PART = 32
@@ -54,7 +54,8 @@ class Bpe:
         self.ranks = ranks
         self.names = {i: t for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.digits = {t: str(i) for t, i in ranks.items()}
+        self.pairs: dict[tuple[bytes, bytes], bool | list[bytes]] = {}  # True if stable, else the encoding of both
         self.halves: dict[bytes, tuple[bytes, ...]] = {}
         self.windows: dict[bytes, list[bytes]] = {}
         self.pieces: dict[str, str] = {}
@@ -111,32 +112,39 @@ class Bpe:
             i = ends[i]
         return out
 
-    def stable(self, a: bytes, b: bytes) -> bool:
-        """Is (a, b) the encoding of its own bytes?"""
-        known = self.pairs.get((a, b))
-        if known is None:
+    def pair(self, a: bytes, b: bytes) -> bool | list[bytes]:
+        """True if (a, b) is the encoding of its own bytes, else that encoding."""
+        found = self.pairs.get((a, b))
+        if found is None:
             if len(self.pairs) >= PARTS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return known
+            found = self.merged(a + b)
+            found = self.pairs[a, b] = found == [a, b] or found
+        return found
 
     def join(self, left: tuple[bytes, ...], right: tuple[bytes, ...]) -> tuple[bytes, ...]:
         """The encoding of left's bytes and right's, from their encodings."""
-        known, stable = self.pairs.get, self.stable
-        if not left or not right or known((left[-1], right[0])):
+        if not left or not right:
             return left + right
-        out = list(left)
-        for j, token in enumerate(right):
-            if known((out[-1], token)) or stable(out[-1], token):  # nothing changes from here on
-                out += right[j:]
-                break
+        known, pair = self.pairs.get, self.pair
+        last, token = left[-1], right[0]
+        middle = known((last, token)) or pair(last, token)
+        if middle is True:
+            return left + right
+        out, j, n = list(left), 0, len(right)
+        while True:  # out and the j-th token of right, encoded anew from the i-th last token of out on
             i = 1
-            while True:  # out and this token, encoded anew from the i-th last token of out on
-                middle = self.merged(b"".join(out[-i:]) + token)
-                if i >= len(out) or stable(out[-i - 1], middle[0]):
-                    break
+            while i < len(out) and (known((out[-i - 1], middle[0])) or pair(out[-i - 1], middle[0])) is not True:
                 i = min(2 * i, len(out))
+                middle = self.merged(b"".join(out[-i:]) + right[j])
             out[-i:] = middle
+            j += 1
+            if j == n:
+                break
+            middle = known((out[-1], right[j])) or pair(out[-1], right[j])
+            if middle is True:  # nothing changes from here on
+                out += right[j:]
+                break
         return tuple(out)
 
     def tree(self, raw: bytes, whole: bool = True) -> tuple[bytes, ...]:
@@ -153,7 +161,8 @@ class Bpe:
         found = known.get(raw)
         if found is None:
             half = 1 << (len(raw) - 1).bit_length() - 1  # the same beginnings give the same parts
-            found = self.join(self._reduced(raw[:half], own), self._reduced(raw[half:], own))
+            a, b, get = raw[:half], raw[half:], self.halves.get
+            found = self.join(get(a) or self._reduced(a, own), get(b) or self._reduced(b, own))
             if len(self.halves) >= PARTS:
                 self.halves.clear()
             known[raw] = found
@@ -161,7 +170,7 @@ class Bpe:
 
     def piece(self, piece: str) -> str:
         """Ids of a piece as decimal text."""
-        ids = ",".join([str(self.ranks[t]) for t in self.tree(piece.encode())])
+        ids = ",".join(map(self.digits.__getitem__, self.tree(piece.encode())))
         if len(piece) < 64:
             if len(self.pieces) >= CACHE:
                 self.pieces.clear()
@@ -193,29 +202,14 @@ def unreachable(ranks: dict[bytes, int]) -> list[bytes]:
     return [t for t in ranks if b.tree(t, whole=False) != (t,)]
 
 
-class _Shared:
-    """What is broadcast; a worker makes one encoder of it, whose memory goes on from task to task."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, pattern
-
-    def bpe(self) -> Bpe:
-        if not hasattr(self, "_bpe"):
-            self._bpe = Bpe(self.ranks, self.pattern)
-        return self._bpe
-
-    def __getstate__(self):
-        return {"ranks": self.ranks, "pattern": self.pattern}
-
-
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids (array<int>, null unless with_ids), ids_sha256 (of the decimal ids
     joined by commas), decoded_sha256 (of the bytes that decoding gives), round_trip (do they equal the text's?)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_Shared(ranks, pattern))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = shared.value.bpe()
-        names = {str(i): t for i, t in bpe.names.items()}
+        bpe = Bpe(*shared.value)
+        names = {i: t for t, i in bpe.digits.items()}
         for batch in batches:
             out: list[tuple] = []
             for x in batch.column(1):
