@@ -185,3 +185,23 @@ def test_scores_do_not_depend_on_what_waits(spark):
     assert len(one) == len(made())
     for a, b in zip(one, many, strict=True):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], abs_tol=1e-6) and math.isclose(a[6], b[6], rel_tol=1e-4)
+
+
+def test_few_steps_of_the_class_softmax_are_held(monkeypatch):
+    """Blocks of steps give what a whole window gives, and no more of them are held at once."""
+    r = np.random.default_rng(3)
+    sizes = [1, 4, 3]
+    texts_ = [np.array([c := r.integers(0, 3, n), [r.integers(0, sizes[x]) for x in c]], np.int16) for n in (70, 33, 5, 1)]
+    steps, whole = [], lm_score.Gru._class_weights
+    monkeypatch.setattr(lm_score.Gru, "_class_weights", lambda self, s: (steps.append(len(s)), whole(self, s))[1])
+
+    def outcome():
+        g = lm_score.Gru(sizes, 4)
+        g.fit(texts_, batch=3)
+        return np.concatenate([w.ravel() for w in g.p.values()]), g.score(texts_)
+
+    weights, scores = outcome()
+    assert max(steps) <= 4
+    monkeypatch.setattr(lm_score, "BLOCK", 10**6)
+    again = outcome()
+    assert np.allclose(weights, again[0], atol=1e-5) and np.allclose(scores, again[1], atol=1e-4)

@@ -49,6 +49,8 @@ RATES = (0.04, 0.02)  # of the rounds over which training rows are dealt; weight
 STATE = 16
 WINDOW = 32
 STREAMS = 384
+#: Steps whose softmax over classes is held at a time.
+BLOCK = 4
 SMOOTH = 0.1
 #: Bins a doubling of the histogram of counts.
 BINS = 16
@@ -192,8 +194,12 @@ class Gru:
     def log_likelihood(self, s: np.ndarray, y: np.ndarray, k: np.ndarray) -> np.ndarray:
         """(time, batch): log P(class | state) + log P(member | class, state). s is (time, state, batch)."""
         t, b = y.shape
-        e, total = self._class_weights(s)
-        out = (e[np.arange(t)[:, None], y, np.arange(b)[None, :]].astype(float) / total[:, 0]).ravel()
+        out = np.empty((t, b))
+        for lo in range(0, t, BLOCK):  # so many steps at a time stay in a core's cache
+            part = y[lo : lo + BLOCK]
+            e, total = self._class_weights(s[lo : lo + BLOCK])
+            out[lo : lo + BLOCK] = e[np.arange(len(part))[:, None], part, np.arange(b)[None, :]].astype(float) / total[:, 0]
+        out = out.ravel()
         ks, flat = k.ravel(), np.ascontiguousarray(s.transpose(1, 0, 2)).reshape(self.state, -1)
         for c, at in self._by_class(y.ravel()):
             e, total = self._member_weights(c, flat.take(at, 1))
@@ -206,11 +212,16 @@ class Gru:
         steps, b = x.shape
         ys, ks = y.ravel(), k.ravel()
         scale = (valid / max(1, valid.sum())).astype(s.dtype)
-        prob, total = self._class_weights(s)
-        prob *= scale[:, None, :] / total
-        prob[np.arange(steps)[:, None], y, np.arange(b)[None, :]] -= scale
-        ds = p["o"].T @ prob
-        g = {"o": (prob @ s.transpose(0, 2, 1)).sum(0), "b": prob.sum((0, 2)), "w": np.zeros_like(p["w"]), "d": np.zeros_like(p["d"])}
+        ds = np.empty_like(s)
+        g = {k: np.zeros_like(p[k]) for k in ("o", "b", "w", "d")}
+        for lo in range(0, steps, BLOCK):
+            now = slice(lo, lo + BLOCK)
+            prob, total = self._class_weights(s[now])
+            prob *= scale[now, None, :] / total
+            prob[np.arange(len(prob))[:, None], y[now], np.arange(b)[None, :]] -= scale[now]
+            ds[now] = p["o"].T @ prob
+            g["o"] += (prob @ s[now].transpose(0, 2, 1)).sum(0)
+            g["b"] += prob.sum((0, 2))
         flat, more = np.ascontiguousarray(s.transpose(1, 0, 2)).reshape(n, -1), np.zeros((n, steps * b), s.dtype)
         for c, at in self._by_class(ys):
             lo, hi = self.first[c], self.first[c + 1]
@@ -479,7 +490,7 @@ def scored(docs: DataFrame, train: F.Column | None = None, id_col: str = "doc_id
     def per_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of each text with what head words and classes give; a row of each of its words outside the head."""
         head_counts, classes, gru, told = shared.value
-        logs = {w: float(np.log10(c + SMOOTH)) for w, c in head_counts.items()}
+        logs = dict(zip(head_counts, np.log10(np.fromiter(head_counts.values(), float, len(head_counts)) + SMOOTH).tolist(), strict=True))
         end_log = logs.get(END, float(np.log10(SMOOTH)))
         columns = ["key", "doc_id", "held_out", "word", "n", "known", "sums", "rest"]
         sequences: list[np.ndarray] = []  # of the rows in waiting; no texts are held
@@ -507,17 +518,14 @@ def scored(docs: DataFrame, train: F.Column | None = None, id_col: str = "doc_id
             owner, word, times = [], [], []  # of words outside the head
             get = logs.get
             for i in range(batch.num_rows):
-                total, hits = end_log, int(END in logs)
-                rest: list[bytes] = []
-                for w in data[off[i] : off[i + 1]].tobytes().lower().split():
-                    x = get(w)
-                    if x is None:
-                        rest.append(w)
-                    else:
-                        total += x
-                        hits += 1
-                sums[i], known[i] = total, hits
-                distinct = Counter(rest)
+                found = data[off[i] : off[i + 1]].tobytes().lower().split()
+                each = list(map(get, found))
+                if none := each.count(None):
+                    distinct = Counter([w for w, x in zip(found, each, strict=True) if x is None])
+                    each = [x for x in each if x is not None]
+                else:
+                    distinct = {}
+                sums[i], known[i] = end_log + math.fsum(each), len(found) - none + (END in logs)
                 owner += [i] * len(distinct)
                 word += distinct
                 times += distinct.values()
