@@ -3,6 +3,7 @@
 import gc
 import random
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -87,3 +88,42 @@ def test_no_encoder_outlives_its_task(spark, tokenizer):  # noqa: F811
     assert [x.column(1).to_pylist() for x in task(iter([batch]))] == [[2, 0]]
     gc.collect()
     assert alive() == before
+
+
+def test_results_of_few_rows_are_held(spark, tokenizer):  # noqa: F811
+    """Results of a batch go on a hundred rows at a time, with ids as 4 bytes each, so that a task holds little of them."""
+    ranks, pattern, ours = tokenizer
+
+    class Table:
+        sparkSession = spark  # noqa: N815
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, schema):  # noqa: N802
+            return f
+
+    texts = [None, "", *(f"row {i} " + " internationalisation thermodynamic" * 300 for i in range(997)), "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])
+    task = byte_bpe.encoded(Table(), ranks, pattern)
+    next(task(iter([batch.slice(0, 1)])))
+    rows, most = [], 0
+    tracemalloc.start()
+    for x in task(iter([batch])):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        rows += zip(x.column(0).to_pylist(), x.column(1).to_pylist(), [hash(tuple(v)) for v in x.column(2).to_pylist()], strict=True)
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert rows == [(i, len(v), hash(tuple(v))) for i, v in enumerate(ours.encode_ordinary(t or "") for t in texts)]
+    assert most < 40e6
+
+
+def test_remembered_tokens_are_the_tables(tokenizer):  # noqa: F811
+    """What a task remembers refers to the table's tokens and holds no copies of them."""
+    ranks, pattern, _ = tokenizer
+    b = byte_bpe.Bpe(ranks, pattern)
+    r = random.Random(9)
+    b.encode(" ".join("".join(r.choice("thenriago") for _ in range(r.randrange(4, 20))) for _ in range(2000)))
+    table = {id(t) for t in ranks}
+    assert b.windows
+    assert all(id(t) in table for found in b.windows.values() for t in found)

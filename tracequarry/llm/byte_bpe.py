@@ -24,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -37,6 +38,8 @@ PARTS = 100_000
 SHORT_PART = 32
 #: Windows of more bytes are merged through a heap.
 LONG_WINDOW = 96
+#: Rows whose results are held before they go on.
+ROWS = 100
 #: Neighbours that decoding puts together in one step.
 FAN = 16
 _NONE = 1 << 60
@@ -53,22 +56,24 @@ class Bpe:
 
         self.ranks = ranks
         self.names = {i: t for t, i in ranks.items()}
+        self.same = {t: t for t in ranks}  # so that what is remembered refers to one object a token
         self.find = regex.compile(pattern).findall
         self.digits = {t: str(i) for t, i in ranks.items()}
-        self.pairs: dict[tuple[bytes, bytes], bool | list[bytes]] = {}  # True if stable, else the encoding of both
+        self.pairs: dict[tuple[bytes, bytes], bool | tuple[bytes, ...]] = {}  # True if stable, else the encoding of both
         self.halves: dict[bytes, tuple[bytes, ...]] = {}
-        self.windows: dict[bytes, list[bytes]] = {}
+        self.windows: dict[bytes, tuple[bytes, ...]] = {}
         self.pieces: dict[str, str] = {}
 
-    def merged(self, raw: bytes) -> list[bytes]:
+    def merged(self, raw: bytes) -> tuple[bytes, ...]:
         """Tokens of a window: the lowest rank merges first, from the left."""
         known = self.windows.get(raw)
         if known is None:
+            same = self.same.__getitem__
             if len(raw) > LONG_WINDOW:
-                return self._merged_long(raw)
+                return tuple(map(same, self._merged_long(raw)))
             if len(self.windows) >= PARTS:
                 self.windows.clear()
-            known = self.windows[raw] = self._merged_short(raw)
+            known = self.windows[raw] = tuple(map(same, self._merged_short(raw)))
         return known
 
     def _merged_short(self, raw: bytes) -> list[bytes]:
@@ -112,14 +117,14 @@ class Bpe:
             i = ends[i]
         return out
 
-    def pair(self, a: bytes, b: bytes) -> bool | list[bytes]:
+    def pair(self, a: bytes, b: bytes) -> bool | tuple[bytes, ...]:
         """True if (a, b) is the encoding of its own bytes, else that encoding."""
         found = self.pairs.get((a, b))
         if found is None:
             if len(self.pairs) >= PARTS:
                 self.pairs.clear()
             found = self.merged(a + b)
-            found = self.pairs[a, b] = found == [a, b] or found
+            found = self.pairs[a, b] = found == (a, b) or found
         return found
 
     def join(self, left: tuple[bytes, ...], right: tuple[bytes, ...]) -> tuple[bytes, ...]:
@@ -210,15 +215,15 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(*shared.value)
         names = {i: t for t, i in bpe.digits.items()}
-        for batch in batches:
+        kinds = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_())
+        for batch in (given.slice(lo, ROWS) for given in batches for lo in range(0, given.num_rows, ROWS)):
             out: list[tuple] = []
             for x in batch.column(1):
                 text = x.as_py() or ""
                 joined = bpe.joined(text)
                 parts = joined.split(",") if joined else []
                 raw = concatenated(list(map(names.__getitem__, parts)))
-                out.append((len(parts), list(map(int, parts)) if with_ids else None, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.encode()))
-            kinds = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_())
+                out.append((len(parts), np.array(list(map(int, parts)), np.int32) if with_ids else None, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.encode()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate(kinds))], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip"])
 
     return texts(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean")
