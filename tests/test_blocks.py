@@ -46,6 +46,16 @@ def test_pairs_at(spark, plan):
         assert unshuffled(df) == (plan == "blocks")
 
 
+def test_all_pairs(spark, plan):
+    bench, reserve, b, r = tables(spark)
+    want = {k: m for k, m in all_pairs(bench, reserve).items() if max(m[:3]) > 0 or m[3] or m[4]}
+    df = overlap.task_overlap(b, r)
+    assert unshuffled(df) == (plan == "blocks")
+    rows = df.collect()
+    assert len(rows) == len(want) and {(x.bench_task, x.reserve_task): (x.instruction, x.records, x.calls, x.same_sequence, x.same_database) for x in rows} == want
+    assert all(x.flagged == (max(x.instruction, x.records, x.calls) >= 0.6 or x.same_database) for x in rows)
+
+
 def test_a_crowd_is_paired_in_blocks(spark, monkeypatch):
     """As tables are that have most of their items in common."""
     monkeypatch.setattr(overlap, "CROWDED", 2)
