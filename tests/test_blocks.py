@@ -56,6 +56,29 @@ def test_all_pairs(spark, plan):
     assert all(x.flagged == (max(x.instruction, x.records, x.calls) >= 0.6 or x.same_database) for x in rows)
 
 
+def test_summary(spark, plan):
+    """Also where some rows come twice."""
+    bench, reserve, *_ = tables(spark)
+    b, r = (spark.createDataFrame(x, TASK).repartition(3) for x in (bench, reserve + reserve[:30]))
+    pairs = all_pairs(bench, reserve)
+    rows = overlap.task_overlap_summary(b, r).collect()
+    assert len(rows) == len(bench)
+    for x in rows:
+        mine = {k[1]: m for k, m in pairs.items() if k[0] == x.bench_task and x.env is not None and (max(m[:3]) > 0 or m[3] or m[4])}
+        assert [x.max_instruction, x.max_records, x.max_calls] == [max((m[i] for m in mine.values()), default=0.0) for i in range(3)]
+        assert (x.same_sequence, x.same_database) == tuple(any(m[i] for m in mine.values()) for i in (3, 4))
+        assert (x.closest or []) == [t for t, _ in sorted(mine.items(), key=lambda kv: (-max(kv[1][:3]), not kv[1][3], kv[0]))[:3]]
+
+
+def test_a_summary_of_a_crowd_has_no_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(0, i, rng.sample([f"t{j}" for j in range(20)], 12), ["r"], [], None, None) for i in range(60)]
+    monkeypatch.setattr(overlap, "_measured", None)
+    t = spark.createDataFrame(rows, TASK)
+    got = overlap.task_overlap_summary(t.where("task % 2 = 0"), t.where("task % 2 = 1")).collect()
+    assert len(got) == 30 and all(x.max_records == 1.0 and x.closest == [1, 3, 5] for x in got)
+
+
 def test_a_crowd_is_paired_in_blocks(spark, monkeypatch):
     """As tables are that have most of their items in common."""
     monkeypatch.setattr(overlap, "CROWDED", 2)

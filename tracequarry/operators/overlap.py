@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
@@ -239,6 +240,44 @@ def overlap_at(bench: DataFrame, reserve: DataFrame, least: float = 0.6) -> Data
     return _by_plan(bench, reserve, _crowded(bench, reserve, least), sparse, lambda b, r: _block_pairs(b, r, least))
 
 
+def _block_summary(bench: DataFrame, reserve: DataFrame, top: int) -> DataFrame:
+    """(env, bench_task, max_instruction, max_records, max_calls, same_sequence, same_database, closest) over all pairs of
+    an environment. A cell gives a row for each of its benchmark tasks, with the best of its reserve tasks."""
+    def found(a: pa.Table, b: pa.Table) -> Iterator[pa.RecordBatch]:
+        b = b.take(pc.sort_indices(b, [("task", "ascending")])).combine_chunks()  # the first of equals is the first task
+        times = pc.max(b["task"].value_counts().field("counts")).as_py() or 0 if len(b) else 0
+        for at, x in _tiles(a, b):
+            n = len(x["same_database"])
+            most = np.maximum.reduce([x[m] for m in OVERLAP_MEASURES])
+            ahead = np.where((most > 0) | x["same_sequence"] | x["same_database"], most, -1.0)
+            row, picked = np.arange(n), []
+            for _ in range(min(top * times, len(b))):  # rows of one task may be the same
+                best = ahead == ahead.max(axis=1, keepdims=True)
+                first = best & x["same_sequence"]
+                j = np.where(first.any(axis=1), first.argmax(axis=1), best.argmax(axis=1))
+                picked.append(np.where(ahead[row, j] >= 0, j, -1))
+                ahead[row, j] = -1
+            i, j = np.divmod(np.flatnonzero(np.array(picked).reshape(-1, n).T.reshape(-1) >= 0), max(1, len(picked)))
+            j = np.array(picked).reshape(-1, n).T[i, j]
+            near = pa.StructArray.from_arrays([pa.array(-most[i, j]), pa.array(~x["same_sequence"][i, j]), b["task"].take(j).combine_chunks(), *(pa.array(x[m][i, j]) for m in OVERLAP_MEASURES), pa.array(x["same_database"][i, j])], names=["far", "other", "task", *OVERLAP_MEASURES, "same_database"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=n))]).astype(np.int32)
+            keys = [a[c].slice(at, n).combine_chunks() for c in ("env", "task")]
+            largest = [x[m].max(axis=1, initial=0.0) for m in OVERLAP_MEASURES] + [x[c].any(axis=1) for c in ("same_sequence", "same_database")]
+            t = pa.table([*keys, *largest, pa.ListArray.from_arrays(ends, _plain(near))], names=names)
+            yield from t.combine_chunks().to_batches()
+
+    names = ["env", "bench_task", *(f"max_{m}" for m in OVERLAP_MEASURES), "same_sequence", "same_database", "near"]
+    near = f"array<struct<far: double, other: boolean, task: {_kind(reserve, 'task')}, " + ", ".join(f"{m}: double" for m in OVERLAP_MEASURES) + ", same_database: boolean>>"
+    schema = f"env {_kind(bench, 'env')}, bench_task {_kind(bench, 'task')}, " + ", ".join(f"max_{m} double" for m in OVERLAP_MEASURES) + f", same_sequence boolean, same_database boolean, near {near}"
+    each = _in_cells(bench, reserve, found, schema)
+    closest = F.transform(F.slice(F.array_distinct(F.sort_array(F.flatten(F.collect_list("near")))), 1, top), lambda y: y["task"])
+    return each.groupBy("env", "bench_task").agg(*(F.max(c).alias(c) for c in names[2:5]), *(F.bool_or(c).alias(c) for c in names[5:7]), closest.alias("closest"))
+
+
+def _plain(x: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
+
+
 def task_overlap_summary(bench: DataFrame, reserve: DataFrame, flag_at: float = 0.6, top: int = 3, falling: tuple[float, ...] = (0.3, 0.1, 0.0)) -> DataFrame:
     """One row per benchmark task: the maxima of the measures over all reserve tasks of its environment (zeros where
     nothing is shared), whether it has an equal sequence, an equal database, a flag, and the `top` reserve tasks by the
@@ -246,11 +285,23 @@ def task_overlap_summary(bench: DataFrame, reserve: DataFrame, flag_at: float =
 
     Rounds of overlap_at with falling bounds: a maximum that reaches a round's bound is exact, and so are the closest
     tasks once `top` of them reach it; only tasks and measures that are still open go on to the next. So pairs that share
-    little are looked at for those tasks only that have nothing closer."""
-    items = _task_items(bench, reserve)
+    little are looked at for those tasks only that have nothing closer. In an environment where a round would meet too
+    many pairs, the tasks that are still open are compared with all others block by block instead."""
+    bench, reserve = _sides(bench, reserve)
     task = bench.select("env", F.col("task").alias("bench_task"))
-    found, open_ = None, None
+    ahead, items, found, open_, summed = bench, None, None, None, None
     for least in (flag_at, *falling):
+        crowded = _crowded(ahead, reserve, least)
+        if not crowded.isEmpty():
+            new = settled(_block_summary(*(x.join(crowded, "env", "left_semi") for x in (ahead, reserve)), top))
+            summed = new if summed is None else summed.unionByName(new)
+            ahead = ahead.join(crowded, "env", "left_anti")
+            open_ = None if open_ is None else open_.join(crowded, "env", "left_anti")
+            if ahead.isEmpty():
+                break
+        if items is None:
+            reserve = settled(reserve.distinct())  # a row that comes twice counts once
+            items = _task_items(ahead, reserve)
         new = _measured(_reaching(items, least, open_), bench, reserve)
         new = new.withColumn("most", F.greatest(*OVERLAP_MEASURES)).where("most > 0")
         found = settled(new if found is None else found.unionByName(new).distinct())
@@ -258,28 +309,39 @@ def task_overlap_summary(bench: DataFrame, reserve: DataFrame, flag_at: float =
             break
         at = found.groupBy("env", "bench_task").agg(*(F.max(m).alias(m) for m in OVERLAP_MEASURES), F.count_if(F.col("most") >= least).alias("near"))
         is_open = F.array_compact(F.array(*(F.when(~F.coalesce((F.col(m) >= least) & (F.col("near") >= top), F.lit(False)), F.lit(m)) for m in OVERLAP_MEASURES)))
-        open_ = settled(task.join(at, ["env", "bench_task"], "left").select("env", F.col("bench_task").alias("task"), F.explode(is_open).alias("measure")))
+        open_ = settled(ahead.select("env", F.col("task").alias("bench_task")).join(at, ["env", "bench_task"], "left").select("env", F.col("bench_task").alias("task"), F.explode(is_open).alias("measure")))
         if open_.isEmpty():
             break
+        ahead = ahead.join(open_, ["env", "task"], "left_semi")
+
+    best = summed
+    if found is not None:
+        rest = bench if summed is None else bench.join(summed.select("env", F.col("bench_task").alias("task")), ["env", "task"], "left_anti")
+        rounds = _rounds_summary(found if summed is None else found.join(summed, ["env", "bench_task"], "left_anti"), rest, bench, reserve, top)
+        best = rounds if summed is None else summed.unionByName(rounds)
+    x = task.join(best, ["env", "bench_task"], "left")
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    x = x.select("env", "bench_task", *(F.coalesce(f"max_{m}", F.lit(0.0)).alias(f"max_{m}") for m in OVERLAP_MEASURES), no("same_sequence"), no("same_database"), "closest")
+    return x.withColumn("flagged", (F.greatest(*(f"max_{m}" for m in OVERLAP_MEASURES)) >= flag_at) | F.col("same_database"))
+
 
+def _rounds_summary(found: DataFrame, rest: DataFrame, bench: DataFrame, reserve: DataFrame, top: int) -> DataFrame:
+    """As _block_summary, from the pairs that rounds have found for the tasks `rest` and those of equal sequence or
+    database."""
     def equal(c: str) -> DataFrame:
         """The first reserve tasks of each equal sequence or database: enough for those that share nothing else."""
         w = Window.partitionBy("env", c).orderBy("task")
         few = reserve.where(F.col(c).isNotNull()).select("env", c, "task").withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + TOP_OF_CLASS)
-        return bench.where(F.col(c).isNotNull()).select("env", F.col("task").alias("bench_task"), c).join(few.select("env", c, F.col("task").alias("reserve_task")), ["env", c]).select("env", "bench_task", "reserve_task")
+        return rest.where(F.col(c).isNotNull()).select("env", F.col("task").alias("bench_task"), c).join(few.select("env", c, F.col("task").alias("reserve_task")), ["env", c]).select("env", "bench_task", "reserve_task")
 
     same = {c: settled(equal(c)) for c in ("sequence", "database")}
     more = _measured(same["sequence"].unionByName(same["database"]).distinct(), bench, reserve).withColumn("most", F.greatest(*OVERLAP_MEASURES))
     every = found.unionByName(more).distinct()
     w = Window.partitionBy("env", "bench_task").orderBy(F.desc("most"), F.desc("same_sequence"), "reserve_task")
-    best = every.withColumn("r", F.row_number().over(w)).groupBy("env", "bench_task").agg(
+    return every.withColumn("r", F.row_number().over(w)).groupBy("env", "bench_task").agg(
         *(F.max(m).alias(f"max_{m}") for m in OVERLAP_MEASURES), F.bool_or("same_sequence").alias("same_sequence"), F.bool_or("same_database").alias("same_database"),
         F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= top, F.struct("r", "reserve_task")))), lambda y: y["reserve_task"]).alias("closest"),
     )
-    x = task.join(best, ["env", "bench_task"], "left")
-    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    x = x.select("env", "bench_task", *(F.coalesce(f"max_{m}", F.lit(0.0)).alias(f"max_{m}") for m in OVERLAP_MEASURES), no("same_sequence"), no("same_database"), "closest")
-    return x.withColumn("flagged", (F.greatest(*(f"max_{m}" for m in OVERLAP_MEASURES)) >= flag_at) | F.col("same_database"))
 
 
 def shared_paths(rows: DataFrame, folds: DataFrame, max_df: int = 3, shared_at: int = 5) -> DataFrame:
