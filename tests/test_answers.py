@@ -63,3 +63,21 @@ def test_values_that_stand_for_others():
     t, g = f"{{'a': '{NEW}', 'b': ['{OTHER}', 'x']}}", f"{{'b': ['x', '{SECOND}'], 'a': '{GUESS}'}}"
     assert scoring.bound(t, g, "", None) == {NEW: GUESS, OTHER: SECOND}
     assert scoring.bound(t, "no value", "", None) is None
+
+
+def test_mutations_are_spread_over_tasks(spark):
+    """A small table, of one partition, whose answers take long; truths that follow each other, repeat or are no value."""
+    truth = lambda i: f"{{'success': True, 'message': 'Order {NEW} of [b, a].', 'id': '{NEW}', 'of': '{KNOWN}', 'n': {i}, 'l': [1, {i + 2}], 'r': [{{'x': 1}}, {{'x': 2}}]}}"
+    rows = [(truth(i // 2), f"order {KNOWN}", ["uuid"]) for i in range(40)] + [("no value", "", None), ("{'a': [[[[" + "1" * 300 + "]]]]}", "", None), (None, None, None)]
+    x = scoring.scorer_mutations(spark.createDataFrame(rows, "truth string, context string, shapes array<string>").coalesce(1))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    above, _, below = x._jdf.queryExecution().optimizedPlan().toString().partition(f"Repartition {tasks}, true")
+    assert tasks > 1 and "Python" in above and below and "Python" not in below
+    want = {}
+    for t, c, s in rows:
+        for rule, gen in scoring.mutated(t or "", c or "", s and set(s)).items():
+            got = scoring.exact(t or "", gen, c or "", s and set(s))
+            bad = any(v is not None and got[n] != v for n, v in zip(("match", "match_strict", "text_match", "outcome_match"), scoring.MUTATIONS[rule], strict=True))
+            n, wrong = want.get(rule, (0, 0))
+            want[rule] = (n + 1, wrong + bad)
+    assert {r.rule: (r.n, r.violations) for r in x.collect()} == want and want["changed_number"][0] >= 40
