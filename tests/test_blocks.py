@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tests.test_overlap import TASK, made, measures
-from tracequarry.operators import blocks, overlap
+from tracequarry.operators import applicability, blocks, overlap
 
 
 @pytest.fixture(params=["lists", "blocks"])
@@ -104,3 +104,20 @@ def test_shared_items(monkeypatch):
             n_a, n_b, both = blocks.shared(*(pa.chunked_array([pa.array(x, pa.list_(pa.string()))]) for x in (a, b)))
             assert n_a.tolist() == [len(set(x or [])) for x in a] and n_b.tolist() == [len(set(x or [])) for x in b]
             assert np.array_equal(both, np.array(want).reshape(na, nb))
+
+
+def test_screens_in_blocks(spark, monkeypatch):
+    """Classes of more rows than a block, pairs that are equal in several ways, ids of several rows: each pair once,
+    and where ids are unique nothing is dropped after the pairs are made."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+    rng = random.Random(6)
+    row = lambda i: (i, rng.choice([None, "s1", f"s{i % 9}"]), rng.choice(["x", "y", None]), rng.choice([None, [], ["p"], ["p", "q"], ["p", "q", None], ["r"]]), rng.choice([None, "o1", "o2"]))
+    same = lambda a, b: None not in (a[1], b[1]) and a[1] == b[1] or None not in (a[4], b[4]) and a[4] == b[4] or a[2] is not None and a[2] == b[2] and a[3] and b[3] and len({*a[3]} & {*b[3]}) >= 0.8 * len({*a[3]} | {*b[3]})
+    kind = "id int, state string, app string, items array<string>, opens string"
+    for left, right in (([row(i) for i in range(40)], [row(i) for i in range(60)]), ([row(i % 33) for i in range(40)], [row(i % 50) for i in range(60)])):
+        a, b = (spark.createDataFrame(x, kind).repartition(3) for x in (left, right))
+        for x, y, most in ((a, b, right), (a, a, left)):
+            got = [tuple(r) for r in applicability.screen_match(x, y).collect()]
+            assert len(got) == len(set(got)) and set(got) == {(m[0], n[0]) for m in left for n in most if same(m, n)}
+    plan = applicability.screen_match(*(spark.createDataFrame([row(i) for i in range(9)], kind).where("size(items) = 0") for _ in "ab"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.startswith(("Distinct", "Aggregate"))

@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from ..functions.text import normalize_page
-from .overlap import same_screen
+from .overlap import screen_pairs
 
 
 def episode_inventories(evidence: DataFrame) -> DataFrame:
@@ -58,8 +58,7 @@ def page_match(rows: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def screen_match(rows: DataFrame, evidence: DataFrame) -> DataFrame:
     """rows and evidence (id, state, app, items, opens): equal screens, or the same app opened."""
-    opened = rows.where("opens IS NOT NULL").select(F.col("id").alias("left_id"), "opens").join(evidence.where("opens IS NOT NULL").select(F.col("id").alias("right_id"), "opens"), "opens").select("left_id", "right_id")
-    return same_screen(rows, evidence).unionByName(opened).distinct()
+    return screen_pairs(rows, evidence, 0.8, ("state", "opens"))
 
 
 #: Conventions that notes claim and transcripts show.

@@ -3,6 +3,8 @@ product of trajectories."""
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,29 +65,50 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def set_jaccard_pairs(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
-    """left and right (id, key, items): pairs of one key with Jaccard >= least (> 0). Items are read from rare to frequent,
-    by hash; two sets that reach it share one of the first (1 - least) n + 1 items of each. A pair is made only if the
-    sizes, and what is left behind the shared item, allow it, and confirmed on the items themselves. The same DataFrame
-    on both sides is ordered once."""
-    def hashed(df: DataFrame) -> DataFrame:
-        x = df.select("id", key, F.array_distinct(F.transform("items", lambda i: F.xxhash64(i))).alias("h"))
-        return x.select("id", key, F.size("h").alias("n"), F.explode("h").alias("item"))
+#: Items are counted in so many groups of equal hashes modulo that. One array of counts goes to all tasks.
+GROUPS = 1 << 20
+
+
+def _first_items(sets: DataFrame, key: str, least: float) -> DataFrame:
+    """sets (side, id, key, h) -> (side, id, key, item, n, r): the items of each row, in the order from rare to frequent,
+    that a set of Jaccard `least` or more must share one of; without those that only one row has. How frequent an item is
+    is what its group counts: never less than its rows, and the same for all rows, so that any order by it is right."""
+    group = F.pmod("item", F.lit(GROUPS))
+    counted = sets.select(F.explode("h").alias("item")).groupBy(group.cast("int").alias("g")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    frequent = np.zeros(GROUPS, np.int32)
+    frequent[counted["g"].to_numpy()] = counted["n"].to_numpy()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            h = x.column("h")
+            row, item = pc.list_parent_indices(h).to_numpy(zero_copy_only=False).astype(np.int64), h.flatten().to_numpy(zero_copy_only=False)
+            n = np.bincount(row, minlength=len(x))
+            df = frequent[item % len(frequent)]
+            by = np.lexsort((item, df, row))
+            row, item, df = row[by], item[by], df[by]
+            r = np.arange(len(row)) - (np.cumsum(n) - n)[row] + 1
+            keep = (r <= n[row] - np.ceil(n * least)[row] + 1) & (df > 1)
+            rest = [x.column(c).take(pa.array(row[keep])) for c in ("side", "id", key)]
+            yield from pa.table([*rest, item[keep], n[row[keep]].astype(np.int32), r[keep].astype(np.int32)], names=["side", "id", key, "item", "n", "r"]).combine_chunks().to_batches()
+
+    return sets.mapInArrow(first, f"side int, id {_kind(sets, 'id')}, {key} {_kind(sets, key)}, item bigint, n int, r int")
 
+
+def set_jaccard_pairs(left: DataFrame, right: DataFrame, key: str, least: float, apart: tuple[str, ...] = ()) -> DataFrame:
+    """left and right (id, key, items): pairs of one key with Jaccard >= least (> 0). Items are read from rare to frequent,
+    by hash; two sets that reach it share one of the first (1 - least) n + 1 items of each, and only these are shuffled. A
+    pair is made only if the sizes, and what is left behind the shared item, allow it, and confirmed on the items
+    themselves. The same DataFrame on both sides is ordered once. apart: columns of which a pair has no equal value."""
+    hashed = lambda df, side: df.select(F.lit(side).alias("side"), "id", key, F.array_distinct(F.transform("items", lambda i: F.xxhash64(i))).alias("h")).where(F.size("h") > 0)
     alone = left is right
-    both = settled(hashed(left).withColumn("side", F.lit(0)) if alone else hashed(left).withColumn("side", F.lit(0)).unionByName(hashed(right).withColumn("side", F.lit(1))))
-    df = both.groupBy(key, "item").agg(F.count("*").alias("df"))
-    # an item that only one set has can't be shared: it takes its place in the order, but never goes into a join
-    w = Window.partitionBy("side", "id", key).orderBy("df", "item")
-    first = both.join(df, [key, "item"]).withColumn("r", F.row_number().over(w)).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1) & (F.col("df") > 1))
-    first = settled(first.select("side", "id", key, "item", "n", "r"))
+    first = settled(_first_items(hashed(left, 0) if alone else hashed(left, 0).unionByName(hashed(right, 1)), key, least))
     a = first.where("side = 0").select(key, "item", F.col("id").alias("left_id"), F.col("n").alias("na"), F.col("r").alias("ra"))
     b = first.where(F.col("side") == (0 if alone else 1)).select(key, "item", F.col("id").alias("right_id"), F.col("n").alias("nb"), F.col("r").alias("rb"))
     possible = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
     pairs = a.join(b, [key, "item"]).where(possible >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select(key, "left_id", "right_id")
     pairs = pairs.unionByName(left.select(key, F.col("id").alias("left_id"), F.col("id").alias("right_id"))).distinct() if alone else pairs.distinct()
-    sets = lambda side, name, c: side.select(F.col("id").alias(name), key, F.col("items").alias(c))
-    found = pairs.join(sets(left, "left_id", "a"), ["left_id", key]).join(sets(right, "right_id", "b"), ["right_id", key])
+    sets = lambda df, side, c: df.select(F.col("id").alias(f"{side}_id"), key, F.col("items").alias(c), *(F.col(x).alias(f"{side}_{x}") for x in apart))
+    found = pairs.join(sets(left, "left", "a"), ["left_id", key]).join(sets(right, "right", "b"), ["right_id", key]).where(_unequal(apart))
     return found.withColumn("jaccard", jaccard(F.col("a"), F.col("b"))).where(F.col("jaccard") >= least).select(key, "left_id", "right_id", "jaccard")
 
 
@@ -380,11 +403,43 @@ def row_strata(rows: DataFrame, screens: DataFrame, least: float = 0.8) -> DataF
 def same_screen(a: DataFrame, b: DataFrame, least: float = 0.8) -> DataFrame:
     """a, b (id, state, app, items): pairs with an equal state id, or of one app with Jaccard >= least. As many rows as
     there are such pairs; row_strata needs fewer."""
-    by_state = a.where("state IS NOT NULL").select(F.col("id").alias("left_id"), "state").join(b.where("state IS NOT NULL").select(F.col("id").alias("right_id"), "state"), "state").select("left_id", "right_id")
-    some = lambda x: x.where(F.size("items") > 0).select("id", "app", "items")
+    return screen_pairs(a, b, least)
+
+
+def screen_pairs(a: DataFrame, b: DataFrame, least: float, equal: tuple[str, ...] = ("state",)) -> DataFrame:
+    """a, b (id, app, items and the columns `equal`): pairs that have an equal value in one of these, or are of one app with
+    Jaccard >= least. Pairs are told apart as they are made (by the first of the equal columns, then by their items), so
+    none are shuffled to drop repeated ones, except those of ids that several rows of a side have."""
+    ids = lambda df: settled(df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    many_a = ids(a)
+    many_b = many_a if a is b else ids(b)
+    none_a, none_b = many_a.isEmpty(), many_b.isEmpty()
+    of = lambda df, many, how: df.alias("x").join(many.alias("y"), F.col("x.id").eqNullSafe(F.col("y.id")), how)
+    one_a = a if none_a else of(a, many_a, "left_anti")
+    one_b = one_a if a is b else b if none_b else of(b, many_b, "left_anti")
+    out = _pairs_apart(one_a, one_b, least, equal)
+    if not none_a:
+        out = out.unionByName(_pairs_apart(of(a, many_a, "left_semi"), b, least, equal).distinct())
+    return out if none_b else out.unionByName(_pairs_apart(one_a, of(b, many_b, "left_semi"), least, equal).distinct())
+
+
+def _pairs_apart(a: DataFrame, b: DataFrame, least: float, equal: tuple[str, ...]) -> DataFrame:
+    """screen_pairs, each pair of rows once."""
+    out = None
+    for k, c in enumerate(equal):
+        side = lambda df, name: df.where(F.col(c).isNotNull()).select(F.col(c).alias("_key"), *(F.col(y).alias(f"{name}_{y}") for y in ("id", *equal[:k])), F.col("id").alias("_by"))  # noqa: E731, B023
+        left, right = (x.drop("_by") for x in blocks.dealt(side(a, "left"), side(b, "right"), ["_key"], "_by"))
+        pairs = left.join(right, ["_key", "i", "j"]).where(_unequal(equal[:k])).select("left_id", "right_id")
+        out = pairs if out is None else out.unionByName(pairs)
+    some = lambda x: x.where(F.size("items") > 0).select("id", "app", "items", *equal)
     left = some(a)
-    by_items = set_jaccard_pairs(left, left if a is b else some(b), "app", least).select("left_id", "right_id")
-    return by_state.unionByName(by_items).distinct()
+    return out.unionByName(set_jaccard_pairs(left, left if a is b else some(b), "app", least, equal).select("left_id", "right_id"))
+
+
+def _unequal(columns: tuple[str, ...]) -> Column:
+    """None of left_ and right_ of these columns are equal; nulls equal nothing."""
+    same = [F.coalesce(F.col(f"left_{c}") == F.col(f"right_{c}"), F.lit(False)) for c in columns]
+    return ~functools.reduce(operator.or_, same, F.lit(False))
 
 
 def strata_join(rows: DataFrame, links: DataFrame, key: str = "task") -> DataFrame:
