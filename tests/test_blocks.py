@@ -121,3 +121,23 @@ def test_screens_in_blocks(spark, monkeypatch):
             assert len(got) == len(set(got)) and set(got) == {(m[0], n[0]) for m in left for n in most if same(m, n)}
     plan = applicability.screen_match(*(spark.createDataFrame([row(i) for i in range(9)], kind).where("size(items) = 0") for _ in "ab"))._jdf.queryExecution().optimizedPlan().toString()
     assert not plan.startswith(("Distinct", "Aggregate"))
+
+
+def test_only_first_items_are_shuffled(spark, monkeypatch):
+    """A fifth of each set and one more at 0.8, however its items are counted; the same pairs, of one table and of two."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(80):
+        base = rng.sample([f"w{j}" for j in range(300)], 50) if i % 4 == 0 else list(rows[-1][2])
+        rows.append((i, rng.choice("xy") if i % 4 == 0 else rows[-1][1], [*base[rng.randrange(4) :], f"own{i}", "hot"]))
+    df = spark.createDataFrame(rows, "id int, app string, items array<string>").repartition(3)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and len({*a[2]} & {*b[2]}) >= 0.8 * len({*a[2]} | {*b[2]})}
+    assert len(want) > 150
+    for groups in (1, 16, 1 << 20):
+        monkeypatch.setattr(overlap, "GROUPS", groups)
+        h = df.selectExpr("0 AS side", "id", "app", "transform(items, i -> xxhash64(i)) AS h")
+        first = overlap._first_items(h, "app", 0.8).groupBy("id", "n").count().collect()
+        assert len(first) == 80 and all(r["count"] <= r.n // 5 + 1 for r in first)
+    for other in (df, df.where("true")):
+        got = [(r.left_id, r.right_id) for r in overlap.set_jaccard_pairs(df, other, "app", 0.8).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
